@@ -12,6 +12,7 @@ rows; an empty table gives none. Other columns are kept by `encode` and never re
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer, models
 
 from .rows import ragged
@@ -74,8 +76,6 @@ class ByteBPE:
     """One vocabulary file of ranks, as a tokenizers model with the byte table around it."""
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
-        import base64
-
         self.any_split = regex.compile(pattern).findall
         latin = latin_pattern(pattern)
         self.latin_split = latin.findall if latin else None
@@ -192,10 +192,11 @@ def _groups(column: pa.Array, characters: int = 1 << 20) -> Iterator[tuple[int,
         yield at, own
 
 
-def encode(docs: DataFrame, *, text: str = "text", ranks_path: str | None = None, pattern: str | None = None, ids: str = "token_ids", starts: str = "token_starts", ends: str = "token_ends") -> DataFrame:
-    """`docs` with the token ids of `text` and each token's character offsets."""
+def encode(docs: DataFrame, *, text: str = "text", ranks_path: str | None = None, pattern: str | None = None, ids: str = "token_ids", starts: str = "token_starts", ends: str = "token_ends", exact: str = "round_trip", with_offsets: bool = True) -> DataFrame:
+    """`docs` with the token ids of `text`, each token's character offsets (if wanted), and whether the ids decode to the text."""
     path, split = vocabulary() if ranks_path is None else (ranks_path, pattern)
-    if clash := {ids, starts, ends} & set(docs.columns):
+    lists = [ids, *([starts, ends] if with_offsets else [])]
+    if clash := {*lists, exact} & set(docs.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")
     at = docs.columns.index(text)
 
@@ -204,15 +205,18 @@ def encode(docs: DataFrame, *, text: str = "text", ranks_path: str | None = None
         for batch in batches:
             for low, texts in _groups(batch.column(at)):
                 flat, edges = coder.encode(texts)
-                spans = [coder.offsets(t, flat[a:b]) for t, a, b in zip((t or "" for t in texts), edges, edges[1:], strict=False)]
-                cut = pa.array(edges.astype(np.int32))
-                own = batch.slice(low, len(texts))
-                lists = [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in (flat, np.concatenate([s[0] for s in spans]), np.concatenate([s[1] for s in spans]))]
-                yield pa.RecordBatch.from_arrays([*own.columns, *lists], [*own.schema.names, ids, starts, ends])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in (ids, starts, ends))])
+                plain = coder.decode_bytes(flat).tobytes()
+                cuts = np.concatenate([[0], np.cumsum(coder.lengths[flat])])[edges].tolist()
+                same = [plain[a:z] == (t or "").encode() for t, a, z in zip(texts, cuts, cuts[1:], strict=False)]
+                values = [flat]
+                if with_offsets:
+                    spans = [coder.offsets(t or "", flat[a:z]) for t, a, z in zip(texts, edges, edges[1:], strict=False)]
+                    values += [np.concatenate([s[k] for s in spans]) for k in (0, 1)]
+                cut, own = pa.array(edges.astype(np.int32)), batch.slice(low, len(texts))
+                found = [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in values]
+                yield pa.RecordBatch.from_arrays([*own.columns, *found, pa.array(same)], [*own.schema.names, *lists, exact])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in lists), T.StructField(exact, T.BooleanType())])
     return docs.mapInArrow(run, schema)
 
 

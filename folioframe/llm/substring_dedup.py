@@ -169,4 +169,4 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, doc_id: str = "doc_id",
 
 
 def op2_rows(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
+    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
