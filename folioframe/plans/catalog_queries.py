@@ -70,10 +70,10 @@ def _(docs: DataFrame, labels: DataFrame, events: DataFrame) -> DataFrame:
 
 @R.over("multi_column_search", "customer", "nation", sql="""
 SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
-WHERE contains(lower(c_name), 'an') OR contains(lower(n_name), 'an') OR contains(lower(c_mktsegment), 'an')""")
+WHERE contains(lower(c_name), '1') OR contains(lower(n_name), '1') OR contains(lower(c_mktsegment), '1')""")
 def _(customer: DataFrame, nation: DataFrame) -> DataFrame:
     joined = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return C.search(joined, "AN", ["c_name", "n_name", "c_mktsegment"]).select("c_custkey", "c_name", "n_name")
+    return C.search(joined, "1", ["c_name", "n_name", "c_mktsegment"]).select("c_custkey", "c_name", "n_name")
 
 
 @R.over("stage_presence_filter", "orders", "lineitem", sql="""

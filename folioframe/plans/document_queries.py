@@ -1 +1,243 @@
-QUERIES = {}; ORACLE = {}
+"""Text keys, lines, blocks, conversations and locator joins over the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from folioframe.functions import text as X
+from folioframe.operators import blocks as B
+from folioframe.operators import matching as M
+from folioframe.plans.registry import Registry
+
+R = Registry()
+QUERIES, ORACLE = R.queries, R.oracle
+
+_WS = r"regexp_replace(regexp_replace({}, '[ \t\n\r\f\x0B]+', ' ', 'g'), '^ | $', '', 'g')"
+_STRAIGHT = "translate({}, '‘’“”–—− ', '''''\"\"--- ')"
+_ENTITY = "replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+
+
+def _key_sql(column: str) -> str:
+    return "lower(" + _WS.format(_ENTITY.format(f"regexp_replace({_STRAIGHT.format(column)}, '<[^>]*>', ' ', 'g')")) + ")"
+
+
+_KEY = _key_sql("text")
+
+
+def _text_query(name: str, expression, sql: str) -> None:
+    R.over(name, "documents", sql=f"SELECT doc_id, md5({sql}) AS digest, length({sql}) AS size FROM documents")(lambda docs: docs.select("doc_id", F.md5(expression(F.col("text"))).alias("digest"), F.length(expression(F.col("text"))).alias("size")))
+
+
+_text_query("whitespace_norm", X.whitespace, _WS.format("text"))
+_text_query("review_key", X.review_key, _KEY)
+_text_query("compact_key", X.compact_key, f"regexp_replace({_KEY}, '[^a-z0-9]', '', 'g')")
+_text_query("unicode_signature", X.signature, r"lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))")
+_text_query("heading_key", X.heading_key, r"regexp_replace(regexp_replace(lower(text), '[^a-z0-9\x{4e00}-\x{9fff}]+', ' ', 'g'), '^ | $', '', 'g')")
+_text_query("compare_text", X.compare_text, _WS.format(r"regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"))
+_text_query("surface_compact", lambda c: X.surface(c, punctuation=False), r"lower(regexp_replace(text, '[ \t\n\r,;:.!?]', '', 'g'))")
+_text_query("formula_key", X.formula_key, r"regexp_replace(regexp_replace(translate(text, '，。：；（）？！', ',.:;()?!'), '_{2,}', '', 'g'), '[ \t\n\r\f\x0B]+', '', 'g')")
+_text_query("slug", X.slug, r"left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 80)")
+
+
+@R.over("content_sha_ids", "documents", sql="""
+SELECT doc_id, 'pdf-' || left(sha256(text), 16) AS content_id, left(sha256(source || '/' || doc_id), 24) AS object_id, sha256(concat_ws('|', source, lang, coalesce(CAST(doc_id AS VARCHAR), ''))) AS job_key FROM documents""")
+def _(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.concat(F.lit("pdf-"), X.sha_prefix(F.col("text"), 16)).alias("content_id"), X.sha_prefix(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")), 24).alias("object_id"), X.joined_key(F.col("source"), F.col("lang"), F.col("doc_id")).alias("job_key"))
+
+
+@R.over("catalogue_similarity", "benchmark", sql=r"""
+WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+|[\x{4e00}-\x{9fff}]+'), lambda x: length(x) > 1 AND x NOT IN ('a','an','and','at','by','for','from','in','of','on','or','the','to') AND NOT regexp_matches(x, '^(19|20|21)[0-9]{2}$'))) AS k FROM benchmark)
+SELECT a.item_id, b.item_id AS other, round(len(list_intersect(a.k, b.k)) * 1.0 / greatest(len(a.k), len(b.k)), 6) AS similarity FROM t a JOIN t b ON b.item_id = a.item_id + 1 WHERE len(a.k) > 0 AND len(b.k) > 0""")
+def _(items: DataFrame) -> DataFrame:
+    tokens = items.select("item_id", X.catalogue_tokens(F.col("text")).alias("k"))
+    other = tokens.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other"), F.col("k").alias("k2"))
+    joined = tokens.join(other, "item_id").filter("size(k) > 0 and size(k2) > 0")
+    return joined.select("item_id", "other", F.round(X.token_similarity(F.col("k"), F.col("k2")), 6).alias("similarity"))
+
+
+@R.over("link_refs", "pages", sql="""
+SELECT page_id, len(r) AS n_refs, array_to_string(r, ' ') AS refs FROM (SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1))) AS r FROM pages)""")
+def _(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))).alias("r")).select("page_id", F.size("r").cast("long").alias("n_refs"), F.array_join("r", " ").alias("refs"))
+
+
+@R.over("numbers_differ", "pages", sql=r"""
+SELECT page_id, regexp_extract_all(url, '[0-9]+(?:\.[0-9]+)?') <> regexp_extract_all(regexp_extract(html, '<h1>(.*?)</h1>', 1), '[0-9]+(?:\.[0-9]+)?') AS differ FROM pages""")
+def _(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", X.numbers_differ(F.col("url"), F.regexp_extract("html", "<h1>(.*?)</h1>", 1)).alias("differ"))
+
+
+@R.over("year_extract", "documents", sql="""
+SELECT doc_id, CAST(nullif(regexp_extract(text, '(?:^|[^0-9])(1[5-9][0-9]{2}|2[01][0-9]{2})(?:[^0-9]|$)', 1), '') AS INTEGER) AS year FROM documents""")
+def _(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", X.year(F.col("text")).alias("year"))
+
+
+@R.over("path_clean", "pages", sql="""
+SELECT page_id, array_to_string(list_filter(string_split(url || '/./x//..', '/'), lambda p: p NOT IN ('', '.', '..')), '/') AS path FROM pages""")
+def _(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", X.path_clean(F.concat("url", F.lit("/./x//.."))).alias("path"))
+
+
+@R.over("lines_numbered", "documents", sql=r"""
+SELECT doc_id, CAST(i AS INTEGER) AS line_no, md5(l[i]) AS digest FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS l FROM documents WHERE text <> ''))""")
+def _(docs: DataFrame) -> DataFrame:
+    return B.lines(docs, "doc_id", "text").select("doc_id", "line_no", F.md5("line").alias("digest"))
+
+
+@R.over("line_type_counts", "documents", sql=r"""
+WITH l AS (SELECT unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS t FROM documents WHERE text <> '')
+SELECT CASE WHEN regexp_matches(t, '^#{1,6} +') THEN 'heading' WHEN regexp_matches(t, '^!\[') THEN 'image' WHEN regexp_matches(t, '^(\||<table)') THEN 'table' WHEN contains(t, '$') THEN 'formula'
+ WHEN regexp_matches(t, '^(Figure|Fig\.|Table) [0-9]+') THEN 'caption' WHEN regexp_matches(t, '^[0-9]+[.)] ') THEN 'question' WHEN regexp_matches(t, '^[A-D][.)] ') THEN 'option' WHEN regexp_matches(t, '_{3,}') THEN 'blank'
+ WHEN regexp_matches(t, '^[^:]{1,79}:$') THEN 'label' WHEN regexp_matches(t, '^[ \t]*$') THEN 'empty' ELSE 'paragraph' END AS type, count(*) AS n FROM l GROUP BY type""")
+def _(docs: DataFrame) -> DataFrame:
+    return B.lines(docs, "doc_id", "text").groupBy(B.line_type(F.col("line")).alias("type")).agg(F.count("*").alias("n"))
+
+
+@R.over("profile_signals", "documents", sql="""
+SELECT doc_id, length(text) - length(replace(text, '$', '')) AS n_dollars, len(regexp_extract_all(text, '_{3,}')) AS n_blanks, CASE WHEN length(text) - length(replace(text, '$', '')) >= 500 THEN 'maths' WHEN len(regexp_extract_all(text, '_{3,}')) >= 20 THEN 'workbook' ELSE 'reading' END AS profile FROM documents""")
+def _(docs: DataFrame) -> DataFrame:
+    dollars = F.length("text") - F.length(F.replace("text", F.lit("$")))
+    blanks = F.regexp_count("text", F.lit("_{3,}"))
+    return docs.select("doc_id", dollars.alias("n_dollars"), blanks.alias("n_blanks"), X.ladder((dollars >= 500, "maths"), (blanks >= 20, "workbook"), default="reading").alias("profile"))
+
+
+@R.over("html_blocks", "pages", sql=r"""
+SELECT page_id, len(regexp_extract_all(html, '<p>')) AS n_paragraphs, len(regexp_extract_all(html, '<li>')) AS n_items, md5(array_to_string(regexp_extract_all(html, '<li>(.*?)</li>', 1), '|')) AS items FROM pages""")
+def _(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", F.regexp_count("html", F.lit("<p>")).alias("n_paragraphs"), F.regexp_count("html", F.lit("<li>")).alias("n_items"), F.md5(F.array_join(F.regexp_extract_all("html", F.lit("<li>(.*?)</li>"), F.lit(1)), "|")).alias("items"))
+
+
+@R.over("page_title_vs_h1", "pages", sql=f"""
+WITH k AS (SELECT page_id, {_key_sql("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS t, {_key_sql("regexp_extract(html, '<h1>(.*?)</h1>', 1)")} AS h FROM pages)
+SELECT page_id, t = h AS same, starts_with(h, t) AS cut FROM k""")
+def _(pages: DataFrame) -> DataFrame:
+    part = lambda tag: X.review_key(F.regexp_extract("html", f"<{tag}>(.*?)</{tag}>", 1))
+    return pages.select("page_id", part("title").alias("t"), part("h1").alias("h")).select("page_id", (F.col("t") == F.col("h")).alias("same"), F.startswith("h", F.col("t")).alias("cut"))
+
+
+@R.over("question_parenting", "conversations", sql="""
+WITH m AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER w AS q, max(CASE WHEN role = 'system' THEN turn END) OVER w AS r FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND (r IS NULL OR r < q) THEN q END AS parent_id FROM m""")
+def _(turns: DataFrame) -> DataFrame:
+    role = F.col("role")
+    return B.carry_parent(turns, "conv_id", "turn", parent=role == "user", reset=role == "system", child=role == "assistant", id_="turn").select("conv_id", "turn", "role", "parent_id")
+
+
+@R.over("virtual_groups", "conversations", sql="""
+WITH m AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER w AS q, max(CASE WHEN role = 'system' OR length(text) > 180 AND role <> 'user' THEN turn END) OVER w AS r FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, turn, CASE WHEN role <> 'user' AND (r IS NULL OR r < q) THEN q END AS group_id FROM m""")
+def _(turns: DataFrame) -> DataFrame:
+    role = F.col("role")
+    reset = (role == "system") | ((F.length("text") > 180) & (role != "user"))
+    return B.carry_parent(turns, "conv_id", "turn", parent=role == "user", reset=reset, child=role != "user", id_="turn").select("conv_id", "turn", F.col("parent_id").alias("group_id"))
+
+
+@R.over("neighbour_context", "conversations", sql="""
+SELECT conv_id, turn, array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ',') AS before, array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), ',') AS after FROM conversations""")
+def _(turns: DataFrame) -> DataFrame:
+    return B.neighbours(turns, ["conv_id"], "turn", "role").select("conv_id", "turn", F.nullif(F.array_join("before", ","), F.lit("")).alias("before"), F.nullif(F.array_join("after", ","), F.lit("")).alias("after"))
+
+
+@R.over("lookback_anchor", "conversations", sql="""
+WITH m AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER w AS a, max(CASE WHEN length(text) > 400 THEN turn END) OVER w AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
+SELECT conv_id, turn, CASE WHEN s IS NULL OR s <= a THEN a END AS anchor_id FROM m""")
+def _(turns: DataFrame) -> DataFrame:
+    return B.look_back(turns, "conv_id", "turn", anchor=F.col("role") == "user", stop=F.length("text") > 400, id_="turn").select("conv_id", "turn", "anchor_id")
+
+
+@R.over("runs_islands", "labels", sql="""
+WITH g AS (SELECT doc_id, quality, coalesce(doc_id <> lag(doc_id) OVER (PARTITION BY quality ORDER BY doc_id) + 1, true) AS fresh FROM labels), s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY quality ORDER BY doc_id) AS run FROM g)
+SELECT quality, run, min(doc_id) AS first, count(*) AS n FROM s GROUP BY quality, run""")
+def _(labels: DataFrame) -> DataFrame:
+    step = F.coalesce(F.col("doc_id") != F.lag("doc_id").over(Window.partitionBy("quality").orderBy("doc_id")) + 1, F.lit(True))
+    return B.islands(labels, ["quality"], "doc_id", step).groupBy("quality", "run").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+
+
+@R.over("next_page_range", "conversations", sql="""
+SELECT conv_id, turn, first(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1 AS last_page FROM conversations""")
+def _(turns: DataFrame) -> DataFrame:
+    rows = turns.withColumn("page", F.when(F.col("role") == "user", F.col("turn")))
+    return rows.select("conv_id", "turn", (B.next_known(rows, ["conv_id"], "turn", "page") - 1).alias("last_page"))
+
+
+@R.over("prefix_offsets", "conversations", sql="""
+SELECT conv_id, turn, sum(length(text)) OVER w - length(text) AS start, sum(length(text)) OVER w AS "end" FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def _(turns: DataFrame) -> DataFrame:
+    return B.prefix_offsets(turns, ["conv_id"], "turn", "text").select("conv_id", "turn", "start", "end")
+
+
+@R.over("exact_locator", "documents", "benchmark", sql=r"""
+WITH l AS (SELECT doc_id, i, regexp_replace(lower(t), '[^a-z0-9]', '', 'g') AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+b AS (SELECT item_id, regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]', '', 'g') AS k FROM benchmark)
+SELECT item_id, count(doc_id) AS n_places FROM b LEFT JOIN l ON b.k = l.k AND length(b.k) >= 8 GROUP BY item_id""")
+def _(docs: DataFrame, items: DataFrame) -> DataFrame:
+    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("t")).select("doc_id", key(F.col("t")).alias("k")).filter(F.length("k") >= 8).groupBy("k").agg(F.count("*").alias("n"))
+    wanted = items.select("item_id", key(F.substring_index("text", "\n", 1)).alias("k"))
+    return wanted.join(lines, "k", "left").groupBy("item_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_places"))
+
+
+_SPACED = r"' ' || array_to_string(regexp_extract_all(lower(text), '[^ \t\n\r\f\x0B]+'), ' ') || ' '"
+
+
+@R.over("containment_locator", "documents", "benchmark", sql=f"""
+WITH d AS (SELECT doc_id, {_SPACED} AS t FROM documents), b AS (SELECT item_id, {_SPACED} AS t FROM benchmark)
+SELECT doc_id, item_id FROM d JOIN b ON contains(d.t, b.t)""")
+def _(docs: DataFrame, items: DataFrame) -> DataFrame:
+    return M.contained(docs.select("doc_id", "text"), items.select("item_id", F.col("text").alias("needle")), "doc_id", X.words(F.col("text")), "item_id", X.words(F.col("needle")))
+
+
+@R.over("window_exact", "conversations", sql="""
+WITH w AS (SELECT conv_id, turn, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS t FROM conversations),
+x AS (SELECT conv_id, turn, t, unnest(range(1, len(t) + 1)) AS n_rows FROM w)
+SELECT conv_id, turn, CAST(n_rows AS INTEGER) AS n_rows, md5(array_to_string(t[1:n_rows], '')) AS digest FROM x""")
+def _(turns: DataFrame) -> DataFrame:
+    return M.windows(turns, ["conv_id"], "turn", "text", 4).select("conv_id", "turn", "n_rows", F.md5("joined").alias("digest"))
+
+
+@R.over("token_overlap_topk", "documents", "benchmark", sql=r"""
+WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{12,}')) AS k FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{12,}')) AS k FROM benchmark),
+p AS (SELECT item_id, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(k) AS t FROM d) JOIN (SELECT item_id, unnest(k) AS t FROM b) USING (t) GROUP BY ALL)
+SELECT item_id, doc_id, n, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rank FROM p QUALIFY rank <= 5""")
+def _(docs: DataFrame, items: DataFrame) -> DataFrame:
+    tokens = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{12,}"), F.lit(0))))
+    pairs = docs.select("doc_id", tokens(F.col("text")).alias("t")).join(M.small(items.select("item_id", tokens(F.col("text")).alias("t")), ["t"]), "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id"))).filter("rank <= 5")
+
+
+@R.over("fuzzy_ratio", "benchmark")
+def _(items: DataFrame) -> DataFrame:
+    """Neighbouring items by the standard library's sequence ratio: no SQL; the tests hold it against the library."""
+    a = items.select("item_id", F.substring("text", 1, 200).alias("a"))
+    b = items.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other"), F.substring("text", 1, 200).alias("b"))
+    return M.best_fuzzy(a.join(b, "item_id"), "a", "b", ["item_id"], "other", least=0.0).select("item_id", "other", "ratio", "rank")
+
+
+@R.over("outcome_bucket", "documents", "labels", sql="""
+SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'missing_bbox' WHEN l.toxic = 1 THEN 'missing_crop' WHEN n_chars = 0 THEN 'no_source_content' WHEN n_chars % 3 = 0 THEN 'exact' WHEN n_chars % 3 = 1 AND n_chars >= 40 THEN 'compact' ELSE 'mismatch' END AS bucket FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY bucket""")
+def _(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    from folioframe.operators.review import outcome_bucket
+
+    rows = docs.select("doc_id", "n_chars").join(labels.withColumn("known", F.lit(True)), "doc_id", "left")
+    n = F.col("n_chars")
+    bucket = outcome_bucket(F.col("known").isNotNull(), F.coalesce(F.col("toxic"), F.lit(0)) == 0, n % 3 == 0, n % 3 == 1, n, n > 0)
+    return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@R.over("media_ledger", "pages", "documents", sql="""
+SELECT p.page_id, coalesce(a.doc_id, b.doc_id) AS media_id, CASE WHEN a.doc_id IS NOT NULL THEN 'path' WHEN b.doc_id IS NOT NULL THEN 'name' ELSE 'none' END AS matched_by
+FROM pages p LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 4 = 0) a ON a.doc_id = p.page_id LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) b ON b.doc_id = p.page_id""")
+def _(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    by_path = docs.filter("doc_id % 4 = 0").select(F.col("doc_id").alias("page_id"), F.col("doc_id").alias("a"))
+    by_name = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("page_id"), F.col("doc_id").alias("b"))
+    joined = pages.select("page_id").join(by_path, "page_id", "left").join(by_name, "page_id", "left")
+    return joined.select("page_id", F.coalesce("a", "b").alias("media_id"), X.ladder((F.col("a").isNotNull(), "path"), (F.col("b").isNotNull(), "name"), default="none").alias("matched_by"))
+
+
+@R.over("vector_neighbours", "embeddings", sql="""
+SELECT label, count(*) AS n, round(avg(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS mean_norm FROM embeddings GROUP BY label""")
+def _(vectors: DataFrame) -> DataFrame:
+    norm = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
+    return vectors.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(norm), 4).alias("mean_norm"))
