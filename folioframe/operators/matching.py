@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join is broadcast up to this many bytes by its own count, beyond it both sides are shuffled.
 BROADCAST_BYTES = 8 << 20
@@ -74,7 +75,7 @@ def bag_coverage(want: Column, have: Column) -> tuple[Column, Column]:
     return total(both) / total(want), (total(have) - total(both)) / total(have)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The ratio of matching blocks of the standard library's matcher; null where a side is null."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -127,7 +127,7 @@ class _Cells(HTMLParser):
             self.cell.append(data.replace("\n", " "))
 
 
-@F.pandas_udf("array<array<struct<tag:string,text:string>>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StructType().add("tag", T.StringType()).add("text", T.StringType()))))
 def table_rows(html: pd.Series) -> pd.Series:
     """Cells of HTML tables, entities decoded, line breaks kept."""
     out = []
@@ -199,13 +199,13 @@ def image_size(raw: bytes | None) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("struct<width:int,height:int,area:long>")
+@F.pandas_udf(T.StructType().add("width", T.IntegerType()).add("height", T.IntegerType()).add("area", T.LongType()))
 def image_dimensions(content: pd.Series) -> pd.DataFrame:
     found = [image_size(None if c is None else bytes(c)) for c in content]
     return pd.DataFrame({"width": pd.array([f[0] if f else None for f in found], "Int32"), "height": pd.array([f[1] if f else None for f in found], "Int32"), "area": pd.array([f[0] * f[1] if f else None for f in found], "Int64")})
 
 
-@F.pandas_udf("array<struct<page_idx:int,type:string,text:string,bbox:array<double>>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("page_idx", T.IntegerType()).add("type", T.StringType()).add("text", T.StringType()).add("bbox", T.ArrayType(T.DoubleType()))))
 def layout_blocks(layout: pd.Series) -> pd.Series:
     """Blocks of a layout JSON: the walk stops at a node that has both a box and a text."""
 
