@@ -160,30 +160,42 @@ def _links(distance: int):
     return run
 
 
+def _finer(distance: int):
+    """Keys anew for the members of keys that are too large: their values agree on the key's bits and differ in
+    `distance` of the others at most, so of distance + 1 blocks of the others they share one."""
+
+    def masks_of(mask: int) -> list[int]:
+        open_ = [b for b in range(64) if not (mask >> b) & 1]
+        return [mask | x for x in bit_blocks(open_, distance + 1)] if len(open_) > distance else [2**64 - 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask, fp = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            for m in np.unique(mask):
+                own = fp[mask == m]
+                for finer in masks_of(int(m)):
+                    full = np.full(len(own), finer, np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (full, own & full, own)], ["mask", "bits", "fp"])
+
+    return run
+
+
 def near_pairs(fps: DataFrame, *, distance: int = 4, parts: int = 7, largest: int = 100_000) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that differ in `distance` bits at
     most, enough of them to connect all that are connected; a is linked to a smaller b, as unsigned."""
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = fps.select(_keyed(choose_masks(list(range(64)), parts, distance), F.col("fp")).alias("k"), "fp").select("k.mask", "k.bits", "fp")
     found = None
     while True:
-        hot = keyed.groupBy("mask", "bits").count().filter(F.col("count") > largest).select("mask", "bits").cache()
+        hot = durable(keyed.groupBy("mask", "bits").count().filter(F.col("count") > largest).select("mask", "bits"))
         some = not hot.isEmpty()
         cold = keyed.join(hot, ["mask", "bits"], "left_anti") if some else keyed
-        n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         links = cold.repartition(n, "mask", "bits").sortWithinPartitions("mask", "bits").mapInArrow(_links(distance), "a long, b long")
         found = links if found is None else found.unionByName(links)
         if not some:
             return found
-        # The members of a hot key agree on its bits; of the others they differ in `distance` at most.
-        masks = [r.mask for r in hot.select("mask").distinct().collect()]  # as many as there are masks
-        finer = []
-        for m in masks:
-            open_ = [b for b in range(64) if not (m >> b) & 1]
-            parts_ = min(len(open_), distance + 1)
-            more = [m & (2**64 - 1) | x for x in choose_masks(open_, parts_, distance)] if parts_ > distance else [2**64 - 1]
-            own = keyed.filter(F.col("mask") == m).join(hot, ["mask", "bits"], "left_semi").select("fp").distinct()
-            finer.append(own.select(_keyed(more, F.col("fp")).alias("k"), "fp").select("k.mask", "k.bits", "fp"))
-        keyed = reduce(DataFrame.unionByName, finer).distinct()
+        members = keyed.join(hot, ["mask", "bits"], "left_semi").select("mask", "fp")
+        keyed = durable(members.mapInArrow(_finer(distance), "mask long, bits long, fp long").distinct())
 
 
 def durable(frame: DataFrame) -> DataFrame:
