@@ -133,8 +133,12 @@ class Templates:
         for t, shift in sorted(seeds):
             if last and last[0] == t and shift - last[1] <= BAND // 2:  # the band around the last one takes this one in
                 continue
-            last = t, shift
-            matched, start, end = align(self.words[t], words, shift, BAND)
+            n = len(self.words[t])
+            if shift >= 0 and words[shift : shift + n] == self.words[t]:  # all on one diagonal: nothing to align
+                matched, start, end = n, shift, shift + n
+            else:
+                last = t, shift
+                matched, start, end = align(self.words[t], words, shift, BAND)
             if matched >= MINIMUM * len(self.words[t]):
                 places.append({"license": self.names[t], "matched": matched, "coverage": matched / len(self.words[t]), "start": start, "end": end})
         kept: list[dict] = []

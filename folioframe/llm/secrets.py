@@ -80,6 +80,16 @@ def _maybe(text: Column, kind: str, pattern: str) -> Column:
 _SPANS = "array<struct<start:int,end:int,rank:int>>"
 
 
+_TRAINED: list[list[float]] = []
+
+
+def trained(spark: SparkSession) -> list[float]:
+    """The ratios of samples(), which are the same in every session, counted once."""
+    if not _TRAINED:
+        _TRAINED.append(ratios(samples(spark)))
+    return _TRAINED[0]
+
+
 def _placed(found: Column, between: Column, good: Column, rank: int) -> Column:
     """Spans of the matches whose flag in `good` is set, as (start, end, rank) structs."""
     # zip_with reads its arrays once; an array looked up inside a lambda would be made anew for each match.
@@ -111,8 +121,7 @@ def _random(token: Column, table: Column, threshold: float) -> Column:
 
 def spans_of(docs: DataFrame, *, text: str, kept: list[Column], threshold: float = RATIO) -> DataFrame:
     """`kept` columns and `spans`: all spans of `text`, by start, then kind."""
-    table = ratios(samples(docs.sparkSession))
-    models = F.lit(table)
+    models = F.lit(trained(docs.sparkSession))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     names = {}
     out = docs.select(*kept, body.alias("__body"))
