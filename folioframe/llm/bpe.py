@@ -30,7 +30,7 @@ from tokenizers import Tokenizer, models
 from .rows import ragged
 
 #: Distinct matches that a worker remembers between batches.
-MEMORY = 500_000
+MEMORY = 200_000
 #: Below this code point texts are split by the plain regular expressions of `latin_pattern`, twice as fast.
 LATIN = 0x250
 
@@ -180,7 +180,7 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def _groups(column: pa.Array, characters: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+def _groups(column: pa.Array, characters: int = 1 << 18) -> Iterator[tuple[int, list[str | None]]]:
     own, size, at = [], 0, 0
     for k, value in enumerate(column):
         own.append(text := value.as_py())

@@ -1,6 +1,6 @@
 """Arrow text columns as numpy arrays: word spans, word hashes and rolling window hashes.
 
-Everything here works on one Arrow batch, in pieces of about a megabyte, so that the temporary
+Everything here works on one Arrow batch, in pieces of a quarter of a megabyte, so that the temporary
 arrays stay small whatever the batch or the text. A null text is an empty text.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 U = np.uint64
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
