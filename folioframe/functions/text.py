@@ -17,6 +17,17 @@ FULL_WIDTH = {"\uff0c": ",", "\u3002": ".", "\uff1a": ":", "\uff1b": ";", "\uff0
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 #: Maths commands and the words for them in keys.
 MATH_WORDS = {r"\times": "x", r"\cdot": "x", r"\div": "/", r"\leq": "<=", r"\geq": ">=", r"\neq": "!=", r"\pi": "pi", r"\pm": "+-"}
+#: Maths commands and the words for them in context texts.
+CONTEXT_WORDS = {r"\cdot": "times", r"\times": "times", r"\div": "div", r"\pm": "plusminus", r"\leq": "le", r"\geq": "ge"}
+#: Patterns that context texts drop or rewrite, in order, and the characters that their keys keep.
+CONTEXT_STEPS = (
+    (r"\\frac\s*\{([^{}]+)\}\s*\{([^{}]+)\}", " frac $1 over $2 "),
+    (r"\\sqrt\s*\{([^{}]+)\}", " sqrt $1 "),
+    (r"\\text\s*\{([^{}]+)\}", " $1 "),
+    (r"\\[a-zA-Z]+", " "),
+    (r"[$*_`{}()\[\],.;:!?©®™|]+", " "),
+    (r"[^a-zA-Z0-9+\-*/=<>.%]+", " "),
+)
 ASCII_SPACE = r"[ \t\n\r\f\x0B]+"
 
 
@@ -56,6 +67,17 @@ def compact_key(c: Column) -> Column:
     return F.regexp_replace(review_key(c), "[^a-z0-9]", "")
 
 
+def context_text(c: Column) -> Column:
+    """Text for comparison in context: no images and tags, maths commands as words, little punctuation."""
+    plain = _chain(decode_entities(c), (r"!\[[^\]]*\]\([^)]+\)", " "), ("<[^>]+>", " "))
+    said = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(f" {kv[1]} ")), CONTEXT_WORDS.items(), plain)
+    return F.trim(F.lower(_chain(said, *CONTEXT_STEPS)))
+
+
+def context_key(c: Column) -> Column:
+    return F.replace(context_text(c), F.lit(" "), F.lit(""))
+
+
 def signature(c: Column, *, underscore: bool = False, lower: bool = True) -> Column:
     """Letters and digits of any script; `underscore` keeps _ too."""
     out = F.regexp_replace(c, r"[^\p{L}\p{N}_]" if underscore else r"[^\p{L}\p{N}]", "")
