@@ -30,11 +30,14 @@ def unique_key_join(left: DataFrame, right: DataFrame, key: str, id_: str, minim
 
 def contained(docs: DataFrame, needles: DataFrame, doc_id: str, doc_words: Column, needle_id: str, needle_words: Column, anchor: int = 4) -> DataFrame:
     """(doc_id, needle_id) where the needle's words occur in a row in the document. The first `anchor`
-    words are an equi-join key, the rest is verified: no nested loop over all pairs. Needles of fewer words have no match."""
-    grams = docs.withColumn("__w", doc_words).filter(F.size("__w") >= anchor).select(doc_id, "__w", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__w") - anchor + 1), lambda k: F.xxhash64(F.array_join(F.slice("__w", k, anchor), " "))))).alias("__g"))
+    words are an equi-join key and only ids and hashes go through that join; candidates are then verified on
+    the texts, joined back by id: no nested loop over all pairs. Needles of fewer words have no match."""
+    grams = docs.withColumn("__w", doc_words).filter(F.size("__w") >= anchor).select(doc_id, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__w") - anchor + 1), lambda k: F.xxhash64(F.array_join(F.slice("__w", k, anchor), " "))))).alias("__g"))
     ends = needles.withColumn("__nw", needle_words).filter(F.size("__nw") >= anchor).select(needle_id, F.array_join("__nw", " ").alias("__n"), F.xxhash64(F.array_join(F.slice("__nw", 1, anchor), " ")).alias("__g"))
-    joined = grams.join(small(ends, ["__n"]), "__g")
-    return joined.filter(F.contains(F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("__n"), F.lit(" ")))).select(doc_id, needle_id).distinct()
+    candidates = grams.join(small(ends, ["__n"]), "__g").select(doc_id, needle_id, "__n").distinct()
+    spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    texts = docs.select(doc_id, spaced(doc_words).alias("__t"))
+    return texts.join(candidates, doc_id).filter(F.contains("__t", F.concat(F.lit(" "), F.col("__n"), F.lit(" ")))).select(doc_id, needle_id).distinct()
 
 
 def windows(rows: DataFrame, group: Sequence[str], order: str, text: str, most: int) -> DataFrame:
