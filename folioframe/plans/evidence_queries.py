@@ -85,7 +85,7 @@ def _(labels: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     rows = labels.withColumn("page", F.col("doc_id") % 7)
-    return rows.select("doc_id", F.row_number().over(Window.partitionBy("quality").orderBy(*E.packet_order("toxic", "page", "doc_id"))).alias("place"))
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy("quality").orderBy(*E.packet_order("toxic", "page", "doc_id"))).cast("long").alias("place"))
 
 
 _UNITS = "(VALUES ('d', 0, 'a', 'one'), ('d', 1, 'a/b', 'two'), ('d', 2, '', 'three'), ('d', 3, 'x', ''), ('e', 0, 'q', 'q')) AS t(doc, i, path, title)"
