@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .fm_index import FMIndex
 from .rows import ALNUM, LOWER, U, mix, pieces, ragged, text_buffer, word_hashes, word_spans
@@ -184,6 +185,41 @@ def _scan(shipped, first: bool, last: bool):
     return run
 
 
+_CUTS = pa.list_(pa.list_(pa.int64()))
+
+
+def _cut(shipped, at: int, first: bool, last: bool):
+    """One block of the benchmark over the batches: its spans join those of earlier blocks, which the last
+    column holds as (first word, words beyond, first byte, bytes beyond); the last block cuts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            data, offsets = text_buffer(column)
+            _, doc, start, end, cut, _ = find_hits(shipped.value, data, offsets)
+            spans: dict[int, list] = {} if first else {d: x for d, x in enumerate(batch.column(batch.num_columns - 1).to_pylist()) if x}
+            cut = cut - offsets[doc][:, None]
+            for d, *span in zip(doc.tolist(), start.tolist(), end.tolist(), cut[:, 0].tolist(), cut[:, 1].tolist(), strict=True):
+                spans.setdefault(d, []).append(span)
+            kept = batch if first else batch.select(batch.schema.names[:-1])
+            if not last:
+                yield kept.append_column("__cuts", pa.array([spans.get(d, []) for d in range(batch.num_rows)], _CUTS))
+                continue
+            if spans:
+                out, whole = column.to_pylist(), data.tobytes()
+                for d, own in spans.items():
+                    left, parts, beyond = int(offsets[d]), [], -1
+                    for a, b, a_byte, b_byte in sorted(own):
+                        if a > beyond:  # else the words go on from the span before, and so does the cut
+                            parts.append(whole[left : int(offsets[d]) + a_byte])
+                        beyond, left = max(beyond, b), max(left, int(offsets[d]) + b_byte)
+                    out[d] = b"".join([*parts, whole[left : offsets[d + 1]]]).decode()
+                kept = kept.set_column(at, kept.schema.field(at), pa.array(out, column.type))
+            yield kept
+
+    return run
+
+
 def _blocks(items: DataFrame, item_id: str, text: str, width: int, block_bytes: int) -> Iterator[Phrases]:
     """The benchmark in blocks of bounded size, each small enough for the driver and a broadcast."""
     items = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
@@ -209,30 +245,16 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, *, width: int = 10, doc_id
 
 def strip_hits(docs: DataFrame, items: DataFrame, *, width: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` with the hit spans cut out of `text` (from the first hit word's first character to the
-    last one's last), all other columns as they are. The blocks of a large benchmark run one after the other, each over
-    the text that the last one left."""
-    spark = docs.sparkSession
-    for phrases in _blocks(items, item_id, item_text, width, block_bytes):
-        shipped, at = spark.sparkContext.broadcast(phrases), docs.columns.index(text)
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, at=at) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                column = batch.column(at)
-                data, offsets = text_buffer(column)
-                _, doc, _, _, cut, _ = find_hits(shipped.value, data, offsets)
-                if len(doc):
-                    out, whole = column.to_pylist(), data.tobytes()
-                    for d in np.unique(doc).tolist():
-                        left, kept = int(offsets[d]), []
-                        for a, b in cut[doc == d].tolist():
-                            kept.append(whole[left:a])
-                            left = b
-                        out[d] = b"".join([*kept, whole[left : offsets[d + 1]]]).decode()
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(out, column.type))
-                yield batch
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    last one's last), all other columns as they are. Every block of a large benchmark is searched in the
+    unchanged text; what they found is merged by word and cut once, by the last."""
+    spark, at = docs.sparkSession, docs.columns.index(text)
+    shipped = [spark.sparkContext.broadcast(phrases) for phrases in _blocks(items, item_id, item_text, width, block_bytes)]
+    with_cuts = T.StructType([*docs.schema.fields, T.StructField("__cuts", T.ArrayType(T.ArrayType(T.LongType())))])
+    out = docs
+    for k, block in enumerate(shipped):
+        last = k == len(shipped) - 1
+        out = out.mapInArrow(_cut(block, at, k == 0, last), docs.schema if last else with_cuts)
+    return out
 
 
 def items_digest(items: list[int]) -> str:

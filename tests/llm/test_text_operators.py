@@ -110,6 +110,17 @@ def test_op1_strip(docs, items):
             assert clean[key((i,))] == t
 
 
+def test_op1_strip_in_blocks_cuts_the_same(spark):
+    word = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    # Phrases that overlap, that follow each other, and one that only a cut would put together.
+    items = spark.createDataFrame([(k, word(6 * k, 6 * k + 12)) for k in range(8)] + [(8, word(100, 110)), (9, word(110, 120)), (10, "l0 l1 l2 l3 l4 r0 r1 r2 r3 r4")], "item_id long, text string")
+    texts = [f"before {word(0, 54)} after", f"é {word(100, 110)}, {word(110, 120)}. end", f"l0 l1 l2 l3 l4 {word(100, 110)} r0 r1 r2 r3 r4", None, "", word(0, 120)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, many = ({r.doc_id: r.text for r in decontamination.strip_hits(table, items, block_bytes=b).collect()} for b in (1 << 20, 40))
+    assert one == many
+    assert one[0] == "before  after" and one[1] == "é . end" and one[2] == "l0 l1 l2 l3 l4  r0 r1 r2 r3 r4"
+
+
 def test_fm_index_finds_all():
     gen = np.random.default_rng(3)
     text = np.append(gen.integers(0, 4, 2000), 0)
