@@ -4,8 +4,9 @@ Markup is stripped into lines, one for each block of a page. Blocks inside menus
 sidebars, notices, adverts, forms, scripts, styles and reader comments (by element, role, class or
 id) are no lines. Text lengths are summed over a sliding window of lines; the text surges where the
 sum first reaches the threshold and dives where it falls back to nothing, and everything between is
-kept. Where a page marks its article (an article or main element), lines outside the largest such element weigh nothing,
-so that surge and dive fall on its first and last line.
+kept. Where a page marks its article (an article or main element), the lines kept are those of the largest such element and of
+its siblings that are no teasers, unless more text lies outside. Inside an article class and id drop only what a reader's
+comments, adverts, notices, forms, asides and menus are named by.
 
 Nulls and edges: null or empty html, and pages without text outside what is stripped, give the empty
 text; markup that is cut off or never closed ends with the page; a null url or page_id is kept;
@@ -38,6 +39,13 @@ _AROUND = re.compile(
     r"|comments?|commentlist|disqus|replies|respond|discussion|share|sharing|social|related|recommend\w*|popup|modal|overlay|subscribe|subscription|newsletter|signup|login|search|widgets?|toolbar|pagination|pager|skip|legal|copyright)(?=$|[\s_-]|\d)",
     re.I,
 )
+#: The same within an article, where headers and other parts of the text have names as well.
+_AROUND_INSIDE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|menus?|nav\w*|sidebars?|asides?"
+    r"|comments?|commentlist|disqus|respond|popup|modal|overlay|subscribe|subscription|newsletter|signup|login)(?=$|[\s_-]|\d)",
+    re.I,
+)
+_HEADER = re.compile(r"(?<![^\s_-])header(?=$|[\s_-]|\d)", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 
 
@@ -48,16 +56,18 @@ class Line:
         self.text, self.article, self.heading, self.linked = text, article, heading, linked
 
 
-def _around(name: str, rest: str, inside: bool) -> bool:
-    """Whether an element surrounds the article rather than being part of it."""
+def _around(name: str, rest: str, inside: bool, in_article: bool = False) -> bool:
+    """Whether an element surrounds the article rather than being part of it; `inside` an article or main element."""
     if name in _DROPPED or name == "header" and not inside:
         return True
     if not rest or name in ("html", "body"):
         return False
     for key, a, b, c in _ATTRIBUTE.findall(rest):
         value, key = entities.unescape(a or b or c), key.lower()
-        if key in ("class", "id") and name not in ("article", "main") and _AROUND.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-            return True
+        if key in ("class", "id") and name not in ("article", "main"):
+            named = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)
+            if (_AROUND_INSIDE if in_article else _AROUND).search(_HEADER.sub("", named) if inside else named):
+                return True
         if key in ("class", "id") and name in ("article", "main") and re.search(r"(?:^|[\s_-])(?:comments?|reply|replies|related|promo\w*|ads?|advert\w*|teaser|sponsor\w*)(?=$|[\s_-])", value, re.I):
             return True
         if key == "role" and value.strip().lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I) or key == "itemprop" and value.lower() == "comment":
@@ -125,7 +135,7 @@ def page_lines(html: str | None) -> list[Line]:
                     break
                 if open_[k][0] in stop:
                     break
-        around = not state["dropped"] and _around(name, m["rest"], state["article"] > 0)
+        around = not state["dropped"] and _around(name, m["rest"], state["article"] > 0, any(x[0] == "article" for x in open_))
         if around:
             flush()
         open_.append((name, bool(around), state["article"]))
@@ -140,22 +150,38 @@ def page_lines(html: str | None) -> list[Line]:
     return lines
 
 
+def _articles(lines: list[Line]) -> set[int]:
+    """The marked elements that hold the article: the largest by text, and others that are no teasers. A
+    teaser is half links or more, or is headed by a link and has less than half the text of the largest."""
+    parts: dict[int, list[Line]] = {}
+    for x in lines:
+        if x.article:
+            parts.setdefault(x.article, []).append(x)
+    size = {k: sum(len(x.text) for x in own) for k, own in parts.items()}
+    largest = max(size, key=lambda k: (size[k], -k), default=0)
+
+    def teaser(k: int) -> bool:
+        heading = next((x for x in parts[k] if x.heading), None)
+        headed = heading is not None and heading.linked >= len("".join(heading.text.split()))
+        return 2 * sum(x.linked for x in parts[k]) >= size[k] or headed and 2 * size[k] < size[largest]
+
+    return {k for k in parts if k == largest or not teaser(k)}
+
+
 def main_lines(lines: list[Line], width: int = 3, surge: int = 120) -> list[Line]:
     """The lines between surge and dive. The window's sum at a line counts it and the width - 1 lines after it."""
     if not lines:
         return []
-    size: dict[int, int] = {}
-    for x in lines:
-        size[x.article] = size.get(x.article, 0) + len(x.text)
-    marked = max((a for a in size if a), key=lambda a: (size[a], -a), default=0)
-    plain = [(len(x.text) if x.article == marked else 0) if marked else max(0, len(x.text) - 2 * x.linked) for x in lines]
+    kept = _articles(lines)
+    plain = [max(0, len(x.text) - 2 * x.linked) for x in lines]
+    if kept and sum(len(x.text) for x in lines if x.article in kept) >= sum(n for x, n in zip(lines, plain, strict=True) if not x.article):
+        return [x for x in lines if x.article in kept]
     if not any(plain):
         return []
-    threshold = 1 if marked else surge
     sums = [sum(plain[k : k + width]) for k in range(len(plain))]
     best, k = (0, 0, 0), 0
     while k < len(lines):
-        if not plain[k] or sums[k] < threshold and max(plain[k], sums[k]) < threshold:
+        if not plain[k] or sums[k] < surge and max(plain[k], sums[k]) < surge:
             k += 1
             continue
         first = k
@@ -169,10 +195,9 @@ def main_lines(lines: list[Line], width: int = 3, surge: int = 120) -> list[Line
     _, first, last = best
     while last > first and not plain[last - 1]:
         last -= 1
-    if not marked:
-        while first and lines[first - 1].heading:
-            first -= 1
-    return [x for x in lines[first:last] if not marked or x.article == marked]
+    while first and lines[first - 1].heading:
+        first -= 1
+    return lines[first:last]
 
 
 def main_text(html: str | None) -> str:

@@ -353,6 +353,19 @@ def test_op10_pages(spark, empty):
     assert html_text.op10_rows(table.filter("false")).count() == 0
 
 
+def test_op10_articles_are_whole():
+    kept = ("entry-header", "page header", "discussion", "related", "legal", "search", "side", "widget")
+    inner = "".join(f'<div class="{c}"><p>Part {k} of it.</p></div>' for k, c in enumerate(kept))
+    gone = "".join(f'<div class="{c}"><p>Not this.</p></div>' for c in ("comments", "ad", "notice", "newsletter", "sidebar")) + "<aside>Nor this.</aside><form>Nor that.</form>"
+    assert html_text.main_text(f'<header class="header"><h1>Site</h1></header><article>{inner}{gone}</article><div class="related">Others</div>') == "\n".join(f"Part {k} of it." for k in range(len(kept)))
+    assert html_text.main_text('<main><div class="entry-header"><h1>Title</h1></div><p>Body of it.</p><div class="related">Others</div></main>') == "Title\nBody of it."
+    long, teaser = "word " * 40, '<article><h3><a href="/x">Another story</a></h3><p>In short.</p></article>'
+    two = f'<article><h2>One</h2><p>{long}</p></article><p>Between.</p><div>x</div><div>y</div><article><h2>Two</h2><p>Less.</p></article>{teaser}<article class="comment">Me too.</article>'
+    assert html_text.main_text(two) == f"One\n{long.strip()}\nTwo\nLess."
+    body = "".join(f"<div>{long}</div>" for _ in range(5))
+    assert html_text.main_text(f"{body}{teaser}").startswith("\n".join([long.strip()] * 5))
+
+
 def test_op10_driver_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r.text for r in html_text.op10_rows(pages).collect()}
