@@ -101,3 +101,13 @@ def bbox_union(rows: DataFrame, keys: Sequence[str], box: str) -> DataFrame:
     at = lambda f, k: f(F.get(F.col(box), F.lit(k)))
     return valid.groupBy(*keys).agg(at(F.min, 0).alias("x0"), at(F.min, 1).alias("y0"), at(F.max, 2).alias("x1"), at(F.max, 3).alias("y1"), F.count("*").alias("n_boxes"))
 
+
+def common_tokens(left: DataFrame, right: DataFrame, l_id: str, r_id: str, tokens: str, salts: int = 16) -> DataFrame:
+    """(r_id, l_id, n): how many distinct `tokens` (array) two rows share, for all pairs that share one. A small right
+    side is broadcast, so counts are partly summed before any shuffle; else tokens are salted by the left row."""
+    of = lambda rows, id_: rows.select(id_, F.explode(F.array_distinct(tokens)).alias("__t"))
+    l, r, on = of(left, l_id), of(right, r_id), ["__t"]
+    hinted = small(r, ["__t"])
+    if hinted is r:
+        l, hinted, on = l.withColumn("__s", F.pmod(F.xxhash64(l_id), F.lit(salts))), r.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["__t", "__s"]
+    return l.join(hinted, on).groupBy(r_id, l_id).agg(F.count("*").alias("n"))

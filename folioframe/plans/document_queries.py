@@ -207,6 +207,14 @@ def _(docs: DataFrame, items: DataFrame) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id"))).filter("rank <= 5")
 
 
+@R.over("token_overlap_words", "documents", "benchmark")
+def _(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """As token_overlap_topk, by all words of two characters or more of any script: no SQL; the tests hold it against brute force."""
+    tokens = lambda rows, id_: rows.select(id_, F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}]{2,}"), F.lit(0)).alias("k"))
+    pairs = M.common_tokens(tokens(docs, "doc_id"), tokens(items, "item_id"), "doc_id", "item_id", "k")
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id"))).filter("rank <= 5")
+
+
 @R.over("fuzzy_ratio", "benchmark")
 def _(items: DataFrame) -> DataFrame:
     """Neighbouring items by the standard library's sequence ratio: no SQL; the tests hold it against the library."""
