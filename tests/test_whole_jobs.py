@@ -34,3 +34,14 @@ def test_common_tokens_salted(spark, monkeypatch):
     broadcast = count()
     monkeypatch.setattr(matching, "BROADCAST_BYTES", -1)
     assert count() == broadcast == sorted((b, a, 1 + (a % 3 == b % 3)) for a in range(9) for b in range(9))
+
+
+def test_fuzzy_ratio_reads_whole_texts(spark, tmp_path):
+    sf = tables(spark, tmp_path, benchmark=([(1, "a b c d e " * 20 + "x" * 100), (2, "a b c d e " * 20 + "y" * 100)], "item_id long, text string"))
+    assert all(r.ratio < 0.9 for r in QUERIES["fuzzy_ratio"](spark, sf).collect())
+
+
+def test_exact_locator_lines(spark, tmp_path):
+    docs = [(1, "nothing here\nSecond line, here"), (2, "second line here\nshort")]
+    sf = tables(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=([(1, "First of two\nsecond LINE here\nshort")], "item_id long, text string"))
+    assert sorted(map(tuple, QUERIES["exact_locator_lines"](spark, sf).select("item_id", "line_no", "n_places").collect())) == [(1, 1, 0), (1, 2, 2), (1, 3, 0)]
