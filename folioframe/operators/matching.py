@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,11 +41,11 @@ def contained(docs: DataFrame, needles: DataFrame, doc_id: str, doc_words: Colum
     return texts.join(candidates, doc_id).filter(F.contains("__t", F.concat(F.lit(" "), F.col("__n"), F.lit(" ")))).select(doc_id, needle_id).distinct()
 
 
-def windows(rows: DataFrame, group: Sequence[str], order: str, text: str, most: int) -> DataFrame:
+def windows(rows: DataFrame, group: Sequence[str], order: str, text: str, most: int, between: str = "") -> DataFrame:
     """All runs of 1 to `most` consecutive rows: first order, number of rows, joined text; cut tails are left out."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(0, most - 1)
     kept = [*group, order]
-    return rows.withColumn("__t", F.collect_list(text).over(w)).select(*kept, F.explode(F.sequence(F.lit(1), F.size("__t"))).alias("n_rows"), "__t").select(*kept, "n_rows", F.array_join(F.slice("__t", 1, F.col("n_rows")), "").alias("joined"))
+    return rows.withColumn("__t", F.collect_list(text).over(w)).select(*kept, F.explode(F.sequence(F.lit(1), F.size("__t"))).alias("n_rows"), "__t").select(*kept, "n_rows", F.array_join(F.slice("__t", 1, F.col("n_rows")), between).alias("joined"))
 
 
 def ordinal_join(left: DataFrame, right: DataFrame, key: str, l_order: str, r_order: str, least: int = 2, shortest: int = 6) -> DataFrame:
@@ -111,3 +112,25 @@ def common_tokens(left: DataFrame, right: DataFrame, l_id: str, r_id: str, token
     if hinted is r:
         l, hinted, on = l.withColumn("__s", F.pmod(F.xxhash64(l_id), F.lit(salts))), r.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["__t", "__s"]
     return l.join(hinted, on).groupBy(r_id, l_id).agg(F.count("*").alias("n"))
+
+
+def nearest(rows: DataFrame, id_: str, vector: str, top: int = 5, block: int = 1000) -> DataFrame:
+    """(id_, other, similarity, rank): the `top` other rows of each by cosine, all against all in blocks of about `block` rows."""
+    n = max(1, -(-rows.count() // block))
+    kind = rows.schema[id_].dataType.simpleString()
+    blocks = rows.groupBy(F.pmod(F.xxhash64(id_), F.lit(n)).alias("__b")).agg(F.collect_list(F.struct(F.col(id_).alias("i"), F.col(vector).cast("array<double>").alias("v"))).alias("l"))
+    pairs = blocks.select("l").repartition(n).crossJoin(blocks.select(F.col("l").alias("r")))
+
+    def run(frames):
+        for frame in frames:
+            for l, r in zip(frame["l"], frame["r"], strict=True):
+                ids, others = (np.array([x["i"] for x in side]) for side in (l, r))
+                a, b = (np.array([x["v"] for x in side], float) for side in (l, r))
+                a, b = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (a, b))
+                for i, score in zip(ids, np.round(a @ b.T, 6), strict=True):
+                    best = np.lexsort((others, -score))[: top + 1]
+                    best = best[others[best] != i][:top]
+                    yield pd.DataFrame({id_: i, "other": others[best], "similarity": score[best]})
+
+    found = pairs.mapInPandas(run, f"{id_} {kind}, other {kind}, similarity double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(id_).orderBy(F.desc("similarity"), "other"))).filter(F.col("rank") <= top)

@@ -56,6 +56,20 @@ def _(items: DataFrame) -> DataFrame:
     return joined.select("item_id", "other", F.round(X.token_similarity(F.col("k"), F.col("k2")), 6).alias("similarity"))
 
 
+@R.over("catalogue_best", "benchmark", sql=r"""
+WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+|[\x{4e00}-\x{9fff}]+'), lambda x: length(x) > 1 AND x NOT IN ('a','an','and','at','by','for','from','in','of','on','or','the','to') AND NOT regexp_matches(x, '^(19|20|21)[0-9]{2}$'))) AS k FROM benchmark),
+p AS (SELECT a.item_id, b.item_id AS other, round(len(list_intersect(a.k, b.k)) * 1.0 / greatest(len(a.k), len(b.k)), 6) AS similarity FROM t a JOIN t b ON a.item_id <> b.item_id WHERE len(list_intersect(a.k, b.k)) > 0)
+SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, other) AS rank FROM p QUALIFY rank <= 5""")
+def _(items: DataFrame) -> DataFrame:
+    """The five most similar of all other items."""
+    tokens = items.select("item_id", X.catalogue_tokens(F.col("text")).alias("k"))
+    sizes = tokens.select("item_id", F.size("k").alias("size"))
+    pairs = M.common_tokens(tokens.withColumnRenamed("item_id", "other"), tokens, "other", "item_id", "k").filter("item_id <> other")
+    scored = pairs.join(sizes, "item_id").join(sizes.select(F.col("item_id").alias("other"), F.col("size").alias("size2")), "other")
+    best = scored.select("item_id", "other", F.round(F.col("n") / F.greatest("size", "size2"), 6).alias("similarity"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("similarity"), "other"))).filter("rank <= 5")
+
+
 @R.over("link_refs", "pages", sql="""
 SELECT page_id, len(r) AS n_refs, array_to_string(r, ' ') AS refs FROM (SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1))) AS r FROM pages)""")
 def _(pages: DataFrame) -> DataFrame:
@@ -209,6 +223,18 @@ def _(turns: DataFrame) -> DataFrame:
     return M.windows(turns, ["conv_id"], "turn", "text", 4).select("conv_id", "turn", "n_rows", F.md5("joined").alias("digest"))
 
 
+@R.over("window_locator", "conversations", sql=f"""
+WITH w AS (SELECT list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS t FROM conversations),
+x AS (SELECT array_to_string(t[1:n], ' ') AS j FROM (SELECT t, unnest(range(1, len(t) + 1)) AS n FROM w)),
+k AS (SELECT regexp_replace({_key_sql("j")}, '[^a-z0-9]', '', 'g') AS k, count(*) AS n FROM x GROUP BY ALL)
+SELECT conv_id, turn, coalesce(n, 0) AS n_places FROM (SELECT conv_id, turn, regexp_replace({_KEY}, '[^a-z0-9]', '', 'g') AS k FROM conversations) c LEFT JOIN k USING (k) WHERE length(k) >= 24""")
+def _(turns: DataFrame) -> DataFrame:
+    """For every turn with a key of 24 characters or more, how many windows of up to four turns have that key (its own counts)."""
+    keyed = M.windows(turns, ["conv_id"], "turn", "text", 4, " ").groupBy(X.compact_key(F.col("joined")).alias("k")).agg(F.count("*").alias("n"))
+    wanted = turns.select("conv_id", "turn", X.compact_key(F.col("text")).alias("k")).filter(F.length("k") >= 24)
+    return wanted.join(keyed, "k", "left").select("conv_id", "turn", F.coalesce("n", F.lit(0)).alias("n_places"))
+
+
 @R.over("token_overlap_topk", "documents", "benchmark", sql=r"""
 WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{12,}')) AS k FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{12,}')) AS k FROM benchmark),
 p AS (SELECT item_id, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(k) AS t FROM d) JOIN (SELECT item_id, unnest(k) AS t FROM b) USING (t) GROUP BY ALL)
@@ -229,10 +255,10 @@ def _(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 @R.over("fuzzy_ratio", "benchmark")
 def _(items: DataFrame) -> DataFrame:
-    """Neighbouring items by the standard library's sequence ratio: no SQL; the tests hold it against the library."""
-    a = items.select("item_id", F.col("text").alias("a"))
-    b = items.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other"), F.col("text").alias("b"))
-    return M.best_fuzzy(a.join(b, "item_id"), "a", "b", ["item_id"], "other", least=0.0).select("item_id", "other", "ratio", "rank")
+    """The five best other items of each by the standard library's sequence ratio: no SQL; the tests hold it against the library."""
+    a = items.select("item_id", F.col("text").alias("a")).repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item_id")
+    b = items.select(F.col("item_id").alias("other"), F.col("text").alias("b"))
+    return M.best_fuzzy(a.crossJoin(b).filter("item_id <> other"), "a", "b", ["item_id"], "other", least=0.0).select("item_id", "other", "ratio", "rank")
 
 
 @R.over("outcome_bucket", "documents", "labels", sql="""
@@ -261,3 +287,9 @@ SELECT label, count(*) AS n, round(avg(list_sum(list_transform(embedding, lambda
 def _(vectors: DataFrame) -> DataFrame:
     norm = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
     return vectors.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(norm), 4).alias("mean_norm"))
+
+
+@R.over("vector_nearest", "embeddings")
+def _(vectors: DataFrame) -> DataFrame:
+    """The five nearest others of every vector by cosine: no SQL; the tests hold it against brute force."""
+    return M.nearest(vectors, "vec_id", "embedding")

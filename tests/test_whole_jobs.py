@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from folioframe.catalogue import QUERIES
@@ -45,3 +46,30 @@ def test_exact_locator_lines(spark, tmp_path):
     docs = [(1, "nothing here\nSecond line, here"), (2, "second line here\nshort")]
     sf = tables(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=([(1, "First of two\nsecond LINE here\nshort")], "item_id long, text string"))
     assert sorted(map(tuple, QUERIES["exact_locator_lines"](spark, sf).select("item_id", "line_no", "n_places").collect())) == [(1, 1, 0), (1, 2, 2), (1, 3, 0)]
+
+
+def test_best_of_all_others(spark, tmp_path):
+    items = {1: "red green blue", 5: "one two three", 9: "red green blue gold", 20: "one two four"}
+    sf = tables(spark, tmp_path, benchmark=(list(items.items()), "item_id long, text string"))
+    best = {r.item_id: (r.other, r.similarity) for r in QUERIES["catalogue_best"](spark, sf).filter("rank = 1").collect()}
+    assert best == {1: (9, 0.75), 9: (1, 0.75), 5: (20, 0.666667), 20: (5, 0.666667)}
+    got = QUERIES["fuzzy_ratio"](spark, sf)
+    assert got.count() == 12 and {r.item_id: r.other for r in got.filter("rank = 1").collect()} == {1: 9, 9: 1, 5: 20, 20: 5}
+
+
+def test_window_locator(spark, tmp_path):
+    a, b = "A first turn of words", "and a second one."
+    turns = [(1, 1, a), (1, 2, b), (2, 1, f"{a} {b}"), (3, 1, "short")]
+    sf = tables(spark, tmp_path, conversations=(turns, "conv_id long, turn int, text string"))
+    assert [tuple(r) for r in QUERIES["window_locator"](spark, sf).collect()] == [(2, 1, 2)]
+
+
+def test_nearest_vectors(spark):
+    gen = np.random.default_rng(1)
+    data = gen.normal(size=(40, 8))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data)], "i long, v array<float>")
+    unit = data.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 6)
+    want = {(i, j, k + 1) for i in range(40) for k, j in enumerate(sorted((j for j in range(40) if j != i), key=lambda j: (-score[i, j], j))[:5])}
+    assert {(r.i, r.other, r["rank"]) for r in matching.nearest(rows, "i", "v", block=7).collect()} == want
