@@ -73,3 +73,11 @@ def test_nearest_vectors(spark):
     score = np.round(unit @ unit.T, 6)
     want = {(i, j, k + 1) for i in range(40) for k, j in enumerate(sorted((j for j in range(40) if j != i), key=lambda j: (-score[i, j], j))[:5])}
     assert {(r.i, r.other, r["rank"]) for r in matching.nearest(rows, "i", "v", block=7).collect()} == want
+
+
+def test_nulls_have_the_last_places(spark, tmp_path):
+    sf = tables(spark, tmp_path, documents=([(k,) for k in range(130)], "doc_id long"), labels=([(k, k % 2) for k in range(0, 130, 3)] + [(1, None)], "doc_id long, toxic int"))
+    toxic = {k: k % 2 for k in range(0, 130, 3)}
+    want = sorted(range(130), key=lambda k: (-toxic.get(k, -1), k))
+    got = QUERIES["nulls_last_places"](spark, sf).orderBy("place").collect()
+    assert [r.doc_id for r in got] == want and [r.place for r in got] == list(range(1, 131)) and got[-1].toxic is None
