@@ -32,9 +32,13 @@ def unique_key_join(left: DataFrame, right: DataFrame, key: str, id_: str, minim
 def contained(docs: DataFrame, needles: DataFrame, doc_id: str, doc_words: Column, needle_id: str, needle_words: Column, anchor: int = 4) -> DataFrame:
     """(doc_id, needle_id) where the needle's words occur in a row in the document. The first `anchor`
     words are an equi-join key and only ids and hashes go through that join; candidates are then verified on
-    the texts, joined back by id: no nested loop over all pairs. Needles of fewer words have no match."""
-    grams = docs.withColumn("__w", doc_words).filter(F.size("__w") >= anchor).select(doc_id, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__w") - anchor + 1), lambda k: F.xxhash64(F.array_join(F.slice("__w", k, anchor), " "))))).alias("__g"))
-    ends = needles.withColumn("__nw", needle_words).filter(F.size("__nw") >= anchor).select(needle_id, F.array_join("__nw", " ").alias("__n"), F.xxhash64(F.array_join(F.slice("__nw", 1, anchor), " ")).alias("__g"))
+    the texts, joined back by id: no nested loop over all pairs. Needles of fewer words have all their words as key."""
+    keyed = needles.withColumn("__nw", needle_words).filter(F.size("__nw") > 0).withColumn("__s", F.least(F.lit(anchor), F.size("__nw")))
+    sizes = sorted(r[0] for r in keyed.select("__s").distinct().collect())
+    gram = lambda k, size: F.xxhash64(F.array_join(F.slice("__w", k, size), " "))
+    of_size = lambda size: F.when(F.size("__w") >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__w") - size + 1)), lambda k: gram(k, size))).otherwise(F.array().cast("array<bigint>"))
+    grams = docs.withColumn("__w", doc_words).select(doc_id, F.explode(F.array_distinct(F.flatten(F.array(*[of_size(size) for size in sizes or [anchor]])))).alias("__g"))
+    ends = keyed.select(needle_id, F.array_join("__nw", " ").alias("__n"), F.xxhash64(F.array_join(F.slice("__nw", 1, anchor), " ")).alias("__g"))
     candidates = grams.join(small(ends, ["__n"]), "__g").select(doc_id, needle_id, "__n").distinct()
     spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     texts = docs.select(doc_id, spaced(doc_words).alias("__t"))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from folioframe.catalogue import QUERIES
+from folioframe.functions import text as X
 from folioframe.operators import matching
 
 
@@ -81,3 +82,11 @@ def test_nulls_have_the_last_places(spark, tmp_path):
     want = sorted(range(130), key=lambda k: (-toxic.get(k, -1), k))
     got = QUERIES["nulls_last_places"](spark, sf).orderBy("place").collect()
     assert [r.doc_id for r in got] == want and [r.place for r in got] == list(range(1, 131)) and got[-1].toxic is None
+
+
+def test_needles_of_few_words_are_contained(spark):
+    docs, needles = {1: "a b c d e f", 2: "b", 3: "x a b", 4: "", 5: None}, {1: "b", 2: "a b", 3: "b c d", 4: "c d e f", 5: "a b c d e", 6: "f a", 7: ""}
+    d = spark.createDataFrame(list(docs.items()), "d long, t string")
+    n = spark.createDataFrame(list(needles.items()), "n long, s string")
+    got = matching.contained(d, n, "d", X.words(F.col("t")), "n", X.words(F.col("s")))
+    assert sorted(map(tuple, got.collect())) == sorted((i, j) for i, t in docs.items() for j, s in needles.items() if t and s and f" {s} " in f" {t} ")
