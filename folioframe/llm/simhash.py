@@ -16,6 +16,7 @@ returned as often; an empty table gives none. Other columns are never read.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -183,7 +184,7 @@ def _finer(distance: int):
 def near_pairs(fps: DataFrame, *, distance: int = 4, parts: int = 7, largest: int = 100_000) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that differ in `distance` bits at
     most, enough of them to connect all that are connected; a is linked to a smaller b, as unsigned."""
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, largest = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(largest, 1 << distance)  # smaller groups can't always be split without loss
     keyed = fps.select(_keyed(choose_masks(list(range(64)), parts, distance), F.col("fp")).alias("k"), "fp").select("k.mask", "k.bits", "fp")
     found = None
     while True:
@@ -199,14 +200,15 @@ def near_pairs(fps: DataFrame, *, distance: int = 4, parts: int = 7, largest: in
 
 
 def durable(frame: DataFrame) -> DataFrame:
-    """The frame, written to the folder that all executors share."""
+    """The frame, written to the folder that all executors share: the one named by spark.checkpoint.dir. Only a
+    local master, whose executor is the driver, may do without one."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not shared:
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="checkpoint-")  # only where no cluster names one, as in tests
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(shared)
     return frame.checkpoint()
 
@@ -246,9 +248,3 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, seed: int = 42, distance
 def op9_rows(docs: DataFrame) -> DataFrame:
     out = near_duplicates(docs)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that are first of their group: smallest doc_id. Rows without doc_id stay."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text).filter(F.col(doc_id) != F.col("component_id")).select(doc_id).distinct()
-    return docs.join(found, doc_id, "left_anti")
