@@ -2,9 +2,15 @@
 
 A text's subwords are its runs of 2, 3 and 4 bytes (A-Z in lower case, other ASCII than letters as
 a space), hashed into buckets. A text is the mean of its subwords' vectors; a softmax over it gives
-the languages. Both are trained by stochastic gradient descent on a bounded sample of documents. A
-temperature and a rejection threshold are then fitted on rows of the sample that training left out.
-Scoring folds the vectors and the softmax into one table, a row for each bucket.
+the languages. Both are trained by stochastic gradient descent on a bounded sample of documents.
+
+Calibration uses short excerpts (EXCERPTS bytes) of the rows that training left out. The temperature
+is fitted on them. The threshold comes from models that each leave one language out: it is where
+they tell excerpts of the language they never saw from excerpts of those they know best, though at
+most KEPT_BACK of the known ones may be rejected. What is rejected keeps its prediction.
+
+Scoring folds the vectors and the softmax into one table of whole numbers, a row for each bucket, so
+that a text's score is a function of the text alone, whatever it shares a batch with.
 
 Nulls and edges: a null text or one without letters is `und` with score 0, and rejected; rows with a
 null lang are never learned from; without any row to learn from, all is `und`; ties go to the
@@ -26,6 +32,13 @@ BITS = 15
 #: Documents that a model is fitted on, at most: those whose ids hash lowest.
 SAMPLE = 2000
 UNKNOWN = "und"
+#: Sizes of the excerpts that calibrate, in bytes, and the share of known ones that may be rejected.
+EXCERPTS, KEPT_BACK = (30, 60, 120, 240), 0.05
+#: Documents that each model which leaves a language out is fitted on, at most.
+LEFT_OUT = 400
+#: Steps of a logit in the folded table.
+STEPS = 1 << 16
+SIZES = (2, 3, 4)
 _PLAIN = np.arange(256, dtype=np.uint32)
 _PLAIN[:128] = 32
 _PLAIN[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -37,7 +50,7 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     Subwords that span two texts fall to the bucket 1 << BITS, which has no weight."""
     plain = _PLAIN[data]
     run = plain.copy()
-    for size in (2, 3, 4):
+    for size in SIZES:
         run = (run[:-1] << np.uint32(8)) | plain[size - 1 :] if len(run) else run
         bucket = ((run * np.uint32(2654435761 + 2 * size)) >> np.uint32(32 - BITS)).astype(np.int32)
         at = np.minimum(offsets, len(bucket))
@@ -47,100 +60,135 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield bucket, at
 
 
-def _counts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct buckets and their share of the text, one text after the other."""
-    data, offsets = text_buffer(column)
-    for k in range(len(offsets) - 1):
-        own = data[offsets[k] : offsets[k + 1]]
-        found = np.concatenate([b for b, _ in subwords(own, np.array([0, len(own)]))])
-        bucket, n = np.unique(found, return_counts=True)
-        yield bucket, (n / max(1, len(found))).astype(np.float32)
+def n_subwords(sizes: np.ndarray) -> np.ndarray:
+    """How many subwords texts of these numbers of bytes have themselves."""
+    return sum(np.maximum(sizes - size + 1, 0) for size in SIZES)
+
+
+def _count(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of one text and their share of it."""
+    found = np.concatenate([b for b, _ in subwords(own, np.array([0, len(own)]))])
+    bucket, n = np.unique(found, return_counts=True)
+    return bucket, (n / max(1, len(found))).astype(np.float32)
+
+
+def _excerpts(own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The counts of an excerpt of each size that the text has, from a place that its bytes choose."""
+    place = int(own.sum(dtype=np.int64)) * 2654435761 % (1 << 32) / (1 << 32)
+    cuts = (own[int(place * (len(own) - size)) :][:size] for size in EXCERPTS if len(own) >= size)
+    return [_count(x) for x in cuts]
 
 
 class Model:
-    """`table`: a row of logits for each bucket, and a last row of zeros."""
+    """`table`: a row of logits for each bucket, in steps of 1 / STEPS, and a last row of zeros."""
 
     def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, threshold: float) -> None:
         self.languages, self.table, self.bias, self.temperature, self.threshold = languages, table, bias, temperature, threshold
 
     def logits(self, column: pa.Array) -> np.ndarray:
         data, offsets = text_buffer(column)
-        out = np.zeros((len(offsets) - 1, len(self.languages)))
+        total = np.zeros((len(offsets) - 1, len(self.languages)), np.int64)
         for low, high in pieces(offsets, 1 << 18):
             at = offsets[low : high + 1] - offsets[low]
-            total, n = np.zeros((high - low, len(self.languages))), np.zeros(high - low)
             for bucket, cut in subwords(data[offsets[low] : offsets[high]], at):
-                size = np.diff(cut)
-                full = np.flatnonzero(size)
+                full = np.flatnonzero(np.diff(cut))
                 if len(full):
-                    total[full] += np.add.reduceat(self.table[bucket], cut[:-1][full], axis=0, dtype=np.float64)
-                n += size
-            out[low:high] = total / np.maximum(n, 1)[:, None]
-        return out + self.bias
+                    total[low + full] += np.add.reduceat(self.table[bucket], cut[:-1][full], axis=0, dtype=np.int64)
+        return total / (np.maximum(n_subwords(np.diff(offsets)), 1)[:, None] * float(STEPS)) + self.bias
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
-        z = (logits - logits.max(1, keepdims=True)) / self.temperature
-        e = np.exp(z)
-        return e / e.sum(1, keepdims=True)
+        return _softmax(logits / self.temperature)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], *, dim: int = 16, epochs: int = 6, rate: float = 8.0, seed: int = 7, reject: float = 0.005) -> Model | None:
-    """Stochastic gradient descent over (language, buckets, shares); a tenth of the rows is kept for calibration."""
-    if not rows:
-        return None
-    languages = sorted({r[0] for r in rows})
-    index = {x: k for k, x in enumerate(languages)}
-    target = np.array([index[r[0]] for r in rows])
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _descend(rows: list[tuple[str, Counts]], languages: list[str], dim: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The folded table (a row of logits a bucket) and the biases, by stochastic gradient descent."""
+    target = np.array([languages.index(r[0]) for r in rows])
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 1 / dim, ((1 << BITS) + 1, dim)).astype(np.float32)
-    vectors[-1] = 0
     weights, bias = np.zeros((dim, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    order = rng.permutation(len(rows))
-    kept = order[: len(rows) // 10]
-    learned = order[len(rows) // 10 :]
-
-    def means(batch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        bucket = np.concatenate([rows[k][1] for k in batch])
-        share = np.concatenate([rows[k][2] for k in batch])
-        owner = np.repeat(np.arange(len(batch)), [len(rows[k][1]) for k in batch])
-        mean = np.zeros((len(batch), dim), np.float32)
-        full = [i for i, k in enumerate(batch) if len(rows[k][1])]
-        starts = np.searchsorted(owner, full)
-        if full:
-            mean[full] = np.add.reduceat(vectors[bucket] * share[:, None], starts, axis=0)
-        return bucket, share, owner, mean
-
-    steps, done = epochs * -(-len(learned) // 16), 0
+    order, steps, done = np.arange(len(rows)), epochs * -(-len(rows) // 16), 0
     for _ in range(epochs):
-        rng.shuffle(learned)
-        for low in range(0, len(learned), 16):
-            batch = learned[low : low + 16]
-            bucket, share, owner, mean = means(batch)
-            z = mean @ weights + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
+        rng.shuffle(order)
+        for low in range(0, len(order), 16):
+            batch = order[low : low + 16]
+            bucket, share = (np.concatenate([rows[k][1][i] for k in batch]) for i in (0, 1))
+            sizes = np.array([len(rows[k][1][0]) for k in batch])
+            owner = np.repeat(np.arange(len(batch)), sizes)
+            mean = np.add.reduceat(vectors[bucket] * share[:, None], np.cumsum(sizes) - sizes, axis=0)
+            p = _softmax(mean @ weights + bias)
             p[np.arange(len(batch)), target[batch]] -= 1
             step = rate * (1 - done / steps) / len(batch)
             to_mean = p @ weights.T
             weights -= step * (mean.T @ p)
             bias -= step * 0.1 * p.sum(0)
-            np.subtract.at(vectors, bucket, step * 16 * share[:, None] * to_mean[owner])
+            by = np.argsort(bucket, kind="stable")
+            new = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+            vectors[bucket[by[new]]] -= step * 16 * np.add.reduceat(share[by, None] * to_mean[owner[by]], new, axis=0)
             done += 1
-    vectors[-1] = 0
-    logits = np.concatenate([means(kept[k : k + 64])[3] for k in range(0, len(kept), 64)]) @ weights + bias if len(kept) else np.zeros((0, len(languages)))
-    model = Model(languages, (vectors @ weights).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
-    if len(kept):
-        loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(kept)), target[kept]], 1e-12)).mean()
-        model.temperature = float(min((0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss))
-        p = model.probabilities(logits)
-        right = p.max(1)[p.argmax(1) == target[kept]]
-        model.threshold = float(np.quantile(right, reject)) if len(right) else 1.0
-    return model
+    table = vectors @ weights
+    table[-1] = 0
+    return table, bias
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+def _logits(table: np.ndarray, bias: np.ndarray, counted: list[Counts]) -> np.ndarray:
+    return np.array([share @ table[bucket] for bucket, share in counted]).reshape(-1, len(bias)) + bias
+
+
+def _temperature(logits: np.ndarray, target: np.ndarray) -> float:
+    """The temperature of the least log loss, between 1 / 1000 and 1000; half an excerpt's weight is spread evenly over the
+    languages, so that a model without errors on the excerpts does not end at certainty."""
+    n = len(target)
+    wanted = np.full(logits.shape, 0.5 / n / logits.shape[1])
+    wanted[np.arange(n), target] += 1 - 0.5 / n
+    loss = lambda t: -(wanted * np.log(np.maximum(_softmax(logits / t), 1e-300))).sum()
+    grid = np.geomspace(1e-3, 1e3, 121)
+    return float(min(grid, key=loss))
+
+
+def _threshold(known: np.ndarray, unseen: np.ndarray) -> float:
+    """Where scores of unseen languages part best from known ones, at most KEPT_BACK of which may lie below."""
+    if not len(known) or not len(unseen):
+        return 0.0
+    cuts = np.quantile(known, np.linspace(0, KEPT_BACK, 51))
+    return float(max(cuts, key=lambda c: (unseen < c).mean() - (known < c).mean()))
+
+
+def train(rows: list[tuple[str, Counts, list[Counts]]], *, dim: int = 16, epochs: int = 6, rate: float = 8.0, seed: int = 7) -> Model | None:
+    """A model of (language, counts of the text, counts of its excerpts); every tenth row is kept for calibration."""
+    if not rows:
+        return None
+    languages = sorted({r[0] for r in rows})
+    order = np.random.default_rng(seed).permutation(len(rows))
+    kept, learned = ([rows[k] for k in part] for part in (order[: len(rows) // 10], order[len(rows) // 10 :]))
+    table, bias = _descend([r[:2] for r in learned], languages, dim, epochs, rate, seed)
+    excerpts = [(x, r[0]) for r in kept for x in r[2]]
+    temperature, threshold = 1.0, 0.0
+    if excerpts:
+        temperature = _temperature(_logits(table, bias, [x for x, _ in excerpts]), np.array([languages.index(l) for _, l in excerpts]))
+    if excerpts and len(languages) > 2:
+        known, unseen = [], []
+        for without in languages:
+            others = [x for x in languages if x != without]
+            part = [r[:2] for r in learned if r[0] != without][:LEFT_OUT]
+            if {r[0] for r in part} == set(others):
+                t, b = _descend(part, others, dim, epochs // 2, rate, seed)
+                own = np.array([l != without for _, l in excerpts])
+                z = _logits(t, b, [x for x, _ in excerpts])
+                if own.any():
+                    p = _softmax(z / _temperature(z[own], np.array([others.index(l) for _, l in excerpts if l != without]))).max(1)
+                    known.append(p[own])
+                    unseen.append(p[~own])
+        if known:
+            threshold = _threshold(np.concatenate(known), np.concatenate(unseen))
+    return Model(languages, np.round(table * STEPS).astype(np.int32), bias.astype(np.float64), temperature, threshold)
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -148,20 +196,35 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def fit(docs: DataFrame, *, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """A model of at most `sample` rows of `docs` that fulfil `learn` and have a lang, lowest hash of doc_id first."""
+    """A model of at most `sample` rows of `docs` that fulfil `learn` and have a lang: one for each of the doc_ids that
+    hash lowest (of rows that share one, that with the lowest hash of its text), so that repeats bring no more rows."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
     rows = rows if learn is None else rows.filter(learn)
-    ids = rows.select(F.col(doc_id).cast("long").alias("doc"), F.col(lang).cast("string").alias("lang")).orderBy(F.xxhash64(F.col(doc_id).cast("long")), F.col(doc_id), "lang").limit(sample).dropDuplicates(["doc"])
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("body")).join(F.broadcast(ids), "doc").select("doc", "lang", "body")
+    rows = rows.select(F.col(doc_id).cast("long").alias("doc"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("body"))
+    ids = rows.select("doc").distinct().orderBy(F.xxhash64("doc"), "doc").limit(sample)
+    one = rows.join(F.broadcast(ids), "doc").groupBy("doc").agg(F.min(F.struct(F.xxhash64("body").alias("h"), "lang", "body")).alias("r"))
+    ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counted = list(_counts(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b for b, _ in counted], pa.list_(pa.int32())), pa.array([s for _, s in counted], pa.list_(pa.float32()))], ["doc", "lang", "bucket", "share"])
-
-    table = chosen.mapInArrow(run, "doc long, lang string, bucket array<int>, share array<float>").toArrow()
-    rows_ = sorted(((d.as_py(), l.as_py(), k) for k, (d, l) in enumerate(zip(table["doc"], table["lang"], strict=True))), key=lambda x: x[:2])
-    values = [(l, table["bucket"][k].values.to_numpy(), table["share"][k].values.to_numpy()) for _, l, k in rows_ if len(table["bucket"][k])]
+            data, offsets = text_buffer(batch.column(2))
+            found = [[_count(data[a:z]), *_excerpts(data[a:z])] for a, z in zip(offsets, offsets[1:], strict=False)]
+            flat = [x for own in found for x in own]
+            cuts = ends([len(b) for b, _ in flat])
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([x[k] for x in flat] or [np.zeros(0)]).astype(kind))) for k, kind in ((0, np.int32), (1, np.float32))]
+            counts = pa.ListArray.from_arrays(ends([len(x) for x in found]), pa.StructArray.from_arrays(lists, ["bucket", "share"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts], ["doc", "lang", "counts"])
+
+    table = one.select("doc", "r.lang", "r.body").mapInArrow(run, "doc long, lang string, counts array<struct<bucket:array<int>,share:array<float>>>").toArrow().sort_by("doc").combine_chunks()
+    values = []
+    for part in table.to_batches():
+        lists = part.column(2)
+        of_doc, inner = lists.offsets.to_numpy(), lists.values
+        cuts, bucket, share = inner.field("bucket").offsets.to_numpy(), inner.field("bucket").values.to_numpy(), inner.field("share").values.to_numpy()
+        for name, a, z in zip(part.column(1).to_pylist(), of_doc.tolist(), of_doc[1:].tolist(), strict=False):
+            counts = [(bucket[cuts[k] : cuts[k + 1]], share[cuts[k] : cuts[k + 1]]) for k in range(a, z)]
+            if len(counts[0][0]):
+                values.append((name, counts[0], counts[1:]))
     return train(values)
 
 

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,39 @@ def test_op5_odd_rows(spark):
     assert langid.op5_rows(table.filter("false")).count() == 0
 
 
+def test_op5_is_a_function_of_the_text(spark, documents):
+    model = langid.fit(documents)
+    texts = ["ab", "x", "", "der die das", "a", "zz zz", "the of and", "日本", "é", *(r.text[:n] for n, r in zip((7, 30, 500), documents.filter("text is not null").take(3), strict=True))]
+    whole = model.logits(pa.array(texts * 50))
+    for k, t in enumerate(texts):
+        assert np.array_equal(model.logits(pa.array([t]))[0], whole[k])
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 20)], "doc_id long, text string")
+    answers = [{r.doc_id: r[1:] for r in langid.identify(rows.repartition(n), model).collect()} for n in (1, 7)]
+    assert answers[0] == answers[1] and all(answers[0][k] == answers[0][k % len(texts)] for k in answers[0])
+
+
+def test_op5_calibration(documents):
+    """Short held-out excerpts: confidence is near accuracy. A language left out of training is rejected, known ones are not."""
+    learn = langid.fold(F.col("doc_id"), 4) != 2
+    rows = documents.filter("text is not null and lang is not null").select("text", "lang", (~learn).alias("held")).toPandas()
+    cut = lambda part: pa.array([t[:60] for t in part.text if len(t) >= 60])
+    model = langid.fit(documents, learn=learn)
+    held = rows[rows.held & (rows.text.str.len() >= 60)]
+    p = model.probabilities(model.logits(cut(held)))
+    right = np.array(model.languages)[p.argmax(1)] == held.lang.to_numpy()
+    assert abs(p.max(1).mean() - right.mean()) < 0.03 and 1e-3 < model.temperature < 1e3
+    model = langid.fit(documents.filter("lang <> 'fr'"), learn=learn)
+    score = lambda part: model.probabilities(model.logits(cut(part))).max(1)
+    assert (score(rows[rows.lang == "fr"]) < model.threshold).mean() > 0.9
+    assert (score(held[held.lang != "fr"]) < model.threshold).mean() < 0.15
+
+
+def test_op5_learns_from_one_row_a_document(spark):
+    rows = [(1, "the of and to in is", "en")] * 50 + [(2, "der die und das ist", "de")] * 50 + [(3, "le la les et des", None)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en"]
+
+
 def test_pipeline_stages(spark, documents):
     docs, kept = documents, {}
     for name, stage in corpus_pipeline.STAGES:
