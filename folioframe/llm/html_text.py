@@ -1,15 +1,15 @@
 """Main text of web pages by the line-block distribution.
 
-Markup is stripped into lines, one for each block of a page. Blocks inside menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments (by element, role, class or
-id) are no lines. Text lengths are summed over a sliding window of lines; the text surges where the
-sum first reaches the threshold and dives where it falls back to nothing, and everything between is
-kept. Where a page marks its article (an article or main element), the lines kept are those of the largest such element and of
-its siblings that are no teasers, unless more text lies outside. Inside an article class and id drop only what a reader's
-comments, adverts, notices, forms, asides and menus are named by.
+Markup is stripped into lines, one for each block of a page; what surrounds an article by element, role,
+class or id (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
+comments) is no line. Each line has a weight: its text's length without links, raised where the page
+marks an article (an article or main element that is no teaser), lowered outside it. Weights are summed over a sliding window of
+lines; text surges where the sum reaches SURGE and dives where it falls below a fraction of it.
+Of the stretches between surge and dive the heaviest is kept, and those that have a fair share of its weight; headings and up to
+WINDOW short lines of the same element right before a stretch belong to it, and short lines between two kept ones within one element.
 
 Nulls and edges: null or empty html, and pages without text outside what is stripped, give the empty
-text; markup that is cut off or never closed ends with the page; a null url or page_id is kept;
+text; markup that is cut off or never closed ends with the page; a page without a surge keeps all lines that are not links; a null url or page_id is kept;
 repeated pages give repeated rows; an empty table gives none. Other columns are never read.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,32 +29,38 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?P<odd>/?[a-zA-Z])[^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I)
+#: One attribute after the other, values included, so that no name is looked for within a value or another name.
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 #: Elements that are never part of the text.
 _DROPPED = frozenset("nav footer aside form button select option noscript template svg canvas head object audio video dialog menu fieldset input label".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
-#: Parts of class and id values that name what surrounds an article.
-_AROUND = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|menus?|nav\w*|sidebars?|side|breadcrumbs?|footer\w*|header|masthead|topbar"
-    r"|comments?|commentlist|disqus|replies|respond|discussion|share|sharing|social|related|recommend\w*|popup|modal|overlay|subscribe|subscription|newsletter|signup|login|search|widgets?|toolbar|pagination|pager|skip|legal|copyright)(?=$|[\s_-]|\d)",
-    re.I,
-)
-#: The same within an article, where headers and other parts of the text have names as well.
-_AROUND_INSIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|menus?|nav\w*|sidebars?|asides?"
-    r"|comments?|commentlist|disqus|respond|popup|modal|overlay|subscribe|subscription|newsletter|signup|login)(?=$|[\s_-]|\d)",
-    re.I,
-)
-_HEADER = re.compile(r"(?<![^\s_-])header(?=$|[\s_-]|\d)", re.I)
+#: Parts of class and id names that say what surrounds an article, and those of them that say so within one, where headers and
+#: other parts of the text have names as well.
+_INSIDE = frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promoted promotion cookie cookies consent gdpr notice notices alert alerts menu menus nav navbar navigation sidebar sidebars aside asides comment comments commentlist disqus respond popup modal overlay subscribe subscription newsletter signup login".split())
+_AROUND = _INSIDE | frozenset("banner banners side breadcrumb breadcrumbs footer footers header masthead topbar replies discussion share sharing social related recommend recommended recommendations search widget widgets toolbar pagination pager skip legal copyright".split())
+#: In a name with one of these parts the others say what the page has or lacks around, not what the element is.
+_SAYS_OF_PAGE = frozenset("has have no not non with without is hide hides show shows".split())
+_REMARKS = frozenset("comment comments reply replies related promo promos ad ads advert adverts teaser teasers sponsor sponsored".split())
+#: Elements whose lines belong together.
+_HOLDERS = frozenset("body article main section div td".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 
 
 class Line:
-    __slots__ = ("article", "heading", "linked", "text")
+    __slots__ = ("article", "heading", "linked", "parent", "text")
+
+    def __init__(self, text: str, article: int, heading: bool, linked: int, parent: int) -> None:
+        self.text, self.article, self.heading, self.linked, self.parent = text, article, heading, linked, parent
 
-    def __init__(self, text: str, article: int, heading: bool, linked: int) -> None:
-        self.text, self.article, self.heading, self.linked = text, article, heading, linked
+
+def _named(value: str, words: frozenset[str]) -> bool:
+    """Whether one of the names in a class or id value has a part in `words`: `site-footer` has, `has-footer` has not."""
+    for name in value.split():
+        parts = {re.sub(r"\d+$", "", x) for x in re.split(r"[-_:]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())}
+        if parts & words and not parts & _SAYS_OF_PAGE:
+            return True
+    return False
 
 
 def _around(name: str, rest: str, inside: bool, in_article: bool = False) -> bool:
@@ -62,13 +69,10 @@ def _around(name: str, rest: str, inside: bool, in_article: bool = False) -> boo
         return True
     if not rest or name in ("html", "body"):
         return False
+    words = _REMARKS if name in ("article", "main") else _INSIDE if in_article else _AROUND
     for key, a, b, c in _ATTRIBUTE.findall(rest):
         value, key = entities.unescape(a or b or c), key.lower()
-        if key in ("class", "id") and name not in ("article", "main"):
-            named = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)
-            if (_AROUND_INSIDE if in_article else _AROUND).search(_HEADER.sub("", named) if inside else named):
-                return True
-        if key in ("class", "id") and name in ("article", "main") and re.search(r"(?:^|[\s_-])(?:comments?|reply|replies|related|promo\w*|ads?|advert\w*|teaser|sponsor\w*)(?=$|[\s_-])", value, re.I):
+        if key in ("class", "id") and _named(value, words - {"header"} if inside else words):
             return True
         if key == "role" and value.strip().lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I) or key == "itemprop" and value.lower() == "comment":
             return True
@@ -78,14 +82,15 @@ def _around(name: str, rest: str, inside: bool, in_article: bool = False) -> boo
 def page_lines(html: str | None) -> list[Line]:
     """The blocks of a page outside what surrounds the article, in order."""
     lines: list[Line] = []
-    open_: list[tuple[str, bool, int]] = []  # name, whether it began a dropped part, its article's number
+    open_: list[tuple[str, bool, int, int]] = []  # name, whether it began a dropped part, the article and the parent around it
+    is_open: Counter[str] = Counter()
     parts: list[str] = []
-    state = {"dropped": 0, "article": 0, "articles": 0, "link": 0, "linked": 0, "heading": False}
+    state = {"dropped": 0, "article": 0, "articles": 0, "parent": 0, "parents": 0, "link": 0, "linked": 0, "heading": False}
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            lines.append(Line(text, state["article"], state["heading"], state["linked"]))
+            lines.append(Line(text, state["article"], state["heading"], state["linked"], state["parent"]))
         parts.clear()
         state["linked"] = 0
 
@@ -96,9 +101,10 @@ def page_lines(html: str | None) -> list[Line]:
             if state["link"]:
                 state["linked"] += len("".join(text.split()))
 
-    def pop(name: str, around: bool, article: int) -> None:
+    def pop(name: str, around: bool, article: int, parent: int) -> None:
+        is_open[name] -= 1
         state["dropped"] -= around
-        state["article"] = article
+        state["article"], state["parent"] = article, parent
         if name == "a":
             state["link"] -= 1
 
@@ -114,7 +120,7 @@ def page_lines(html: str | None) -> list[Line]:
         elif name == "br":
             add(" ")
         if m["close"]:
-            if any(x[0] == name for x in open_):
+            if is_open[name]:
                 while True:
                     last = open_.pop()
                     pop(*last)
@@ -135,10 +141,14 @@ def page_lines(html: str | None) -> list[Line]:
                     break
                 if open_[k][0] in stop:
                     break
-        around = not state["dropped"] and _around(name, m["rest"], state["article"] > 0, any(x[0] == "article" for x in open_))
+        around = not state["dropped"] and _around(name, m["rest"], state["article"] > 0, is_open["article"] > 0)
         if around:
             flush()
-        open_.append((name, bool(around), state["article"]))
+        open_.append((name, bool(around), state["article"], state["parent"]))
+        is_open[name] += 1
+        if name in _HOLDERS:
+            state["parents"] += 1
+            state["parent"] = state["parents"]
         state["dropped"] += around
         if name == "a":
             state["link"] += 1
@@ -168,36 +178,51 @@ def _articles(lines: list[Line]) -> set[int]:
     return {k for k in parts if k == largest or not teaser(k)}
 
 
-def main_lines(lines: list[Line], width: int = 3, surge: int = 120) -> list[Line]:
-    """The lines between surge and dive. The window's sum at a line counts it and the width - 1 lines after it."""
-    if not lines:
-        return []
-    kept = _articles(lines)
+SURGE, DIVE, WINDOW, FAIR, MARKED = 120, 12, 3, 0.2, 4
+
+
+def weights(lines: list[Line]) -> list[int]:
+    """A line's length without its links, at twice. If the page marks articles that hold no less text than the rest, their lines
+    weigh MARKED times as much and enough for a surge each, all others a quarter."""
     plain = [max(0, len(x.text) - 2 * x.linked) for x in lines]
-    if kept and sum(len(x.text) for x in lines if x.article in kept) >= sum(n for x, n in zip(lines, plain, strict=True) if not x.article):
-        return [x for x in lines if x.article in kept]
-    if not any(plain):
-        return []
-    sums = [sum(plain[k : k + width]) for k in range(len(plain))]
-    best, k = (0, 0, 0), 0
-    while k < len(lines):
-        if not plain[k] or sums[k] < surge and max(plain[k], sums[k]) < surge:
+    kept = _articles(lines)
+    if not kept or sum(len(x.text) for x in lines if x.article in kept) < sum(n for x, n in zip(lines, plain, strict=True) if x.article not in kept):
+        return plain
+    return [MARKED * len(x.text) + SURGE if x.article in kept else n // MARKED for x, n in zip(lines, plain, strict=True)]
+
+
+def main_lines(lines: list[Line]) -> list[Line]:
+    """The lines between surge and dive. The window's sum at a line counts it and the WINDOW - 1 lines after it."""
+    weight = weights(lines)
+    n, sums = len(lines), [sum(weight[k : k + WINDOW]) for k in range(len(weight))]
+    stretches, k = [], 0
+    while k < n:
+        if weight[k] < DIVE or sums[k] < SURGE:
             k += 1
             continue
         first = k
-        while k < len(lines) and sums[k] > 0:
+        while k < n and sums[k] >= DIVE:
             k += 1
-        total = sum(plain[first:k])
-        if total > best[0]:
-            best = total, first, k
-    if not best[0]:  # nowhere enough text for a surge: all lines that are not links
-        return [x for x, n in zip(lines, plain, strict=True) if n]
-    _, first, last = best
-    while last > first and not plain[last - 1]:
-        last -= 1
-    while first and lines[first - 1].heading:
-        first -= 1
-    return lines[first:last]
+        last = k
+        while weight[last - 1] < DIVE and not (last < n and lines[last - 1].parent == lines[first].parent and weight[last - 1]):
+            last -= 1
+        stretches.append((sum(weight[first:last]), first, last))
+    if not stretches:  # nowhere enough text for a surge: all lines that are not links
+        return [x for x, w in zip(lines, weight, strict=True) if w]
+    most = max(stretches)[0]
+    keep: set[int] = set()
+    before = None
+    for total, first, last in stretches:
+        if total < FAIR * most:
+            continue
+        surge = first
+        while first and weight[first - 1] and (lines[first - 1].heading or surge - first < WINDOW and lines[first - 1].parent == lines[surge].parent):
+            first -= 1
+        keep.update(range(first, last))
+        if before is not None and len({lines[k].parent for k in range(before - 1, first + 1)}) == 1:
+            keep.update(k for k in range(before, first) if weight[k])
+        before = last
+    return [lines[k] for k in sorted(keep)]
 
 
 def main_text(html: str | None) -> str:

@@ -7,7 +7,9 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -366,6 +368,31 @@ def test_op10_articles_are_whole():
     assert html_text.main_text(f"{body}{teaser}").startswith("\n".join([long.strip()] * 5))
 
 
+def test_op10_names_say_what_they_say():
+    body = "<p>The text of it.</p>"
+    for wrapper in ('class="no-sidebar"', 'class="wide has-sidebar"', 'id="page-without-footer"', 'data-class="ad"', 'title="class=ad"', "data-role='navigation'"):
+        assert html_text.main_text(f"<div {wrapper}><article>{body}</article></div>") == "The text of it.", wrapper
+    assert html_text.main_text('<article><p data-state="hidden">A</p><p title="a hidden gem">B</p><p hidden>C</p><p class="ad">D</p></article>') == "A\nB"
+    assert html_text.main_text(f'<article>{body}</article><div class="x"><article><p>And another one.</p></article></div>') == "The text of it.\nAnd another one."
+
+
+def test_op10_surge_and_dive_choose(spark):
+    """Without any mark the weights alone find the body: pages keep their text when the article tags go."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    for page in pages:
+        want, got = (Counter(html_text.main_text(x).split()) for x in (page, re.sub("</?article>", "", page)))
+        assert 2 * sum((want & got).values()) >= 0.95 * (sum(want.values()) + sum(got.values()))
+    link, long = '<li><a href="/x">A link of some length to another page</a></li>', f"<p>{'word ' * 60}</p>"
+    text = html_text.main_text(f"<ul>{link * 8}</ul><div>{long * 3}</div><ul>{link * 8}</ul><div><p>Small print.</p></div>")
+    assert text == "\n".join([("word " * 60).strip()] * 3)
+
+
+def test_op10_deep_markup_is_linear():
+    begin = time.perf_counter()
+    assert html_text.main_text("<div>" * 40_000 + "deep" + "</div></b>" * 40_000) == "deep"
+    assert time.perf_counter() - begin < 10
+
+
 def test_op10_driver_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r.text for r in html_text.op10_rows(pages).collect()}
