@@ -3,7 +3,8 @@
 A page's HTML is parsed into an ordered sequence of structs: text, or a media reference with its
 digest and caption, each with its position. Payloads live in a media column, as lossless 8-bit
 greyscale PNG images of 24 samples a row, one row for each distinct digest. References join the
-media by digest; positions and captions come along unchanged.
+media by digest; positions and captions come along unchanged. Digests that more than one reference
+in SHARE has, a thousand at most, are joined by broadcast, so that no copy's references meet in one task.
 
 Nulls and edges: a null or empty text is an empty payload, padded like any other; a page that is
 null has no items; a reference without a payload keeps its row, with nulls for the media; equal
@@ -21,12 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .simhash import durable
+
 #: Payloads are padded with this byte to a positive multiple of UNIT bytes, which is a square of WIDTH samples.
 PAD, UNIT, WIDTH = 255, 576, 24
 SCHEME = "media:sha256:"
+#: A digest with more than HOT references and more than one in SHARE of all is hot: there are fewer than SHARE of them.
+HOT, SHARE = 200, 1000
+#: Digests that a task remembers to have stored already.
+REMEMBERED = 1 << 16
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -83,14 +90,24 @@ def feature(payload: bytes) -> str:
 
 
 def store(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """(digest, n_bytes, media): the media column of all texts, a row for each row of `docs`."""
+    """(digest, n_bytes, media): the media column of all texts. A task encodes a text once, as long as it is among the last
+    REMEMBERED; so a digest can have a few equal rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, None] = {}
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
-                raw = [(x.as_py() or "").encode() for x in batch.column(0).slice(low, 512)]
-                payloads = [pad(x) for x in raw]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(p).hexdigest() for p in payloads]), pa.array([len(x) for x in raw], pa.int64()), pa.array([to_png(p) for p in payloads], pa.binary())], ["digest", "n_bytes", "media"])
+                found: dict[str, tuple[int, bytes]] = {}
+                for x in batch.column(0).slice(low, 512):
+                    raw = (x.as_py() or "").encode()
+                    payload = pad(raw)
+                    digest = hashlib.sha256(payload)
+                    if digest.digest() not in seen:
+                        seen[digest.digest()] = None
+                        found[digest.hexdigest()] = len(raw), to_png(payload)
+                while len(seen) > REMEMBERED:
+                    del seen[next(iter(seen))]
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([n for n, _ in found.values()], pa.int64()), pa.array([m for _, m in found.values()], pa.binary())], ["digest", "n_bytes", "media"])
 
     return docs.select(F.col(text).cast("string").alias("body")).mapInArrow(run, "digest string, n_bytes long, media binary")
 
@@ -164,28 +181,46 @@ def interleave(pages: DataFrame, *, page_id: str, html: str, with_text: bool = T
             items = [[{"position": k} | x for k, x in enumerate(sequence(h.as_py())) if with_text or x["kind"] == "media"] for h in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, kind)], ["page", "items"])
 
-    return pages.select(F.col(page_id).cast("long").alias("page"), F.col(html).cast("string").alias("markup")).mapInArrow(run, f"page long, items {_ITEMS}").withColumnRenamed("page", page_id)
+    kind_of_id = pages.schema[page_id].dataType.simpleString()
+    return pages.select(F.col(page_id).alias("page"), F.col(html).cast("string").alias("markup")).mapInArrow(run, f"page {kind_of_id}, items {_ITEMS}").withColumnRenamed("page", page_id)
+
+
+def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
+    """`refs` (with a column digest) with what `media` (one row a digest) says of each; a reference to nothing keeps its row.
+    `refs` is read twice: once to count hot digests."""
+    counted = refs.filter("digest is not null").groupBy("digest").count()
+    total = refs.count()
+    hot = counted.filter((F.col("count") > HOT) & (F.col("count") * SHARE > total)).select("digest")
+    hot = [r.digest for r in hot.collect()]  # fewer than SHARE
+    if not hot:
+        return refs.join(media, "digest", "left")
+    is_hot = F.coalesce(F.col("digest").isin(hot), F.lit(False))
+    return refs.filter(~is_hot).join(media, "digest", "left").unionByName(refs.filter(is_hot).join(F.broadcast(media.filter(is_hot)), "digest", "left"))
 
 
-def resolve(items: DataFrame, media: DataFrame, *, page_id: str) -> DataFrame:
-    """(page_id, position, caption, digest, ...): the media references with what `media` (one row a digest) says of them."""
-    refs = items.select(page_id, F.explode("items").alias("item")).filter("item.kind = 'media'").select(page_id, "item.position", "item.caption", "item.digest")
-    return refs.join(media, "digest", "left")
+def references(items: DataFrame, *kept: str) -> DataFrame:
+    """A row for each media reference of the sequences: the `kept` columns, position, caption and digest."""
+    return items.select(*kept, F.explode("items").alias("item")).filter("item.kind = 'media'").select(*kept, "item.position", "item.caption", "item.digest")
 
 
-def page_of(body: F.Column) -> F.Column:
-    """A page around a text: the escaped text as a block, then a figure that refers to the text's payload."""
+def page_of(body: Column) -> Column:
+    """A page around a text: a block for each of its lines, escaped, and after the first one a figure that refers to the text's payload."""
     escaped = F.regexp_replace(F.replace(F.replace(body, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), ">", "&gt;")
     padding = F.unhex(F.repeat(F.lit("FF"), (F.greatest(F.lit(1), F.ceil(F.octet_length(body) / UNIT)) * UNIT - F.octet_length(body)).cast("int")))
     digest = F.sha2(F.concat(F.encode(body, "UTF-8"), padding), 256)
-    return F.concat(F.lit("<article><pre>"), escaped, F.lit(f'</pre><figure><img src="{SCHEME}'), digest, F.lit('"><figcaption>The text as an image</figcaption></figure></article>'))
+    first, rest = F.split_part(escaped, F.lit("\n"), F.lit(1)), F.substr(escaped, F.locate("\n", F.concat(escaped, F.lit("\n"))) + 1)
+    figure = F.concat(F.lit(f'<figure><img src="{SCHEME}'), digest, F.lit('"><figcaption>'), F.octet_length(body).cast("string"), F.lit(" bytes as an image</figcaption></figure>"))
+    blocks = F.replace(rest, F.lit("\n"), F.lit("</p><p>"))
+    return F.concat(F.lit("<article><p>"), first, F.lit("</p>"), figure, F.lit("<p>"), blocks, F.lit("</p></article>"))
 
 
 def op3_rows(docs: DataFrame) -> DataFrame:
-    """Every text as a page with one reference, resolved against the media column of all texts."""
+    """Every text as a page of text blocks around a reference, resolved against the media column of all texts: the contract's
+    columns, the reference's position and caption, the number of text blocks and a digest of them."""
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    pages = docs.select("doc_id", page_of(body).alias("html"))
-    refs = interleave(pages, page_id="doc_id", html="html", with_text=False)
+    items = interleave(docs.select("doc_id", page_of(body).alias("html")), page_id="doc_id", html="html")
+    said = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"])
+    refs = durable(references(items.select("doc_id", "items", F.size(said).cast("long").alias("n_blocks"), F.sha2(F.array_join(said, "\n"), 256).alias("blocks_sha256")), "doc_id", "n_blocks", "blocks_sha256"))
     media = read_back(store(docs))
     media = media.groupBy("digest").agg(*(F.first(c).alias(c) for c in media.columns[1:]))
-    return resolve(refs, media, page_id="doc_id").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return resolve(refs, durable(media)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_blocks", "blocks_sha256")
