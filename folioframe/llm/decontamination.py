@@ -3,7 +3,7 @@
 A shard is one Arrow batch of documents. Words outside the benchmark can't be part of a match, so a
 shard keeps only the runs of words in which every neighbouring pair also occurs in the benchmark
 (a superset, by hash) and that are as long as the shortest test phrase. These runs, as numbers of
-benchmark words, form the indexed text. Test phrases are searched backwards, occurrences are
+benchmark words, form the indexed text: the index is one of what may match, not of the whole shard. Test phrases are searched backwards, occurrences are
 located by sampled suffix positions, and the spans merge into the words to remove.
 
 Nulls and edges: a null or empty text, or one without words, has no words and no hits; a benchmark
@@ -14,20 +14,21 @@ named ones are never read.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fm_index import FMIndex
 from .rows import ALNUM, LOWER, U, mix, pieces, ragged, text_buffer, word_hashes, word_spans
+from .simhash import durable
 
-#: Bytes of benchmark text that one pass over the documents takes along; a larger benchmark is searched in blocks.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text that one pass over the documents takes along (about 30 times that in memory); a larger benchmark is searched in blocks.
+BLOCK_BYTES = 8 << 20
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -45,21 +46,25 @@ def _pairs(hashes: np.ndarray) -> np.ndarray:
 class Phrases:
     """The test phrases of one block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int) -> None:
+    def __init__(self, items: list[tuple[str, str]], width: int) -> None:
         words = [(i, w) for i, text in items if i is not None and (w := split_words(text))]
         self.numbers: dict[bytes, int] = {}
         for _, own in words:
             for w in own:
                 self.numbers.setdefault(w, len(self.numbers) + 1)
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for item, own in words:
-            ids, size = [self.numbers[w] for w in own], min(width, len(own))
-            for k in range(len(ids) - size + 1):
-                owners.setdefault(tuple(ids[k : k + size]), set()).add(item)
-        self.by_size: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
-        for size in sorted({len(p) for p in owners}):
-            own = [p for p in owners if len(p) == size]
-            self.by_size[size] = np.array(own, np.int64), [sorted(owners[p]) for p in own]
+        self.items = sorted({item for item, _ in words})
+        places = {item: k for k, item in enumerate(self.items)}
+        ids = [np.array([self.numbers[w] for w in own], np.int32) for _, own in words]
+        of = np.array([places[item] for item, _ in words], np.int32)
+        sizes = np.array([min(width, len(x)) for x in ids], np.int64)
+        #: For each size the distinct phrases, and (CSR) the places in `items` of those that have them.
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            phrases, number = np.unique(np.concatenate([sliding_window_view(ids[k], size) for k in own]), axis=0, return_inverse=True)
+            owner = np.repeat(of[own], [len(ids[k]) - size + 1 for k in own])
+            pair = np.unique(np.stack([number.ravel(), owner], 1), axis=0)
+            self.by_size[size] = phrases, np.searchsorted(pair[:, 0], np.arange(len(phrases) + 1)), pair[:, 1]
         self.shortest = min(self.by_size, default=0)
         joined, at = b" ".join(self.numbers), np.cumsum([0, *(len(w) + 1 for w in self.numbers)])
         raw = np.frombuffer(joined, np.uint8)
@@ -99,7 +104,7 @@ class Phrases:
         return starts[fit], lengths[fit]
 
 
-def find_hits(phrases: Phrases, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def find_hits(phrases: Phrases, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, str]]]:
     """Over a shard: number of words of each text, the merged spans (text, first word, words beyond,
     in words of the text), and (text, item) pairs; also the byte spans of the merged spans."""
     n_docs = len(offsets) - 1
@@ -129,8 +134,8 @@ def find_hits(phrases: Phrases, data: np.ndarray, offsets: np.ndarray) -> tuple[
     text, word, doc, b_from, b_to = (np.concatenate(x) for x in (symbols, sources, docs_of, byte_from, byte_to))
     index = FMIndex(text, len(phrases.numbers) + 1)
     delta = np.zeros(len(text) + 1, np.int64)
-    pairs: set[tuple[int, int]] = set()
-    for size, (patterns, owners) in phrases.by_size.items():
+    pairs: set[tuple[int, str]] = set()
+    for size, (patterns, owner_at, owners) in phrases.by_size.items():
         low, high = index.search(patterns)
         found = np.flatnonzero(high > low)
         counts = (high - low)[found]
@@ -138,7 +143,7 @@ def find_hits(phrases: Phrases, data: np.ndarray, offsets: np.ndarray) -> tuple[
         np.add.at(delta, at, 1)
         np.add.at(delta, at + size, -1)
         for d, p in set(zip(doc[at].tolist(), np.repeat(found, counts).tolist(), strict=True)):
-            pairs.update((d, item) for item in owners[p])
+            pairs.update((d, phrases.items[o]) for o in owners[owner_at[p] : owner_at[p + 1]].tolist())
     hit = np.flatnonzero(np.cumsum(delta[:-1]) > 0)
     if not len(hit):
         return n_words, none, none, none, np.zeros((0, 2), np.int64), []
@@ -150,7 +155,7 @@ def find_hits(phrases: Phrases, data: np.ndarray, offsets: np.ndarray) -> tuple[
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-_OUT = "doc long, n_words long, spans array<struct<start:int,end:int>>, items array<long>"
+_OUT = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -178,7 +183,7 @@ def _scan(shipped, first: bool, last: bool):
                 spans[d].append((a, b))
             for d, item in pairs:
                 items[d].add(item)
-            found = [pa.array(n_words), pa.array([[{"start": a, "end": b} for a, b in _merge(x)] for x in spans], _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))]
+            found = [pa.array(n_words), pa.array([[{"start": a, "end": b} for a, b in _merge(x)] for x in spans], _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
             kept = [batch.column(0)] if last else [batch.column(0), batch.column(1)]
             yield pa.RecordBatch.from_arrays([*kept, *found], ["doc", *([] if last else ["body"]), "n_words", "spans", "items"])
 
@@ -220,26 +225,37 @@ def _cut(shipped, at: int, first: bool, last: bool):
     return run
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, width: int, block_bytes: int) -> Iterator[Phrases]:
-    """The benchmark in blocks of bounded size, each small enough for the driver and a broadcast."""
-    items = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
+def _blocks(items: DataFrame, item_id: str, text: str, width: int, block_bytes: int) -> tuple[int, Iterator[Phrases]]:
+    """The number of blocks of bounded size that the benchmark needs, and the blocks, built one at a time."""
+    items = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    for k in range(n):
-        own = items if n == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
-        yield Phrases([(r.i, r.t) for r in own.toLocalIterator()], width)
+    own = lambda k: items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
+    return n, (Phrases([(r.i, r.t) for r in own(k).toLocalIterator()], width) for k in range(n))
+
+
+def _by_blocks(out: DataFrame, blocks: tuple[int, Iterator[Phrases]], step: Callable, schemas: Callable) -> DataFrame:
+    """One pass over the rows for each block. What a pass found is written before the next block is built, and its broadcast
+    released, so that driver and workers hold one block at a time."""
+    n, made = blocks
+    for k, phrases in enumerate(made):
+        shipped = out.sparkSession.sparkContext.broadcast(phrases)
+        del phrases
+        last = k == n - 1
+        out = out.mapInArrow(step(shipped, k == 0, last), schemas(last))
+        if not last:
+            out = durable(out)
+            shipped.destroy()
+    return out
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, *, width: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, spans, items): the spans of words to remove, as word numbers with the end
-    exclusive, and the sorted ids of the items whose phrases occur. Nothing is shuffled; a benchmark of
-    more than `block_bytes` is searched in blocks, one after the other over the same batches."""
-    spark = docs.sparkSession
-    out = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("body"))
-    blocks = list(_blocks(items, item_id, item_text, width, block_bytes))
-    for k, phrases in enumerate(blocks):
-        last = k == len(blocks) - 1
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(phrases), k == 0, last), _OUT if last else _OUT.replace("doc long,", "doc long, body string,"))
+    exclusive, and the sorted ids, as strings, of the items whose phrases occur. Nothing is shuffled; a benchmark of
+    more than `block_bytes` is searched in blocks, one after the other over the same rows."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+    out = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("body"))
+    out = _by_blocks(out, _blocks(items, item_id, item_text, width, block_bytes), _scan, lambda last: f"doc {kind}, {'' if last else 'body string, '}{_OUT}")
     return out.withColumnRenamed("doc", doc_id)
 
 
@@ -247,23 +263,14 @@ def strip_hits(docs: DataFrame, items: DataFrame, *, width: int = 10, text: str
     """`docs` with the hit spans cut out of `text` (from the first hit word's first character to the
     last one's last), all other columns as they are. Every block of a large benchmark is searched in the
     unchanged text; what they found is merged by word and cut once, by the last."""
-    spark, at = docs.sparkSession, docs.columns.index(text)
-    shipped = [spark.sparkContext.broadcast(phrases) for phrases in _blocks(items, item_id, item_text, width, block_bytes)]
+    at = docs.columns.index(text)
     with_cuts = T.StructType([*docs.schema.fields, T.StructField("__cuts", T.ArrayType(T.ArrayType(T.LongType())))])
-    out = docs
-    for k, block in enumerate(shipped):
-        last = k == len(shipped) - 1
-        out = out.mapInArrow(_cut(block, at, k == 0, last), docs.schema if last else with_cuts)
-    return out
-
-
-def items_digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+    return _by_blocks(docs, _blocks(items, item_id, item_text, width, block_bytes), lambda *block: _cut(block[0], at, *block[1:]), lambda last: docs.schema if last else with_cuts)
 
 
 def op1_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The contract's columns, derived from `benchmark_hits`."""
     hits = benchmark_hits(docs, items)
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]).cast("long")), F.lit(0).cast("long"))
-    listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    listed = F.array_join("items", ",")
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
