@@ -1,7 +1,8 @@
 """Substring dedup: Rabin-Karp hashes of every window of `width` words, counted in Spark.
 
-1. Documents are dealt to chunks by a hash of doc_id. Each chunk hashes all its windows with one
-   rolling hash and sends every distinct hash once, with the smallest doc_id that has it there, to
+1. Documents are dealt to chunks of about CHUNK_BYTES of text by a hash of doc_id (rows without one, and those of an
+   id that very many rows share, by a hash of their text). Each chunk hashes all its windows with two
+   rolling hashes and sends every distinct hash once, with the smallest doc_id that has it there, to
    the bucket of its leading bits. So a window that a third of all rows hold reaches a bucket once
    for each chunk, not once for each row.
 2. A bucket sorts what it got, finds for each hash the smallest doc_id of all, and answers each
@@ -9,12 +10,14 @@
 3. Each chunk hashes its windows again, reads the bits, and merges the repeated windows (all but the
    first occurrence) into maximal removal intervals.
 
-The text is shuffled once (both passes read the same exchange), the hashes once, the bits are small.
-Hashes have 64 bits: among n distinct windows about n**2 / 2**65 pairs match wrongly.
+The text is shuffled once (both passes read the same exchange), the hashes once, the bits are small. The number of chunks and
+buckets follows from the bytes of the texts, so that neither grows with the input.
+Hashes have 80 bits: among n distinct windows about n**2 / 2**81 pairs match wrongly (at 100 TB, some hundred).
 
 Nulls and edges: a null or empty text has no words and keeps nothing (kept text ""); texts shorter
 than a window lose nothing; a null doc_id sorts after all others; rows that share a doc_id count as
-one after the other in the order of their texts, so that the first keeps its words; an empty table gives none. Other columns are never read.
+one after the other in the order of their texts, so that the first keeps its words (rows without doc_id, and those of an id
+with more than HOT rows and one in SHARE of all, in the order of a hash of their texts); an empty table gives none. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -28,9 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import SPACE, U, pieces, text_buffer, window_hashes, word_hashes, word_spans
+from .rows import SPACE, U, mix, pieces, text_buffer, window_hashes, word_hashes, word_spans
+from .simhash import durable
 
 _LAST = np.iinfo(np.int64).max
+#: Text of one chunk, in bytes. An id is hot, and its rows are spread over chunks, beyond HOT rows and one in SHARE of all.
+CHUNK_BYTES, HOT, SHARE = 32 << 20, 10_000, 1000
+#: The second hash of a window, of 16 bits, comes from its words' hashes mixed with this value.
+_SECOND = U(0x8EBC6AF09C88C6E3)
 _IN_WORD = ~SPACE
 
 
@@ -45,70 +53,87 @@ def _from_planes(blob: bytes, dtype: type) -> np.ndarray:
 
 
 class Chunk:
-    """All windows of some documents, in the order of (doc_id, text)."""
+    """All windows of some documents, in the order of (doc_id, sub, text); sub is a hash of the text where rows of one id are spread."""
 
     def __init__(self, table: pa.Table, width: int) -> None:
-        order = pc.sort_indices(table, sort_keys=[("doc", "ascending"), ("body", "ascending")])
+        order = pc.sort_indices(table, sort_keys=[("doc", "ascending"), ("sub", "ascending"), ("body", "ascending")])
         self.table = table.take(order)
-        self.ids = pc.fill_null(self.table["doc"], _LAST).to_numpy()
+        self.ids = np.stack([pc.fill_null(self.table["doc"], _LAST).to_numpy(), self.table["sub"].to_numpy()], 1)
         data, offsets = text_buffer(self.table["body"])
-        hashes, docs, firsts, self.n_words = [], [], [], np.zeros(len(self.ids), np.int64)
+        hashes, seconds, docs, firsts, self.n_words = [], [], [], [], np.zeros(len(self.ids), np.int64)
         for low, high in pieces(offsets):
             raw = data[offsets[low] : offsets[high]]
             starts, ends, doc_words = word_spans(raw, offsets[low : high + 1] - offsets[low], _IN_WORD)
             count = np.diff(doc_words)
             self.n_words[low:high] = count
-            window = window_hashes(word_hashes(raw, starts, ends), width)
+            words = word_hashes(raw, starts, ends)
+            window = window_hashes(words, width)
             doc = np.repeat(np.arange(low, high), count)
             whole = np.flatnonzero(doc[: len(window)] == doc[width - 1 :]) if len(window) else np.zeros(0, np.int64)
             hashes.append(window[whole])
+            seconds.append((window_hashes(mix(words ^ _SECOND), width)[whole] >> U(48)).astype(np.uint16))
             docs.append(doc[whole].astype(np.int32))
             firsts.append((whole - doc_words[doc[whole] - low]).astype(np.int32))
         joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.hash, self.doc, self.start = joined(hashes, np.uint64), joined(docs, np.int32), joined(firsts, np.int32)
-        by_hash = np.argsort(self.hash, kind="stable")
-        ordered = self.hash[by_hash]
-        new = np.ones(len(ordered), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        self.by_hash, self.new = by_hash, new
-        self.distinct = ordered[new]
-
-    def bounds(self, bits: int) -> np.ndarray:
-        """Where the distinct hashes of each bucket of leading bits begin, and the end."""
-        edges = (np.arange(1, 1 << bits, dtype=np.uint64) << U(64 - bits)) if bits else np.zeros(0, np.uint64)
+        self.hash, second, self.doc, self.start = joined(hashes, np.uint64), joined(seconds, np.uint16), joined(docs, np.int32), joined(firsts, np.int32)
+        self.by_hash, self.new = _by_hash(self.hash, second)
+        first = self.by_hash[self.new]
+        self.distinct, self.second = self.hash[first], second[first]
+
+    def bounds(self, buckets: int) -> np.ndarray:
+        """Where the distinct hashes of each bucket begin, and the end: bucket b has the b-th of equal ranges of hashes."""
+        edges = np.array([-((-b << 64) // buckets) for b in range(1, buckets)], np.uint64)
         return np.concatenate([[0], np.searchsorted(self.distinct, edges), [len(self.distinct)]])
 
 
-def _send(width: int, bits: int):
+def _by_hash(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by both hashes (equal ones as they come), and where in it a new pair begins."""
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, new
+
+
+def _send(width: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         chunk = Chunk(table, width)
-        number, at = table["chunk"][0].as_py(), chunk.bounds(bits)
+        number, at = table["chunk"][0].as_py(), chunk.bounds(buckets)
         owner = chunk.doc[chunk.by_hash[chunk.new]]
-        buckets = np.flatnonzero(np.diff(at))
-        hashes, ranks, ids = [], [], []
-        for b in buckets:
-            own = owner[at[b] : at[b + 1]]
-            used, rank = np.unique(own, return_inverse=True)
-            hashes.append(_planes(chunk.distinct[at[b] : at[b + 1]]))
+        own_buckets = np.flatnonzero(np.diff(at))
+        spread = bool(chunk.ids[:, 1].any())
+        hashes, seconds, ranks, ids = [], [], [], []
+        for b in own_buckets:
+            part = slice(at[b], at[b + 1])
+            used, rank = np.unique(owner[part], return_inverse=True)
+            hashes.append(_planes(chunk.distinct[part]))
+            seconds.append(chunk.second[part].tobytes())
             ranks.append(_planes(rank.astype(np.uint32)))
-            ids.append(chunk.ids[used].tobytes())
-        return pa.table({"bucket": pa.array(buckets, pa.int64()), "chunk": pa.array([number] * len(buckets), pa.int64()), "hashes": pa.array(hashes, pa.binary()), "ranks": pa.array(ranks, pa.binary()), "ids": pa.array(ids, pa.binary())})
+            ids.append((chunk.ids if spread else chunk.ids[:, :1])[used].tobytes())
+        columns = {"hashes": hashes, "seconds": seconds, "ranks": ranks, "ids": ids}
+        return pa.table({"bucket": pa.array(own_buckets, pa.int64()), "chunk": pa.array([number] * len(own_buckets), pa.int64()), "wide": pa.array([spread] * len(own_buckets), pa.bool_())} | {c: pa.array(x, pa.binary()) for c, x in columns.items()})
 
     return run
 
 
+_SENT = "bucket long, chunk long, wide boolean, hashes binary, seconds binary, ranks binary, ids binary"
+
+
 def _answer(table: pa.Table) -> pa.Table:
-    """For each chunk in a bucket, the bits of the hashes that a smaller doc_id has elsewhere."""
+    """For each chunk in a bucket, the bits of the hashes that an earlier document (by doc_id, sub) has elsewhere."""
     hashes = [_from_planes(x.as_py(), np.uint64) for x in table["hashes"]]
-    ids = [np.frombuffer(i.as_py(), np.int64)[_from_planes(r.as_py(), np.uint32)] for i, r in zip(table["ids"], table["ranks"], strict=True)]
-    joined, owner = np.concatenate(hashes), np.concatenate(ids)
-    order = np.argsort(joined, kind="stable")
-    ordered = joined[order]
-    new = np.ones(len(ordered), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    least = np.minimum.reduceat(owner[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    owners = []
+    for wide, blob, rank in zip(table["wide"].to_pylist(), table["ids"], table["ranks"], strict=True):
+        ids = np.frombuffer(blob.as_py(), np.int64).reshape(-1, 2 if wide else 1)
+        owners.append(np.column_stack([ids, np.zeros((len(ids), 2 - ids.shape[1]), np.int64)])[_from_planes(rank.as_py(), np.uint32)])
+    owner = np.concatenate(owners)
+    order, new = _by_hash(np.concatenate(hashes), np.frombuffer(b"".join(x.as_py() for x in table["seconds"]), np.uint16))
+    group = np.cumsum(new) - 1
+    doc, sub = owner[order, 0], owner[order, 1]
+    least = np.minimum.reduceat(doc, np.flatnonzero(new))[group]
+    least_sub = np.minimum.reduceat(np.where(doc == least, sub, _LAST), np.flatnonzero(new))[group]
     later = np.empty(len(order), bool)
-    later[order] = owner[order] > least
+    later[order] = (doc > least) | (sub > least_sub)
     chunks, bits, at = [], [], 0
     for chunk, own in zip(table["chunk"].to_pylist(), hashes, strict=True):
         if (flags := later[at : at + len(own)]).any():
@@ -118,10 +143,10 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array([table["bucket"][0].as_py()] * len(chunks), pa.int64()), "bits": pa.array(bits, pa.binary())})
 
 
-def _remove(width: int, bits: int, with_text: bool):
+def _remove(width: int, buckets: int, with_text: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(table, width)
-        at, later = chunk.bounds(bits), np.zeros(len(chunk.distinct), bool)
+        at, later = chunk.bounds(buckets), np.zeros(len(chunk.distinct), bool)
         for b, packed in zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True):
             later[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(packed, np.uint8), count=int(at[b + 1] - at[b]))
         repeated = np.empty(len(chunk.hash), bool)
@@ -150,21 +175,24 @@ def _remove(width: int, bits: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, width: int = 20, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, chunks: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, width: int = 20, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans[, kept]): words that lie in no repeated window.
 
-    `chunks` defaults to four for each shuffle partition; set the session's partitions so that a
-    partition's texts are some tens of megabytes."""
+    A first pass over the table counts bytes, and rows of each id, to deal by."""
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = chunks or 4 * partitions
-    bits = max(0, (partitions - 1).bit_length())
     dealt = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("body"))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.lit(chunks))).repartition(partitions, "chunk")
-    sent = dealt.groupBy("chunk").applyInArrow(_send(width, bits), "bucket long, chunk long, hashes binary, ranks binary, ids binary")
+    sizes = durable(dealt.groupBy("doc").agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("bytes")))
+    rows, size = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    spread = [r.doc for r in sizes.filter((F.col("n") > hot) & (F.col("n") * SHARE > rows) & F.col("doc").isNotNull()).collect()]  # fewer than SHARE
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (4 * chunk_bytes)))
+    chunks = buckets = 4 * partitions
+    is_spread = F.isnull("doc") | (F.col("doc").isin(spread) if spread else F.lit(False))
+    dealt = dealt.withColumn("sub", F.when(is_spread, F.coalesce(F.xxhash64("body"), F.lit(0))).otherwise(F.lit(0)).cast("long"))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc", "sub"), F.lit(chunks))).repartition(partitions, "chunk")
+    sent = dealt.groupBy("chunk").applyInArrow(_send(width, buckets), _SENT).repartition(partitions, "bucket")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, bits binary")
     schema = "doc long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>" + ", kept string" * with_text
-    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(width, bits, with_text), schema)
+    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(width, buckets, with_text), schema)
     return out.withColumnRenamed("doc", doc_id)
 
 

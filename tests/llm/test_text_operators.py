@@ -150,6 +150,28 @@ def test_op2_brute_force(docs, empty):
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in kept)
 
 
+def test_op2_spread_ids(spark):
+    """Many rows without an id, many of one id, in small chunks: only the first of all repeats keeps its words."""
+    gen = random.Random(8)
+    passages = [" ".join(f"p{k}x{gen.randrange(10**6)}" for _ in range(30)) for k in range(5)]
+    rows = []
+    for k in range(300):
+        i = None if k % 3 == 0 else 7 if k % 3 == 1 else 1000 + k
+        rows.append((i, " ".join([f"u{k}", gen.choice(passages), f"v{k}", gen.choice(passages)])))
+    rows += rows[:20]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = lambda r: (r[0] is None, r[0] or 0, (xxhash.xxh64_intdigest(r[1].encode(), 42) ^ 1 << 63) if r[0] in (None, 7) else 0, r[1])
+    seen, want = set(), []
+    for i, t in sorted(rows, key=order):
+        w, gone = t.split(), set()
+        for k in range(len(w) - 19):
+            window = tuple(w[k : k + 20])
+            gone.update(range(k, k + 20) if window in seen else ())
+            seen.add(window)
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    check(substring_dedup.remove_repeats(table, chunk_bytes=2000, hot=50), ["doc_id", "n_words", "n_removed", "kept_sha256"], want)
+
+
 def test_op3_round_trip(docs, empty):
     want = []
     for i, t in ROWS:
