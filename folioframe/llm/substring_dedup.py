@@ -35,8 +35,8 @@ from .rows import SPACE, U, mix, pieces, text_buffer, window_hashes, word_hashes
 from .simhash import durable
 
 _LAST = np.iinfo(np.int64).max
-#: Text of one chunk, in bytes. An id is hot, and its rows are spread over chunks, beyond HOT rows and one in SHARE of all.
-CHUNK_BYTES, HOT, SHARE = 32 << 20, 10_000, 1000
+#: Text of one chunk in a large table, in bytes; smaller tables have smaller ones, down to a quarter, to use all partitions. An id is hot, and its rows are spread over chunks, beyond HOT rows and one in SHARE of all.
+CHUNK_BYTES, HOT, SHARE = 16 << 20, 10_000, 1000
 #: The second hash of a window, of 16 bits, comes from its words' hashes mixed with this value.
 _SECOND = U(0x8EBC6AF09C88C6E3)
 _IN_WORD = ~SPACE
@@ -88,8 +88,11 @@ class Chunk:
 
 def _by_hash(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order by both hashes (equal ones as they come), and where in it a new pair begins."""
-    order = np.lexsort((second, first))
+    order = np.argsort(first, kind="stable")
     a, b = first[order], second[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # rare: equal first hashes of different windows
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
     new = np.ones(len(order), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     return order, new
@@ -184,8 +187,8 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, doc_id: str = "doc_id",
     sizes = durable(dealt.groupBy("doc").agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("bytes")))
     rows, size = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     spread = [r.doc for r in sizes.filter((F.col("n") > hot) & (F.col("n") * SHARE > rows) & F.col("doc").isNotNull()).collect()]  # fewer than SHARE
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (4 * chunk_bytes)))
-    chunks = buckets = 4 * partitions
+    wanted, most, least = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-4 * size // chunk_bytes)), -(-size // chunk_bytes)
+    chunks, buckets, partitions = max(least, min(4 * wanted, most)), max(least, min(wanted, most)), max(wanted, -(-least // 4))
     is_spread = F.isnull("doc") | (F.col("doc").isin(spread) if spread else F.lit(False))
     dealt = dealt.withColumn("sub", F.when(is_spread, F.coalesce(F.xxhash64("body"), F.lit(0))).otherwise(F.lit(0)).cast("long"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc", "sub"), F.lit(chunks))).repartition(partitions, "chunk")
