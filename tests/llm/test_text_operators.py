@@ -250,6 +250,19 @@ def test_op6_base_spans(spark, docs, empty):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def test_op6_models_on_held_out_samples(spark):
+    """Recall and false alarms on strings of words and digests that training has not seen, and spans beyond the base ones."""
+    table, threshold = secrets.trained(spark)
+    held = secrets.samples(spark, True).select("random", (secrets._mean_ratio(F.col("text"), F.lit(table)) > threshold).alias("hit"))
+    n = {(r.random, r.hit): r["count"] for r in held.groupBy("random", "hit").count().collect()}
+    assert n[True, True] > 0.99 * (n[True, True] + n.get((True, False), 0)) and n[False, True] < 0.002 * n[False, False]
+    texts = ["key qzjxkvbwplmtrhgfdsnycaeiouqz end", "getElementByIdentifierNameAndValue/some/path/to/file_name_here", "=" * 40, "Bundesverfassungsgerichtsentscheidung and_internationalization_of_everything", "a" * 30]
+    got = {r.doc_id: r.spans for r in secrets.op6_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert got == {0: "markov:4:32", 1: "", 2: "", 3: "", 4: ""}
+    dotted = spark.createDataFrame([(1, "password=hunter2hunter2", 3)], "`a.b` int, text string, `c``d` int")
+    assert secrets.redact(dotted).collect() == [(1, "[SECRET]", 3)]
+
+
 def test_op6_plan_is_native(docs):
     plan = secrets.op6_rows(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
