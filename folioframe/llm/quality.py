@@ -1,13 +1,14 @@
 """Quality by positive-unlabelled learning with the non-negative risk.
 
 Positives are documents that trusted labels call good; unlabelled are documents of the web text that
-no label covers. The class prior is estimated as the share of good ones among the labels that may be
-learned from. A linear scorer over text statistics minimises the non-negative unbiased risk
+no label covers. The class prior is estimated from both: a first scorer, of positives against
+unlabelled, is fitted on one half; on the other the unlabelled ones' share above a score can't be less than
+the prior times the positives' share above it, and the least such ratio estimates the prior. A linear scorer over text statistics minimises the non-negative unbiased risk
 
     prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)])
 
 with the logistic loss, by Adam in numpy; where the second part turns negative its gradient is
-reversed. Labels call a document bad only in the prior: no bad example enters the risk.
+reversed. No label that calls a document bad is used.
 
 Nulls and edges: a null or empty text has all statistics zero and a score like any other; labels
 with a null doc_id or quality are left out; several labels of one document count once, good if any says so;
@@ -96,6 +97,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 3) -> float:
+    """The share of positives among the unlabelled rows, from the scores of a logistic regression of one against the other
+    (least squares steps), at the quantiles of the positives that a half left out of the fit has."""
+    rng = np.random.default_rng(seed)
+    halves = [np.array_split(x[rng.permutation(len(x))], 2) for x in (positive, unlabelled)]
+    (p, p_out), (u, u_out) = halves
+    if not min(map(len, (p, p_out, u, u_out))):
+        return 0.5
+    both = np.concatenate([p, u])
+    mean, scale = both.mean(0), np.maximum(both.std(0), 0.02)
+    with_one = lambda x: np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    x, y = with_one(both), np.concatenate([np.ones(len(p)), np.zeros(len(u))])
+    weight = np.where(y > 0, 0.5 / len(p), 0.5 / len(u))
+    w = np.zeros(x.shape[1])
+    for _ in range(12):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hessian = (x * (weight * q * (1 - q))[:, None]).T @ x + 1e-3 * np.eye(len(w))
+        w -= np.linalg.solve(hessian, x.T @ (weight * (q - y)) + 1e-3 * w)
+    zp, zu = np.sort(with_one(p_out) @ w), np.sort(with_one(u_out) @ w)
+    cuts = np.quantile(zp, np.linspace(0, 0.5, 21))
+    above = lambda z: 1 - np.searchsorted(z, cuts) / len(z)
+    ratio = above(zu) / np.maximum(above(zp), 1e-9)
+    slack = np.sqrt(ratio * np.maximum(1 - above(zu), 0) / (np.maximum(above(zp), 1e-9) * len(zu)))
+    return float(np.clip((ratio + slack).min(), 0.02, 0.98))
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 3000, rate: float = 0.02, decay: float = 3e-4) -> Model | None:
     """Minimises the non-negative risk over all rows given."""
     if not len(positive) or not len(unlabelled):
@@ -124,19 +151,17 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", sample: int = SAMPLE) -> Model | None:
-    """A model of at most `sample` positives and as many unlabelled documents; `learn` says, of doc_id, which rows may be learned from."""
+    """A model of at most `sample` positives and as many unlabelled documents; `learn` says, of doc_id, which rows may be learned
+    from. Of rows that share a doc_id that with the lowest hash of its text counts, so that repeats bring no more rows."""
     ids = docs.select(F.col(doc_id).cast("long").alias("doc")).filter("doc is not null")
     known = labels.select(F.col(doc_id).cast("long").alias("doc"), F.col(quality).cast("int").alias("good")).filter("doc is not null and good is not null")
     if learn is not None:
-        named = learn if isinstance(learn, Column) else F.expr(learn)
-        ids, known = ids.filter(named), known.filter(named)
+        ids, known = ids.filter(learn), known.filter(learn)
     known = known.groupBy("doc").agg(F.max("good").alias("good"))
-    n, good = known.agg(F.count("*"), F.sum("good")).first()
-    if not n or not good:
-        return None
     low = lambda rows: rows.select("doc").orderBy(F.xxhash64("doc"), "doc").limit(sample)
-    chosen = low(known.filter("good = 1")).withColumn("kind", F.lit(1)).unionByName(low(ids.join(known, "doc", "left_anti").distinct()).withColumn("kind", F.lit(0)))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("body")).join(F.broadcast(chosen), "doc").select("doc", "kind", "body")
+    chosen = low(known.filter("good = 1").join(ids, "doc", "left_semi")).withColumn("kind", F.lit(1)).unionByName(low(ids.join(known, "doc", "left_anti").distinct()).withColumn("kind", F.lit(0)))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("body")).join(F.broadcast(chosen), "doc")
+    rows = rows.groupBy("doc", "kind").agg(F.min(F.struct(F.xxhash64("body").alias("h"), "body")).alias("r")).select("doc", "kind", "r.body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, doc_
         return None
     values, kind = np.stack(table["found"].to_list()), table["kind"].to_numpy()
     unlabelled = values[kind == 0] if (kind == 0).any() else values  # labels cover all: then the labelled texts stand for the web
-    return train(values[kind == 1], unlabelled, good / n)
+    return train(values[kind == 1], unlabelled, estimate_prior(values[kind == 1], unlabelled))
 
 
 def score(docs: DataFrame, model: Model | None, *, text: str = "text", name: str = "score") -> DataFrame:

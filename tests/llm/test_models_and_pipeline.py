@@ -73,6 +73,22 @@ def test_op4_risk_needs_no_bad_example():
     assert (z(positive) > 0).mean() > 0.9 and (z(negative) < 0).mean() > 0.9
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.9])
+def test_op4_prior_is_estimated(share):
+    gen = np.random.default_rng(1)
+    good, bad = lambda n: gen.normal(0.8, 1, (n, 6)), lambda n: gen.normal(-0.8, 1, (n, 6))
+    unlabelled = np.concatenate([good(int(3000 * share)), bad(int(3000 * (1 - share)))])
+    assert abs(quality.estimate_prior(good(3000), unlabelled) - share) < 0.07
+
+
+def test_op4_uses_no_bad_label(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    a, b = (quality.fit(documents, x, learn=quality.fold(F.col("doc"), 3) != 1) for x in (labels, labels.withColumn("quality", F.when(F.col("quality") == 0, -1).otherwise(1))))
+    assert np.array_equal(a.weights, b.weights) and a.prior == b.prior
+    repeated = quality.fit(documents.unionByName(documents.filter("doc_id < 20")), labels, learn=quality.fold(F.col("doc"), 3) != 1)
+    assert np.array_equal(a.weights, repeated.weights)
+
+
 def test_op5_held_out(documents):
     got = langid.op5_rows(documents).toPandas().merge(documents.select("doc_id", "lang").toPandas(), on="doc_id")
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in zip(got.doc_id, got.held_out, strict=True))
