@@ -1,6 +1,6 @@
 """License scans: winnowed fingerprints of templates pick candidates, banded alignment judges them.
 
-Templates are short public notices (TEMPLATES, or any mapping given). Hashes of K consecutive words
+Templates are public notices and short licence texts (TEMPLATES, or any mapping given). Hashes of K consecutive words
 are winnowed: of every WINDOW neighbouring ones the smallest is kept. An inverted index maps them to
 (template, position). Every hash of a document is looked up; the diagonals the finds fall on,
 grouped within a band, are candidate places; there a banded alignment of the template's words
@@ -16,6 +16,7 @@ empty table gives none; equal places go to the template that sorts first. Other
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
 
@@ -29,6 +30,8 @@ from .decontamination import split_words
 from .rows import ALNUM, LOWER, pieces, text_buffer, window_hashes, word_hashes, word_spans
 
 K, WINDOW, BAND, MINIMUM, SHORT = 4, 4, 8, 0.7, 24
+#: Candidate places of one template that are aligned side by side, at most.
+SIDE_BY_SIDE = 1024
 #: The notices by which public licences say a work may be given them, and common short forms.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -40,6 +43,10 @@ TEMPLATES = {
     "GPL-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "MIT-short": "Released under the MIT License.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
@@ -52,43 +59,45 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.arange(len(views)) + window - 1 - views[:, ::-1].argmin(1))
 
 
-def align(template: list[bytes], words: list[bytes], shift: int, band: int) -> tuple[int, int, int]:
-    """Most template words matched in order by equal document words, over alignments whose diagonals
-    (document word - template word) stay within `band` of `shift`; and the tightest span of those matches: (matched, start, end)."""
-    n, low = len(template), shift - band
-    width = 2 * band + 1
-    # Best (matched, -span start) over cells; row i has columns j = i + low + d.
-    score, first, last = [0] * width, [-1] * width, [-1] * width
+def align(template: np.ndarray, words: np.ndarray, shifts: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each shift the most template words (by number) matched in order by equal document words, over alignments whose
+    diagonals (document word - template word) stay within `band` of it, and of these the tightest span, the first of equal
+    ones: (matched, start, end). All shifts go through the rows of the table side by side."""
+    n, width, count = len(template), 2 * band + 1, len(shifts)
+    low = shifts - band
+    column = np.arange(width)
+    # A cell holds the best score and, of alignments with it, the latest first word (as the distance from `low`): score << 21 | first.
+    cells, best = np.zeros((count, width), np.int64), np.zeros(count, np.int64)
+    end = (1 << 21) - 1
     for i in range(n):
-        new_s, new_f, new_l = [0] * width, [-1] * width, [-1] * width
-        for d in range(width):
-            j = i + low + d
-            best = (score[d + 1], first[d + 1], last[d + 1]) if d + 1 < width else (0, -1, -1)  # template word skipped
-            if d and _better(side := (new_s[d - 1], new_f[d - 1], new_l[d - 1]), best):  # document word skipped
-                best = side
-            if 0 <= j < len(words) and words[j] == template[i]:
-                take = (score[d] + 1, first[d] if score[d] else j, j)
-                if _better(take, best):
-                    best = take
-            elif _better(both := (score[d], first[d], last[d]), best):
-                best = both
-            new_s[d], new_f[d], new_l[d] = best
-        score, first, last = new_s, new_f, new_l
-    d = 0
-    for k in range(1, width):
-        if _better((score[k], first[k], last[k]), (score[d], first[d], last[d])):
-            d = k
-    return score[d], first[d], last[d] + 1
-
-
-def _better(a: tuple[int, int, int], b: tuple[int, int, int]) -> bool:
-    return (a[0], b[2] - b[1]) > (b[0], a[2] - a[1])
+        at = i + column
+        where = low[:, None] + at
+        inside = (where >= 0) & (where < len(words))
+        equal = inside & (words[np.where(inside, where, 0)] == template[i])
+        kept = cells.copy()
+        kept[:, :-1] = np.maximum(kept[:, :-1], cells[:, 1:])  # a template word skipped, or both
+        if equal.any():
+            score, first = (cells >> 21) + 1, np.where(cells > 0, cells & end, at)
+            kept = np.where(equal, np.maximum(kept, score << 21 | first), kept)
+            # What ends here, by score, then span, then place: score << 42 | (end - span) << 21 | (end - last).
+            here = np.where(equal, score << 42 | (end - (at - first)) << 21 | (end - at), 0)
+            best = np.maximum(best, here.max(1))
+        cells = np.maximum.accumulate(kept, 1)  # document words skipped
+    last = end - (best & end)
+    start = last - (end - (best >> 21 & end))
+    return best >> 42, low + start, low + last + 1
 
 
 class Templates:
     def __init__(self, templates: Mapping[str, str]) -> None:
         self.names = sorted(templates)
         self.words = [split_words(templates[name]) for name in self.names]
+        self.number: dict[bytes, int] = {}
+        for words in self.words:
+            for w in words:
+                self.number.setdefault(w, len(self.number))
+        self.ids = [np.array([self.number[w] for w in words], np.int64) for words in self.words]
+        self.bands = [max(BAND, len(x) // 8) for x in self.ids]  # a long text may gain or lose more words
         self.index: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))  # size of hash, hash, places
         for t, words in enumerate(self.words):
             size = min(K, len(words))
@@ -124,28 +133,35 @@ class Templates:
             whole = raw.tobytes() if seeds else b""
             for doc, found in seeds.items():
                 own = slice(doc_words[doc], doc_words[doc + 1])
-                words = [whole[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
+                get = self.number.get
+                words = np.array([get(whole[a:b], -1) for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)], np.int64)
                 out[low + doc] = self._places(words, found)
         return out
 
-    def _places(self, words: list[bytes], seeds: set[tuple[int, int]]) -> list[dict]:
-        places, last = [], None
+    def _places(self, words: np.ndarray, seeds: set[tuple[int, int]]) -> list[dict]:
+        exact: list[tuple[int, int]] = []
+        banded: dict[int, list[int]] = defaultdict(list)
         for t, shift in sorted(seeds):
-            if last and last[0] == t and shift - last[1] <= BAND // 2:  # the band around the last one takes this one in
+            n = len(self.ids[t])
+            if banded[t] and shift - banded[t][-1] <= self.bands[t] // 2:  # the band around the last one takes this one in
                 continue
-            n = len(self.words[t])
-            if shift >= 0 and words[shift : shift + n] == self.words[t]:  # all on one diagonal: nothing to align
-                matched, start, end = n, shift, shift + n
+            if shift >= 0 and np.array_equal(words[shift : shift + n], self.ids[t]):  # all on one diagonal: nothing to align
+                exact.append((t, shift))
             else:
-                last = t, shift
-                matched, start, end = align(self.words[t], words, shift, BAND)
-            if matched >= MINIMUM * len(self.words[t]):
-                places.append({"license": self.names[t], "matched": matched, "coverage": matched / len(self.words[t]), "start": start, "end": end})
-        kept: list[dict] = []
+                banded[t].append(shift)
+        found = [(t, len(self.ids[t]), shift, shift + len(self.ids[t])) for t, shift in exact]
+        for t, shifts in banded.items():
+            for k in range(0, len(shifts), SIDE_BY_SIDE):
+                found += [(t, *x) for x in zip(*(x.tolist() for x in align(self.ids[t], words, np.array(shifts[k : k + SIDE_BY_SIDE]), self.bands[t])), strict=True)]
+        places = [{"license": self.names[t], "matched": matched, "coverage": matched / len(self.ids[t]), "start": start, "end": end} for t, matched, start, end in found if matched >= MINIMUM * len(self.ids[t])]
+        starts: list[int] = []
+        kept: dict[int, dict] = {}
         for p in sorted(places, key=lambda p: (-p["matched"], -p["coverage"], p["end"] - p["start"], p["license"], p["start"])):
-            if all(p["end"] <= q["start"] or q["end"] <= p["start"] for q in kept):
-                kept.append(p)
-        return sorted(kept, key=lambda p: p["start"])
+            k = bisect_right(starts, p["start"])
+            if (not k or kept[starts[k - 1]]["end"] <= p["start"]) and (k == len(starts) or p["end"] <= starts[k]):
+                starts.insert(k, p["start"])
+                kept[p["start"]] = p
+        return [kept[x] for x in starts]
 
 
 _PLACE = pa.struct([("license", pa.string()), ("matched", pa.int32()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
