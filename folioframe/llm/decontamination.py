@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fm_index import FMIndex
-from .rows import ALNUM, LOWER, U, mix, pieces, ragged, text_buffer, word_hashes, word_spans
+from .rows import ALNUM, LOWER, U, fresh, mix, pieces, ragged, text_buffer, word_hashes, word_spans
 from .simhash import durable
 
 #: Bytes of benchmark text that one pass over the documents takes along (about 30 times that in memory); a larger benchmark is searched in blocks.
@@ -193,7 +193,7 @@ def _scan(shipped, first: bool, last: bool):
 _CUTS = pa.list_(pa.list_(pa.int64()))
 
 
-def _cut(shipped, at: int, first: bool, last: bool):
+def _cut(shipped, at: int, name: str, first: bool, last: bool):
     """One block of the benchmark over the batches: its spans join those of earlier blocks, which the last
     column holds as (first word, words beyond, first byte, bytes beyond); the last block cuts."""
 
@@ -208,7 +208,7 @@ def _cut(shipped, at: int, first: bool, last: bool):
                 spans.setdefault(d, []).append(span)
             kept = batch if first else batch.select(batch.schema.names[:-1])
             if not last:
-                yield kept.append_column("__cuts", pa.array([spans.get(d, []) for d in range(batch.num_rows)], _CUTS))
+                yield kept.append_column(name, pa.array([spans.get(d, []) for d in range(batch.num_rows)], _CUTS))
                 continue
             if spans:
                 out, whole = column.to_pylist(), data.tobytes()
@@ -264,8 +264,8 @@ def strip_hits(docs: DataFrame, items: DataFrame, *, width: int = 10, text: str
     last one's last), all other columns as they are. Every block of a large benchmark is searched in the
     unchanged text; what they found is merged by word and cut once, by the last."""
     at = docs.columns.index(text)
-    with_cuts = T.StructType([*docs.schema.fields, T.StructField("__cuts", T.ArrayType(T.ArrayType(T.LongType())))])
-    return _by_blocks(docs, _blocks(items, item_id, item_text, width, block_bytes), lambda *block: _cut(block[0], at, *block[1:]), lambda last: docs.schema if last else with_cuts)
+    with_cuts = T.StructType([*docs.schema.fields, T.StructField(fresh("__cuts", docs.columns), T.ArrayType(T.ArrayType(T.LongType())))])
+    return _by_blocks(docs, _blocks(items, item_id, item_text, width, block_bytes), lambda shipped, first, last: _cut(shipped, at, with_cuts.names[-1], first, last), lambda last: docs.schema if last else with_cuts)
 
 
 def op1_rows(docs: DataFrame, items: DataFrame) -> DataFrame:

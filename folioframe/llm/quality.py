@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import SPACE, U, byte_set, mix, pieces, text_buffer, word_hashes, word_spans
+from .rows import SPACE, U, byte_set, fresh, mix, pieces, text_buffer, word_hashes, word_spans
 
 #: Documents of either kind that a model is fitted on, at most: those whose ids hash lowest.
 SAMPLE = 6000
@@ -202,4 +202,5 @@ def op4_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the classifier does not reject."""
     model = fit(docs, labels, learn=fold(F.col("doc"), 3) != 1)
-    return score(docs, model, name="__score").filter("__score >= 0.5").drop("__score")
+    name = fresh("__score", docs.columns)
+    return score(docs, model, name=name).filter(F.col(name) >= 0.5).drop(name)

@@ -127,3 +127,10 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     out_at = np.cumsum(lengths) - lengths
     return np.repeat(starts - out_at, lengths) + np.arange(total)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, with underscores after it as long as it is taken."""
+    while name in taken:
+        name += "_"
+    return name

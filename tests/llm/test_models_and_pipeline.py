@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tempfile
 import zlib
 
 import duckdb
@@ -168,8 +169,27 @@ def test_pipeline_stages(spark, documents):
 
 
 def test_stages_take_odd_rows(spark):
-    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "a " * 60_000, "en", "s", 120_000), (3, "same words here", "de", "s", 15), (3, "same words here", "de", "s", 15), (4, "same words here", "de", None, 15)]
-    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for frame in (table, table.filter("false")):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, frame, SF).count() <= frame.count()
+    """Null ids and texts, empty and very long texts, ties, repeated rows, clashing columns, and the empty table, stage by stage."""
+    text = " ".join(f"word{k}" for k in range(40))
+    bench = " ".join(f"q{k}" for k in range(12))
+    rows = [(None, None, "x"), (None, text, "x"), (1, "", "x"), (2, "ab " * 60_000, "y"), (3, text, "y"), (3, text, "y"), (3, "another text of this id", "y"), (4, text + " more", None), (5, f"see {bench}. password=hunter2hunter2 end", "z"), (None, f"{bench}", "z")]
+    kinds = "doc_id long, text string, said string, doc string, __score string, token_ids string, body string, row string, fp string, spans string"
+    table = spark.createDataFrame([(i, t, s, "d", "s", "t", "b", "r", "f", "p") for i, t, s in rows], kinds)
+    folder = tempfile.mkdtemp(prefix="odd-")
+    spark.createDataFrame([(10, 1)], "doc_id long, quality int").filter("false").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, bench), (2, None), (None, "word1 word2")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, table.filter("false"), folder).count() == 0
+        if name != "byte_bpe":
+            assert f(spark, table, folder).dtypes == table.dtypes
+    texts = lambda frame: sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
+    assert texts(stage["quality_classifier"](spark, table, folder)) == sorted(((i, t) for i, t, _ in rows), key=str)
+    assert texts(stage["simhash_near_dedup"](spark, table, folder)) == sorted([(1, ""), (2, "ab " * 60_000), (3, text), (3, "another text of this id"), (5, rows[8][1]), (None, bench)], key=str)
+    cut = dict(texts(stage["benchmark_decontamination"](spark, table.filter("doc_id = 5 or doc_id is null"), folder)))
+    assert cut[5] == "see . password=hunter2hunter2 end"
+    assert (None, "") in texts(stage["benchmark_decontamination"](spark, table, folder)) and (None, None) in texts(stage["benchmark_decontamination"](spark, table, folder))
+    assert dict(texts(stage["secret_scan"](spark, table.filter("doc_id = 5"), folder)))[5] == f"see {bench}. [SECRET] end"
+    out = stage["byte_bpe"](spark, table, folder)
+    assert out.columns == [*(c for c in table.columns if c not in ("text", "token_ids")), "n_tokens", "token_ids", "round_trip"]
+    assert out.filter("round_trip").count() == len(rows) and out.filter("n_tokens = 0").count() == 2
