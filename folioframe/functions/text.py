@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,10 +15,10 @@ STOP_WORDS = ("a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "or
 STRAIGHT = {"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2013": "-", "\u2014": "-", "\u2212": "-", "\u00a0": " "}
 #: Full-width punctuation and its plain form.
 FULL_WIDTH = {"\uff0c": ",", "\u3002": ".", "\uff1a": ":", "\uff1b": ";", "\uff08": "(", "\uff09": ")", "\uff1f": "?", "\uff01": "!"}
-#: The entities that text keys decode.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
-#: Maths commands and the words for them in keys.
-MATH_WORDS = {r"\times": "x", r"\cdot": "x", r"\div": "/", r"\leq": "<=", r"\geq": ">=", r"\neq": "!=", r"\pi": "pi", r"\pm": "+-"}
+#: Maths commands (longer ones first) and the words for them in location keys.
+MATH_WORDS = {"geq": "ge", "ge": "ge", "leq": "le", "le": "le", "neq": "ne", "ne": "ne", "approx": "approx", "sim": "sim", "times": "times", "cdot": "cdot", "div": "div", "pm": "pm", "mp": "mp", "pi": "pi", "sqrt": "sqrt"}
+#: Maths commands and what stands for them in semantic keys, in order.
+SEMANTIC_WORDS = {r"\\cdot": "*", r"\\times": "*", r"\\div": "/", r"\\pm": "+-", r"\\leq": "<=", r"\\geq": ">=", r"\\neq": "!=", r"\\lt": "<", r"\\gt": ">", r"\\left": "", r"\\right": "", r"\\quad": "", r"\\[,;:!]": ""}
 #: Maths commands and the words for them in context texts.
 CONTEXT_WORDS = {r"\cdot": "times", r"\times": "times", r"\div": "div", r"\pm": "plusminus", r"\leq": "le", r"\geq": "ge"}
 #: Patterns that context texts drop or rewrite, in order, and the characters that their keys keep.
@@ -54,8 +56,26 @@ def compare_text(c: Column) -> Column:
     return whitespace(_chain(c, (r"!\[[^\]]*\]\([^)]*\)", " "), (r"(?s)<!--.*?-->", " ")))
 
 
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _entity(found: Column) -> Column:
+    """One reference decoded: by number (those of the range 128 to 159 are of Windows-1252, impossible ones a replacement
+    character), or by name from the standard table; an unknown name stays."""
+    names = F.from_json(F.lit(json.dumps({"&" + k: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+    digits = F.regexp_extract(found, "#[xX]?([0-9a-fA-F]+);", 1)
+    code = F.when(F.lower(F.substring(found, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+    code = F.when((code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), 0xFFFD).otherwise(code)
+    controls = "".join(map(chr, range(128, 160)))
+    windows = "".join(bytes([ord(x)]).decode("cp1252", "ignore") or x for x in controls)
+    by_number = F.translate(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), controls, windows)
+    return F.when(F.substring(found, 2, 1) == "#", by_number).otherwise(F.coalesce(names[found], found))
+
+
 def decode_entities(c: Column) -> Column:
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), c)
+    """All character references that end with a semicolon."""
+    joined = F.array_join(F.zip_with(F.split(c, _ENTITY, -1), F.transform(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0)), _entity), lambda text, found: F.concat(text, F.coalesce(found, F.lit("")))), "")
+    return F.when(F.rlike(c, F.lit(_ENTITY)), joined).otherwise(c)
 
 
 def review_key(c: Column) -> Column:
@@ -89,10 +109,29 @@ def heading_key(c: Column) -> Column:
     return _chain(F.lower(c), (r"[^a-z0-9\x{4e00}-\x{9fff}]+", " "), ("^ | $", ""))
 
 
+_IMAGE, _TAG = r"!\[[^\]]*\]\([^)]+\)", "<[^>]+>"
+_FRACTION, _ROOT, _SQUARE_ROOT, _TEXT = r"\\frac\s*\{([^{}]+)\}\s*\{([^{}]+)\}", r"\\sqrt\s*\[([^{}]+)\]\s*\{([^{}]+)\}", r"\\sqrt\s*\{([^{}]+)\}", r"\\text\s*\{([^{}]+)\}"
+
+
 def math_key(c: Column) -> Column:
-    """Maths commands as words, frac and sqrt as slashes and words, blanks and braces out, no spaces."""
-    words = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), MATH_WORDS.items(), c)
-    return F.lower(_chain(words, (r"\\d?frac\{([^{}]*)\}\{([^{}]*)\}", "$1/$2"), (r"\\sqrt\{([^{}]*)\}", "sqrt$1"), (r"\\(?:text|mathrm)\{([^{}]*)\}", "$1"), (r"_{2,}", ""), (r"[\\{}$ \t\n\r]", "")))
+    """Key that places a formula: commands as words, fractions, roots and boxes spelt out, matrices and layout out, no spaces."""
+    words_ = ((rf"\\{k}\b", f" {v} ") for k, v in MATH_WORDS.items())
+    plain = _chain(decode_entities(c), (_IMAGE, " "), (_TAG, " "), (r"\$\$?", " "), (r"\\stackrel\s*\{\s*\?\s*\}\s*\{\s*=\s*\}", " question_equals "), *words_)
+    layout = _chain(plain, (r"\\(?:begin|end)\{[^}]+\}", " "), (r"\\left|\\right", " "), (r"\\quad|\\,", " "), (r"\\boxed\s*\{(?:\s*|\\quad)\}", " boxedblank "))
+    spelt = _chain(layout, (_FRACTION, " frac $1 over $2 "), (_ROOT, " sqrtroot $1 $2 "), (_SQUARE_ROOT, " sqrt $1 "), (_TEXT, " $1 "), (r"\\[a-zA-Z]+", " "))
+    return F.lower(F.regexp_replace(spelt, r"[^a-zA-Z0-9+\-*/=<>.%]+", ""))
+
+
+def formula_semantic_key(c: Column) -> Column:
+    """Key that compares formulas: operators in ASCII, structure and exponents kept, emphasis, layout and spaces out."""
+    plain = _chain(decode_entities(c), (_IMAGE, ""), (_TAG, " "), (r"(?<!\\)\*\*([^*\n]+?)\*\*", "$1"), (r"(?<!\\)__([^_\n]+?)__", "$1"), *SEMANTIC_WORDS.items())
+    spelt = _chain(plain, (r"\\begin\{([^}]+)\}", " begin$1 "), (r"\\end\{([^}]+)\}", " end$1 "), (_FRACTION, "frac($1)/($2)"), (_ROOT, "sqrtroot($1)($2)"), (_SQUARE_ROOT, "sqrt($1)"), (_TEXT, "text($1)"), (r"\\([a-zA-Z]+)", "$1"), (r"\$", ""))
+    return F.lower(F.regexp_replace(spelt, r"[^a-zA-Z0-9+\-*/=<>!%.^_()]+", ""))
+
+
+def formula_like(block_type: Column, c: Column) -> Column:
+    """Whether a packet holds a formula: not a figure of an image alone, and with something to key."""
+    return ~((block_type == "captioned_figure") & (F.trim(F.regexp_replace(c, _IMAGE, "")) == "")) & (math_key(c) != "")
 
 
 def formula_key(c: Column) -> Column:

@@ -40,9 +40,10 @@ def fixed_counts(rows: DataFrame, column: str, values: Sequence[str]) -> DataFra
 
 
 def facets(rows: DataFrame, columns: Sequence[str], limit: int = 100) -> DataFrame:
-    """Distinct non-empty values of each column, sorted, the first `limit` of each."""
-    parts = [rows.select(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")).filter("value <> ''").distinct().orderBy("value").limit(limit) for c in columns]
-    return reduce(DataFrame.unionByName, parts)
+    """Distinct non-empty values of each column, the first `limit` of each: one scan, and a ranking that stops at the limit."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns)))
+    values = rows.select(pairs.alias("p")).select("p.*").filter("value <> ''").distinct()
+    return values.withColumn("__rn", F.row_number().over(Window.partitionBy("field").orderBy("value"))).filter(F.col("__rn") <= limit).drop("__rn")
 
 
 def value_stats(rows: DataFrame, columns: Sequence[str], manual: Column, confidence: Column, limit: int = 24) -> DataFrame:
@@ -61,12 +62,12 @@ def duplicate_groups(rows: DataFrame, content: Column, id_: str) -> DataFrame:
 
 
 def with_canonical(rows: DataFrame, content: Column, id_: str) -> DataFrame:
-    """Every row with the state of its content: unique, canonical or noncanonical duplicate. Counts are
-    aggregated before the join, so a content that many rows share is joined, never gathered."""
+    """Every row with the state of its content: unique, canonical or noncanonical duplicate; a row without content is unique.
+    Counts are aggregated before the join, so a content that many rows share is joined, never gathered."""
     hashed = rows.withColumn("sha", F.sha2(content, 256))
-    groups = hashed.groupBy("sha").agg(F.count("*").alias("twins"), F.min(id_).alias("canonical"))
-    state = F.when(F.col("twins") == 1, "unique").when(F.col(id_) == F.col("canonical"), "canonical").otherwise("duplicate_noncanonical")
-    return hashed.join(groups, "sha").withColumn("state", state)
+    groups = hashed.filter("sha is not null").groupBy("sha").agg(F.count("*").alias("twins"), F.min(id_).alias("canonical"))
+    state = F.when(F.coalesce("twins", F.lit(1)) == 1, "unique").when(F.col(id_) == F.col("canonical"), "canonical").otherwise("duplicate_noncanonical")
+    return hashed.join(groups, "sha", "left").withColumn("state", state)
 
 
 def single_winner(rows: DataFrame, keys: Sequence[str], current: str, *order: Column) -> DataFrame:

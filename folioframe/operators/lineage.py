@@ -48,6 +48,12 @@ def gap(have: DataFrame, need: DataFrame, key: list[str]) -> DataFrame:
     return have.select(*key).distinct().join(need.select(*key), key, "left_anti")
 
 
+def asset_gap(rows: DataFrame, popo: Column, mineru: Column, marker: Column) -> DataFrame:
+    """The rows that lack something, with which of four gaps they have; a null flag counts as missing."""
+    p, m, k = (F.coalesce(c, F.lit(False)) for c in (popo, mineru, marker))
+    return rows.withColumn("bucket", F.when(p & ~m, "popo_without_mineru").when(m & ~p, "mineru_without_popo").when(k & ~p & ~m, "marker_only").when(~p & ~m, "nothing")).filter("bucket is not null")
+
+
 def plan(items: DataFrame, order: str = "smallest", limit: int = 5) -> DataFrame:
     """At most five eligible items (columns id, size, name, state)."""
     by = {"smallest": [F.asc("size"), F.asc("id")], "largest": [F.desc("size"), F.asc("id")], "name": [F.asc("name"), F.asc("id")]}[order]

@@ -166,15 +166,6 @@ def _(orders: DataFrame) -> DataFrame:
     return orders.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0)
 
 
-@R.over("nulls_last_order", "documents", "labels", sql="""
-SELECT d.doc_id, l.toxic, row_number() OVER (ORDER BY l.toxic DESC NULLS LAST, d.doc_id) AS place FROM documents d LEFT JOIN labels l USING (doc_id) ORDER BY place LIMIT 50""")
-def _(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    top = docs.select("doc_id").join(labels, "doc_id", "left").select("doc_id", "toxic").orderBy(F.desc_nulls_last("toxic"), "doc_id").limit(50)
-    from pyspark.sql import Window
-
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("toxic"), "doc_id")))
-
-
 @R.over("nulls_last_places", "documents", "labels", sql="""
 SELECT d.doc_id, l.toxic, row_number() OVER (ORDER BY l.toxic DESC NULLS LAST, d.doc_id) AS place FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def _(docs: DataFrame, labels: DataFrame) -> DataFrame:

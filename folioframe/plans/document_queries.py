@@ -46,16 +46,6 @@ def _(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat(F.lit("pdf-"), X.sha_prefix(F.col("text"), 16)).alias("content_id"), X.sha_prefix(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")), 24).alias("object_id"), X.joined_key(F.col("source"), F.col("lang"), F.col("doc_id")).alias("job_key"))
 
 
-@R.over("catalogue_similarity", "benchmark", sql=r"""
-WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+|[\x{4e00}-\x{9fff}]+'), lambda x: length(x) > 1 AND x NOT IN ('a','an','and','at','by','for','from','in','of','on','or','the','to') AND NOT regexp_matches(x, '^(19|20|21)[0-9]{2}$'))) AS k FROM benchmark)
-SELECT a.item_id, b.item_id AS other, round(len(list_intersect(a.k, b.k)) * 1.0 / greatest(len(a.k), len(b.k)), 6) AS similarity FROM t a JOIN t b ON b.item_id = a.item_id + 1 WHERE len(a.k) > 0 AND len(b.k) > 0""")
-def _(items: DataFrame) -> DataFrame:
-    tokens = items.select("item_id", X.catalogue_tokens(F.col("text")).alias("k"))
-    other = tokens.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other"), F.col("k").alias("k2"))
-    joined = tokens.join(other, "item_id").filter("size(k) > 0 and size(k2) > 0")
-    return joined.select("item_id", "other", F.round(X.token_similarity(F.col("k"), F.col("k2")), 6).alias("similarity"))
-
-
 @R.over("catalogue_best", "benchmark", sql=r"""
 WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+|[\x{4e00}-\x{9fff}]+'), lambda x: length(x) > 1 AND x NOT IN ('a','an','and','at','by','for','from','in','of','on','or','the','to') AND NOT regexp_matches(x, '^(19|20|21)[0-9]{2}$'))) AS k FROM benchmark),
 p AS (SELECT a.item_id, b.item_id AS other, round(len(list_intersect(a.k, b.k)) * 1.0 / greatest(len(a.k), len(b.k)), 6) AS similarity FROM t a JOIN t b ON a.item_id <> b.item_id WHERE len(list_intersect(a.k, b.k)) > 0)
@@ -182,23 +172,12 @@ def _(turns: DataFrame) -> DataFrame:
     return B.prefix_offsets(turns, ["conv_id"], "turn", "text").select("conv_id", "turn", "start", "end")
 
 
-@R.over("exact_locator", "documents", "benchmark", sql=r"""
-WITH l AS (SELECT doc_id, i, regexp_replace(lower(t), '[^a-z0-9]', '', 'g') AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-b AS (SELECT item_id, regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]', '', 'g') AS k FROM benchmark)
-SELECT item_id, count(doc_id) AS n_places FROM b LEFT JOIN l ON b.k = l.k AND length(b.k) >= 8 GROUP BY item_id""")
-def _(docs: DataFrame, items: DataFrame) -> DataFrame:
-    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("t")).select("doc_id", key(F.col("t")).alias("k")).filter(F.length("k") >= 8).groupBy("k").agg(F.count("*").alias("n"))
-    wanted = items.select("item_id", key(F.substring_index("text", "\n", 1)).alias("k"))
-    return wanted.join(lines, "k", "left").groupBy("item_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_places"))
-
-
 @R.over("exact_locator_lines", "documents", "benchmark", sql=r"""
 WITH l AS (SELECT regexp_replace(lower(t), '[^a-z0-9]', '', 'g') AS k FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM documents)),
 b AS (SELECT item_id, CAST(i AS INTEGER) AS line_no, regexp_replace(lower(t), '[^a-z0-9]', '', 'g') AS k FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM benchmark))
 SELECT item_id, line_no, count(l.k) AS n_places FROM b LEFT JOIN l ON b.k = l.k AND length(b.k) >= 8 GROUP BY item_id, line_no""")
 def _(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """As exact_locator, for every line of an item."""
+    """The places of every line of an item among the lines of all documents."""
     key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     lines = docs.select(F.explode(F.split("text", "\n")).alias("t")).select(key(F.col("t")).alias("k")).filter(F.length("k") >= 8).groupBy("k").agg(F.count("*").alias("n"))
     wanted = items.select("item_id", F.posexplode(F.split("text", "\n")).alias("at", "t")).select("item_id", (F.col("at") + 1).alias("line_no"), key(F.col("t")).alias("k"))
@@ -235,19 +214,9 @@ def _(turns: DataFrame) -> DataFrame:
     return wanted.join(keyed, "k", "left").select("conv_id", "turn", F.coalesce("n", F.lit(0)).alias("n_places"))
 
 
-@R.over("token_overlap_topk", "documents", "benchmark", sql=r"""
-WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{12,}')) AS k FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{12,}')) AS k FROM benchmark),
-p AS (SELECT item_id, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(k) AS t FROM d) JOIN (SELECT item_id, unnest(k) AS t FROM b) USING (t) GROUP BY ALL)
-SELECT item_id, doc_id, n, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rank FROM p QUALIFY rank <= 5""")
-def _(docs: DataFrame, items: DataFrame) -> DataFrame:
-    tokens = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{12,}"), F.lit(0))))
-    pairs = docs.select("doc_id", tokens(F.col("text")).alias("t")).join(M.small(items.select("item_id", tokens(F.col("text")).alias("t")), ["t"]), "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id"))).filter("rank <= 5")
-
-
 @R.over("token_overlap_words", "documents", "benchmark")
 def _(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """As token_overlap_topk, by all words of two characters or more of any script: no SQL; the tests hold it against brute force."""
+    """The five documents with the most words in common with each item, by all words of two characters or more of any script: no SQL; the tests hold it against brute force."""
     tokens = lambda rows, id_: rows.select(id_, F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}]{2,}"), F.lit(0)).alias("k"))
     pairs = M.common_tokens(tokens(docs, "doc_id"), tokens(items, "item_id"), "doc_id", "item_id", "k")
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id"))).filter("rank <= 5")
@@ -282,13 +251,6 @@ def _(pages: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.select("page_id", F.coalesce("a", "b").alias("media_id"), X.ladder((F.col("a").isNotNull(), "path"), (F.col("b").isNotNull(), "name"), default="none").alias("matched_by"))
 
 
-@R.over("vector_neighbours", "embeddings", sql="""
-SELECT label, count(*) AS n, round(avg(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS mean_norm FROM embeddings GROUP BY label""")
-def _(vectors: DataFrame) -> DataFrame:
-    norm = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
-    return vectors.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(norm), 4).alias("mean_norm"))
-
-
 @R.over("vector_nearest", "embeddings")
 def _(vectors: DataFrame) -> DataFrame:
     """The five nearest others of every vector by cosine: no SQL; the tests hold it against brute force."""

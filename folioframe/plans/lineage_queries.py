@@ -79,9 +79,14 @@ def _(customer: DataFrame, events: DataFrame) -> DataFrame:
     return rows.select("c_custkey", L.state(no, no, F.col("status"), F.lit(1), yes).alias("state"))
 
 
-@R.over("asset_gap", "customer", "orders", sql="SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@R.over("asset_gap", "customer", "orders", sql="""
+WITH s AS (SELECT o_custkey AS k, bool_or(o_orderstatus = 'F') AS popo, bool_or(o_orderstatus = 'O') AS mineru, bool_or(o_orderstatus = 'P') AS marker FROM orders GROUP BY o_custkey)
+SELECT c_custkey, CASE WHEN coalesce(popo AND NOT mineru, false) THEN 'popo_without_mineru' WHEN coalesce(mineru AND NOT popo, false) THEN 'mineru_without_popo' WHEN coalesce(marker AND NOT popo AND NOT mineru, false) THEN 'marker_only' WHEN k IS NULL THEN 'nothing' END AS bucket
+FROM customer LEFT JOIN s ON k = c_custkey WHERE k IS NULL OR NOT (popo AND mineru)""")
 def _(customer: DataFrame, orders: DataFrame) -> DataFrame:
-    return L.gap(customer, orders.withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+    """Customers in one of four gaps: of two kinds of orders only one, markers only, or nothing. One aggregate, one join."""
+    seen = orders.groupBy("o_custkey").agg(*(F.bool_or(F.col("o_orderstatus") == s).alias(name) for s, name in (("F", "popo"), ("O", "mineru"), ("P", "marker"))))
+    return L.asset_gap(customer.select("c_custkey").join(seen.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left"), F.col("popo"), F.col("mineru"), F.col("marker")).select("c_custkey", "bucket")
 
 
 @R.over("pair_gap_diagnostic", "lineitem", "orders", sql="""

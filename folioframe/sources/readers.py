@@ -48,11 +48,13 @@ def ids_from_manifest(key: Column) -> tuple[Column, Column]:
 
 
 def first_existing(rows: DataFrame, candidates: list[str], listed: DataFrame, name: str = "resolved") -> DataFrame:
-    """Each row's first candidate column that the listing holds."""
-    keys = listed.select(F.col("key").alias("__key")).distinct()
-    options = rows.select("*", F.posexplode_outer(F.array(*(F.col(c) for c in candidates))).alias("__at", "__c"))
-    found = options.join(keys, F.col("__c") == F.col("__key"), "left_semi").groupBy(*rows.columns).agg(F.min_by("__c", "__at").alias(name))
-    return rows.join(found, rows.columns, "left")
+    """Each row's first candidate column that the listing holds; null candidates are passed over. One join a candidate, on the
+    distinct keys of the listing, so that no row is lost or doubled whatever is null in it."""
+    keys, found = listed.select("key").filter("key is not null").distinct(), []
+    for k, c in enumerate(candidates):
+        found.append(F.col(f"__key{k}"))
+        rows = rows.join(keys.withColumnRenamed("key", f"__key{k}"), F.col(c) == F.col(f"__key{k}"), "left")
+    return rows.withColumn(name, F.coalesce(*found)).drop(*(f"__key{k}" for k in range(len(candidates))))
 
 
 def json_or_empty(text: Column, schema: str) -> Column:
