@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,3 +109,20 @@ def prefix_offsets(rows: DataFrame, group: Sequence[str], order: str, text: str)
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.length(text)).over(w)
     return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length(text))
+
+
+def ranked_by_ranges(rows: DataFrame, group: Sequence[str], coarse: Sequence[Column], unique: str, name: str = "place") -> DataFrame:
+    """The place of every row in its group, by `coarse` columns of few values, then `unique` (nulls last), where a group may
+    hold most of the table: rows are numbered within ranges of `unique`, and the sizes of all ranges before are added, so that no
+    window holds a group. What is gathered is one row a range."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = rows.agg(F.percentile_approx(unique, [k / n for k in range(1, n)] or [0.5])).first()[0] or []
+    part = F.coalesce(sum(((F.col(unique) > e).cast("int") for e in sorted(set(edges))), F.lit(0)), F.lit(n))
+    keys = [*group, *(f"__c{k}" for k in range(len(coarse))), "__part"]
+    rows = rows.select("*", *(F.struct(F.isnull(c), c).alias(f"__c{k}") for k, c in enumerate(coarse)), part.alias("__part"))
+    before = Window.partitionBy(*group).orderBy(*keys[len(group) :]).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(unique)))).alias("r")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    out = ranked.join(sizes.alias("s"), reduce(Column.__and__, same))
+    return out.select("r.*", (F.col("__first") + F.col("__rank")).alias(name)).drop("__rank", *keys[len(group) :])

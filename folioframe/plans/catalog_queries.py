@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as X
+from folioframe.operators import blocks as B
 from folioframe.operators import catalog as C
 from folioframe.plans.registry import Registry
 
@@ -169,17 +170,9 @@ def _(orders: DataFrame) -> DataFrame:
 @R.over("nulls_last_places", "documents", "labels", sql="""
 SELECT d.doc_id, l.toxic, row_number() OVER (ORDER BY l.toxic DESC NULLS LAST, d.doc_id) AS place FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def _(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The place of every row: ranks within ranges of doc_id, and the sizes of all ranges before."""
-    from pyspark.sql import Window
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5])).first()[0] or []
-    part = F.coalesce(sum(((F.col("doc_id") > e).cast("int") for e in sorted(set(edges))), F.lit(0)), F.lit(n))
-    rows = docs.select("doc_id").join(labels.select("doc_id", "toxic"), "doc_id", "left").withColumn("part", part)
-    before = Window.orderBy(F.desc_nulls_last("toxic"), "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    sizes = rows.groupBy("toxic", "part").agg(F.count("*").alias("n")).select(F.col("toxic").alias("t"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("toxic", "part").orderBy(F.asc_nulls_last("doc_id"))))
-    return ranked.join(F.broadcast(sizes), F.col("toxic").eqNullSafe(F.col("t")) & (F.col("part") == F.col("p"))).select("doc_id", "toxic", (F.col("first") + F.col("rank")).alias("place"))
+    """The place of every row."""
+    rows = docs.select("doc_id").join(labels.select("doc_id", "toxic"), "doc_id", "left")
+    return B.ranked_by_ranges(rows.withColumn("__all", F.lit(0)), ["__all"], [-F.col("toxic")], "doc_id").select("doc_id", "toxic", "place")
 
 
 @R.over("category_map", "events", sql="""

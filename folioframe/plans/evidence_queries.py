@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as X
+from folioframe.operators import blocks as B
 from folioframe.operators import evidence as E
 from folioframe.plans.registry import Registry
 
@@ -82,10 +83,8 @@ def _(events: DataFrame) -> DataFrame:
 @R.over("packet_order", "labels", sql="""
 SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY toxic, coalesce(nullif(doc_id % 7, 0), 1000000000), doc_id) AS place FROM labels""")
 def _(labels: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = labels.withColumn("page", F.col("doc_id") % 7)
-    return rows.select("doc_id", F.row_number().over(Window.partitionBy("quality").orderBy(*E.packet_order("toxic", "page", "doc_id"))).cast("long").alias("place"))
+    page = F.nullif(F.col("doc_id") % 7, F.lit(0))
+    return B.ranked_by_ranges(labels, ["quality"], [F.col("toxic"), page], "doc_id").select("doc_id", F.col("place").cast("long"))
 
 
 _UNITS = "(VALUES ('d', 0, 'a', 'one'), ('d', 1, 'a/b', 'two'), ('d', 2, '', 'three'), ('d', 3, 'x', ''), ('e', 0, 'q', 'q')) AS t(doc, i, path, title)"

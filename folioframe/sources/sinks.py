@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, below spark.checkpoint.dir; only a local master may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        base = tempfile.mkdtemp(prefix="shared-")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
 def with_refs(rows: DataFrame, bucket: str, object_: str, columns: list[str]) -> DataFrame:
     """(bucket, object, body, sha256, size): each row's columns as one JSON object with its reference."""
     body = F.to_json(F.struct(*sorted(columns)))
