@@ -46,12 +46,15 @@ def heading_path(rows: DataFrame, doc: str, order: str, level: str, title: str,
     return rows.withColumn("path", F.array_compact(F.array(*parts)))
 
 
-def heading_path_positional(rows: DataFrame, doc: str, order: str, level: str, title: str) -> DataFrame:
-    """The path by the positional rule: cut to level - 1 entries, then append; siblings nest where levels skip."""
+def heading_path_positional(rows: DataFrame, doc: str, order: str, level: str, title: str, depth: int = 6) -> DataFrame:
+    """The path by the positional rule: cut to level - 1 entries, then append; siblings nest where levels skip. Rows without level
+    keep the path. The n-th heading's depth is min(level, depth before + 1), that is n plus the least level - n so far; an entry of the path
+    is the last title of its depth."""
     w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.collect_list(F.struct(F.col(level).alias("l"), F.col(title).alias("t"))).over(w)
-    path = F.aggregate(seen, F.expr("cast(array() as array<string>)"), lambda acc, h: F.concat(F.slice(acc, F.lit(1), F.least(F.size(acc), h["l"] - 1)), F.array(h["t"])))
-    return rows.withColumn("path", path)
+    rows = rows.withColumn("__n", F.count(level).over(w))
+    rows = rows.withColumn("__depth", (F.col("__n") + F.least(F.lit(0), F.min(F.col(level) - F.col("__n")).over(w))).cast("int"))
+    parts = (F.last(F.when(F.col(level).isNotNull() & (F.col("__depth") == k), F.coalesce(title, F.lit(""))), ignorenulls=True).over(w) for k in range(1, depth + 1))
+    return rows.withColumn("path", F.slice(F.array(*parts), F.lit(1), F.col("__depth"))).drop("__n", "__depth")
 
 
 def carry_parent(rows: DataFrame, doc: str, order: str, *, parent: Column, reset: Column, child: Column, id_: str) -> DataFrame:
