@@ -18,17 +18,20 @@ def messages(spark: SparkSession, folder: str, slots: int = 4, schema: str = MES
 
 def process(stream: DataFrame, work: Callable[[DataFrame], DataFrame], done: str, failed: str, checkpoint: str) -> StreamingQuery:
     """Runs `work` on each batch of valid messages. Messages without the needed fields go to `failed`, as do those for which
-    `work` sets a column `error` (by try_ functions, say): one bad message never stops its batch. Both are
+    `work` sets a column `error` (by try_ functions, say; it then returns file_id and user_id too): one bad message never stops its batch. Both are
     written by batch number, so that a batch that runs again replaces itself. Ends when the folder is read."""
     valid = F.col("file_id").isNotNull() & F.col("user_id").isNotNull()
 
     def batch(rows: DataFrame, number: int) -> None:
         rows = rows.persist()
-        out = work(rows.filter(valid))
-        out = (out if "error" in out.columns else out.withColumn("error", F.lit(None).cast("string"))).persist()
-        out.filter("error is null").drop("error").write.mode("overwrite").parquet(f"{done}/batch={number}")
-        bad = out.filter("error is not null").select("file_id", "user_id", "error")
-        bad.unionByName(rows.filter(~valid).select("file_id", "user_id", F.lit("a field is missing").alias("error"))).write.mode("overwrite").parquet(f"{failed}/batch={number}")
+        out = work(rows.filter(valid)).persist()
+        bad = rows.filter(~valid).select("file_id", "user_id", F.lit("a field is missing").alias("error"))
+        good = out
+        if "error" in out.columns:
+            good = out.filter("error is null").drop("error")
+            bad = bad.unionByName(out.filter("error is not null").select("file_id", "user_id", "error"))
+        good.write.mode("overwrite").parquet(f"{done}/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{failed}/batch={number}")
         out.unpersist()
         rows.unpersist()
 
