@@ -17,6 +17,7 @@ returned as often; an empty table gives none. Other columns are never read.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -214,6 +215,16 @@ def durable(frame: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
+def written(frame: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the folder where checkpoints lie, compressed and read column by column."""
+    spark = frame.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        durable(spark.range(0))
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
     """(node, component): for every node of `edges` (a, b: long) the smallest node reachable.
 
     Alternating large-star and small-star rounds; the sum over all edges no longer changes when done."""
