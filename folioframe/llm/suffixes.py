@@ -11,7 +11,7 @@ that two steps come before the sort, and neither loses a repeat:
    together as one stretch of bytes to the bucket of that hash, a distinct stretch once from each chunk, with the smallest doc_id that has it there.
    All equal strings meet in one bucket. A hash that more than HOT documents have (the edges of a common passage, with other
    bytes beside it in each) would fill its bucket: its suffixes go one by one, each to the bucket of its own `depth` bytes.
-3. A bucket sorts its suffixes by most-significant-digit passes: digits of eight bytes, each pass only within groups that are still mixed;
+3. A bucket sorts its suffixes by most-significant-digit passes: digits of eight bytes, then of five, each pass only within groups that are still mixed;
    suffixes that become alone drop out. After the pass that reaches `depth`, a group is one repeated string, and the smallest doc_id in it
    is known. The bucket answers each chunk with one bit for each suffix: whether an earlier document has it.
 4. Each chunk marks the bytes that such strings cover.
@@ -242,19 +242,21 @@ def repeated_suffixes(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple
 
     Passes go from the first digit to the last. A pass looks at all groups left, sorts those that its digit splits, and drops suffixes that are alone."""
     view = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
-    digit = lambda at: np.ascontiguousarray(view[at]).view(">u8").ravel().astype(np.uint64)
     member = np.arange(len(starts))
     new = np.zeros(len(starts), bool)
     new[:1] = True
-    for off in [*range(0, depth - 8, 8), depth - 8]:  # the last digit may overlap the one before
+    for off in (0, *range(8, depth - 5, 5), depth - 5):  # the last digit may overlap the one before
         if not len(member):
             break
-        value = digit(starts[member] + off)
-        group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        mixed = np.logical_or.reduceat(value != value[first][group], first)[group]
-        at = np.flatnonzero(mixed)
-        order = at[np.lexsort((value[at], group[at]))]
+        value = np.ascontiguousarray(view[starts[member] + off]).view(">u8").ravel().astype(np.uint64)
+        if off:
+            value >>= np.uint64(24)
+        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        mixed = np.logical_or.reduceat(value != value[first][group], first)
+        at = np.flatnonzero(mixed[group])
+        # The number of a mixed group and the digit, as one key: 24 bits and 40.
+        key = value[at] if not off else value[at] | ((np.cumsum(mixed) - 1)[group[at]].astype(np.uint64) << np.uint64(40))
+        order = at[np.argsort(key) if mixed.sum() < 1 << 24 else np.lexsort((value[at], group[at]))]
         member[at], value[at] = member[order], value[order]
         new[1:] |= value[1:] != value[:-1]
         keep = ~(new & np.append(new[1:], True))
@@ -265,22 +267,33 @@ def repeated_suffixes(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple
 def _sort(depth: int):
     def run(table: pa.Table) -> pa.Table:
         """For each chunk in a bucket, one bit for each of its suffixes: whether an earlier document has it."""
-        data = np.frombuffer(b"".join(x.as_py() for x in table["bytes"]), np.uint8)
         sent = [_from_planes(x.as_py(), np.uint32).astype(np.int64) for x in table["suffixes"]]
         count, doc = np.concatenate(sent), np.concatenate([_from_planes(x.as_py(), np.int64) for x in table["docs"]])
-        size = count + depth - 1
-        starts, owner = ragged(np.cumsum(size) - size, count), np.repeat(np.arange(len(count), dtype=np.int32), count)
+        # A stretch that several chunks sent is sorted once, for the smallest of its documents.
+        number: dict[bytes, int] = {}
+        same = np.empty(len(count), np.int64)
+        k = 0
+        for blob, own in zip(table["bytes"], sent, strict=True):
+            raw, ends = blob.as_py(), np.cumsum(own + depth - 1).tolist()
+            for a, z in zip([0, *ends], ends, strict=False):
+                same[k] = number.setdefault(raw[a:z], len(number))
+                k += 1
+        data = np.frombuffer(b"".join(number), np.uint8)
+        size = np.fromiter(map(len, number), np.int64, len(number))
+        del number
+        each = size - depth + 1
+        first = np.full(len(size), _LAST)
+        np.minimum.at(first, same, doc)
+        starts, least = ragged(np.cumsum(size) - size, each), np.repeat(first, each)
         member, new = repeated_suffixes(data, starts, depth)
-        later = np.zeros(len(starts), bool)
         if len(member):
-            own = doc[owner[member]]
-            least = np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]
-            later[member[own > least]] = True
+            least[member] = np.minimum.reduceat(least[member], np.flatnonzero(new))[np.cumsum(new) - 1]
+        begin = np.cumsum(each) - each
         chunks, bits, at = [], [], 0
-        for chunk, own_count in zip(table["chunk"].to_pylist(), sent, strict=True):
-            n = int(own_count.sum())
-            flags = later[at : at + n]
-            at += n
+        for chunk, own in zip(table["chunk"].to_pylist(), sent, strict=True):
+            part = slice(at, at + len(own))
+            at += len(own)
+            flags = np.repeat(doc[part], own) > least[ragged(begin[same[part]], own)]
             if flags.any():
                 chunks.append(chunk)
                 bits.append(np.packbits(flags).tobytes())
