@@ -9,8 +9,8 @@ meet in connected components by alternating large and small stars, with a checkp
 A key that more than `largest` distinct fingerprints share is keyed anew by blocks of the bits the
 key leaves open, which loses no link, until its groups are small.
 
-Nulls and edges: a null, empty or blank text has fingerprint zero and links like any other; a null
-doc_id gets the component of its fingerprint but links nothing itself; rows that repeat are
+Nulls and edges: a null, empty or blank text has fingerprint zero and links like any other; a row without doc_id links
+like any other and gets the smallest doc_id of its component, null where no row of it has one; rows that repeat are
 returned as often; an empty table gives none. Other columns are never read.
 """
 
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .rows import LOWER, SPACE, U, pieces, text_buffer, word_spans
 
 _IN_WORD = ~SPACE
+SHARE = 1000
 #: _LANES[k][b]: bits 4k to 4k + 3 of byte b, each in a lane of 16 bits.
 _LANES = [np.array([sum(((b >> (4 * k + i)) & 1) << (16 * i) for i in range(4)) for b in range(256)], np.uint64) for k in range(2)]
 
@@ -214,7 +215,6 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def components(edges: DataFrame) -> DataFrame:
 def written(frame: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the folder where checkpoints lie, compressed and read column by column."""
     spark = frame.sparkSession
@@ -225,6 +225,7 @@ def written(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): for every node of `edges` (a, b: long) the smallest node reachable.
 
     Alternating large-star and small-star rounds; the sum over all edges no longer changes when done."""
@@ -247,13 +248,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, seed: int = 42, distance
     """(doc_id, fp, component_id): one row for each row of `docs`; component_id is the smallest
     doc_id reachable over links of `distance` bits."""
     rows = durable(fingerprint_column(docs, width=width, seed=seed, doc_id=doc_id, text=text))
-    distinct = durable(rows.groupBy("fp").agg(F.min("doc").alias("least")))
-    pairs = near_pairs(distinct.select("fp"), distance=distance, parts=parts).distinct()
-    names = distinct.filter("least is not null")
-    edges = pairs.join(names.select(F.col("fp").alias("a"), F.col("least").alias("left")), "a").join(names.select(F.col("fp").alias("b"), F.col("least").alias("right")), "b")
-    found = components(edges.select(F.col("left").alias("a"), F.col("right").alias("b")))
-    of_fp = distinct.join(found.withColumnRenamed("node", "least"), "least", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return rows.join(of_fp, "fp").select(F.col("doc").alias(doc_id), "fp", "component_id")
+    distinct = durable(rows.groupBy("fp").agg(F.min("doc").alias("least"), F.count("*").alias("n")))
+    found = components(near_pairs(distinct.select("fp"), distance=distance, parts=parts))
+    grouped = distinct.join(found, distinct.fp == found.node, "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("group"))
+    names = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    named = durable(grouped.join(names, "group").select("fp", "n", "component_id"))
+    # A fingerprint with more than one row in SHARE is hot: there are fewer than SHARE of them, and their rows stay where they are.
+    total = rows.count()
+    hot, cold = (named.filter(c).select("fp", "component_id") for c in (F.col("n") * SHARE > total, F.col("n") * SHARE <= total))
+    out = rows.join(F.broadcast(hot), "fp").unionByName(rows.join(F.broadcast(hot), "fp", "left_anti").join(cold, "fp"))
+    return out.select(F.col("doc").alias(doc_id), "fp", "component_id")
 
 
 def op9_rows(docs: DataFrame) -> DataFrame:

@@ -376,7 +376,7 @@ def test_op9_brute_force(docs, empty):
         while todo:
             a = todo.pop()
             for b in range(len(ids)):
-                if b not in seen and (fp[a] ^ fp[b]).bit_count() <= 4 and (fp[a] == fp[b] or ids[b] is not None):
+                if b not in seen and (fp[a] ^ fp[b]).bit_count() <= 4:
                     seen.add(b)
                     todo.append(b)
         best[k] = min((ids[b] for b in seen if ids[b] is not None), default=None)
@@ -385,6 +385,30 @@ def test_op9_brute_force(docs, empty):
     assert simhash.op9_rows(empty).count() == 0
 
 
+def test_op9_rows_without_id_link_like_others(spark):
+    """Chains of near texts of which a third have no id, one whole chain among them; some texts are a third of all rows."""
+    gen, rows = random.Random(31), []
+    for c in range(12):
+        words = [f"w{gen.randrange(500)}" for _ in range(300)]
+        for k in range(6):
+            words += [f"more{k}"]
+            rows.append((None if c == 3 or k % 3 == 1 else c * 10 + (7 * k) % 10, " ".join(words)))
+    rows += [(1000 + k, "one text") for k in range(60)] + [(None, "one text")] * 3
+    fp = [brute_fingerprint(t) for _, t in rows]
+    want = []
+    for k, (i, _) in enumerate(rows):
+        todo, seen = [k], {k}
+        while todo:
+            a = todo.pop()
+            near = [b for b in range(len(rows)) if b not in seen and (fp[a] ^ fp[b]).bit_count() <= 4]
+            seen.update(near)
+            todo += near
+        want.append((i, f"{fp[k]:016x}", min((rows[b][0] for b in seen if rows[b][0] is not None), default=None)))
+    assert any(i is not None and c not in (None, i) for i, _, c in want) and any(c is None for *_, c in want)
+    got = simhash.op9_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
 def test_op9_links_all_near_pairs_and_refines_hot_keys(spark):
     gen = random.Random(1)
     base = [gen.getrandbits(64) for _ in range(20)]
