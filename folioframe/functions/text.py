@@ -15,10 +15,23 @@ STOP_WORDS = ("a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "or
 STRAIGHT = {"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2013": "-", "\u2014": "-", "\u2212": "-", "\u00a0": " "}
 #: Full-width punctuation and its plain form.
 FULL_WIDTH = {"\uff0c": ",", "\u3002": ".", "\uff1a": ":", "\uff1b": ";", "\uff08": "(", "\uff09": ")", "\uff1f": "?", "\uff01": "!"}
-#: Maths commands (longer ones first) and the words for them in location keys.
-MATH_WORDS = {"geq": "ge", "ge": "ge", "leq": "le", "le": "le", "neq": "ne", "ne": "ne", "approx": "approx", "sim": "sim", "times": "times", "cdot": "cdot", "div": "div", "pm": "pm", "mp": "mp", "pi": "pi", "sqrt": "sqrt"}
+#: Patterns of maths commands and the words for them in location keys, in order.
+MATH_WORDS = {
+    r"\\geq\b|\\ge\b": " ge ",
+    r"\\leq\b|\\le\b": " le ",
+    r"\\neq\b|\\ne\b": " ne ",
+    r"\\approx\b": " approx ",
+    r"\\sim\b": " sim ",
+    r"\\times\b": " times ",
+    r"\\cdot\b": " cdot ",
+    r"\\div\b": " div ",
+    r"\\pm\b": " pm ",
+    r"\\mp\b": " mp ",
+    r"\\pi\b": " pi ",
+    r"\\sqrt\b": " sqrt ",
+}
 #: Maths commands and what stands for them in semantic keys, in order.
-SEMANTIC_WORDS = {r"\\cdot": "*", r"\\times": "*", r"\\div": "/", r"\\pm": "+-", r"\\leq": "<=", r"\\geq": ">=", r"\\neq": "!=", r"\\lt": "<", r"\\gt": ">", r"\\left": "", r"\\right": "", r"\\quad": "", r"\\[,;:!]": ""}
+SEMANTIC_WORDS = {r"\\cdot": "*", r"\\times": "*", r"\\div": "/", r"\\pm": "+-", r"\\leq": "<=", r"\\geq": ">=", r"\\neq": "!=", r"\\lt": "<", r"\\gt": ">", r"\\left": "", r"\\right": "", r"\\quad": "", r"\\,": "", r"\\;": "", r"\\:": "", r"\\!": ""}
 #: Maths commands and the words for them in context texts.
 CONTEXT_WORDS = {r"\cdot": "times", r"\times": "times", r"\div": "div", r"\pm": "plusminus", r"\leq": "le", r"\geq": "ge"}
 #: Patterns that context texts drop or rewrite, in order, and the characters that their keys keep.
@@ -115,8 +128,7 @@ _FRACTION, _ROOT, _SQUARE_ROOT, _TEXT = r"\\frac\s*\{([^{}]+)\}\s*\{([^{}]+)\}",
 
 def math_key(c: Column) -> Column:
     """Key that places a formula: commands as words, fractions, roots and boxes spelt out, matrices and layout out, no spaces."""
-    words_ = ((rf"\\{k}\b", f" {v} ") for k, v in MATH_WORDS.items())
-    plain = _chain(decode_entities(c), (_IMAGE, " "), (_TAG, " "), (r"\$\$?", " "), (r"\\stackrel\s*\{\s*\?\s*\}\s*\{\s*=\s*\}", " question_equals "), *words_)
+    plain = _chain(decode_entities(c), (_IMAGE, " "), (_TAG, " "), (r"\$\$?", " "), (r"\\stackrel\s*\{\s*\?\s*\}\s*\{\s*=\s*\}", " question_equals "), *MATH_WORDS.items())
     layout = _chain(plain, (r"\\(?:begin|end)\{[^}]+\}", " "), (r"\\left|\\right", " "), (r"\\quad|\\,", " "), (r"\\boxed\s*\{(?:\s*|\\quad)\}", " boxedblank "))
     spelt = _chain(layout, (_FRACTION, " frac $1 over $2 "), (_ROOT, " sqrtroot $1 $2 "), (_SQUARE_ROOT, " sqrt $1 "), (_TEXT, " $1 "), (r"\\[a-zA-Z]+", " "))
     return F.lower(F.regexp_replace(spelt, r"[^a-zA-Z0-9+\-*/=<>.%]+", ""))
