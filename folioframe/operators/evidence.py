@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions.text import blockers, context_key, context_text, ladder, numbers, numbers_differ, signature, whitespace, words
-from folioframe.operators import matching
+from folioframe.operators import matching, similar
+from folioframe.sources.sinks import stored
 
 #: How a caption can begin.
 CAPTION_MARKS = ("▲", "△", "Fig.", "Figure", "Photo", "Image")
@@ -78,13 +79,21 @@ def context_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(words(context_text(text)), lambda w: F.length(w) > 1))
 
 
-def fuzzy_windows(clean: DataFrame, rows: DataFrame, unit: Sequence[str], page: str, order: str, *, id_: str, text: str, raw: str, most: int = 6, top: int = 5) -> DataFrame:
-    """The `top` windows of each clean text within its unit, by the larger of sequence ratio and token
-    overlap. A unit is the equi-join key; scores are Arrow batches of pairs, the best are kept by a window over each text."""
-    found = clean.select(id_, *unit, F.col(text).alias("__c")).join(page_windows(rows, [*unit, page], order, raw, most), list(unit))
-    want, have = context_tokens(F.col("__c")), context_tokens(F.col("window"))
-    scored = found.withColumn("sequence_ratio", F.round(matching.sequence_ratio(context_key(F.col("__c")), context_key(F.col("window"))), 6))
-    scored = scored.withColumn("token_overlap", F.when(F.size(want) > 0, F.round(F.size(F.array_intersect(want, have)) / F.size(want), 6)).otherwise(0.0)).withColumn("score", F.greatest("sequence_ratio", "token_overlap"))
+def fuzzy_windows(clean: DataFrame, rows: DataFrame, unit: Sequence[str], page: str, order: str, *, id_: str, text: str, raw: str, most: int = 6, top: int = 5, least: float = 0.82) -> DataFrame:
+    """The `top` windows of each clean text within its unit, by the larger of sequence ratio and token overlap, from `least` on.
+
+    Windows are not compared with all texts of the unit: the filters of `similar` leave those that may reach `least` by either
+    measure and lose none. Ids of clean texts are unique."""
+    wanted = stored(clean.select(id_, *unit, context_key(F.col(text)).alias("__key"), context_tokens(F.col(text)).alias("__tokens")))
+    windows = page_windows(rows, [*unit, page], order, raw, most).withColumn("__w", F.concat_ws(":", *unit, page, "first", "n_rows"))
+    held = stored(windows.select("*", context_key(F.col("window")).alias("__wkey"), context_tokens(F.col("window")).alias("__tokens")).drop("window"))
+    by_text = similar.similar_pairs(wanted, held, id_, "__key", "__w", "__wkey", least=least, on=unit)
+    by_words = similar.overlapping(wanted, held, id_, "__w", "__tokens", least=least, on=unit).drop("overlap")
+    pairs = by_text.unionByName(by_words).distinct().join(wanted.withColumnRenamed("__tokens", "__want"), [*unit, id_]).join(held, [*unit, "__w"])
+    overlap = F.when(F.size("__want") > 0, F.round(F.size(F.array_intersect("__want", "__tokens")) / F.size("__want"), 6)).otherwise(0.0)
+    near = pairs.withColumn("token_overlap", overlap).withColumn("__r", similar.ratio_from(least)("__key", "__wkey")).filter((F.col("token_overlap") >= least) | F.col("__r").isNotNull())
+    ratio = F.coalesce("__r", matching.sequence_ratio(F.when(F.col("__r").isNull(), F.col("__key")), F.col("__wkey")))
+    scored = near.withColumn("sequence_ratio", F.round(ratio, 6)).withColumn("score", F.greatest("sequence_ratio", "token_overlap"))
     rank = Window.partitionBy(id_).orderBy(F.desc("score"), F.desc("token_overlap"), "n_rows", page, "first")
     return scored.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top).select(id_, page, "first", "n_rows", "sequence_ratio", "token_overlap", "score", "rank")
 

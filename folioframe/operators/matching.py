@@ -29,22 +29,6 @@ def unique_key_join(left: DataFrame, right: DataFrame, key: str, id_: str, minim
     return out.withColumn("match_status", status).withColumn("match_id", F.when(F.col("match_status") == "unique", F.col("__id"))).drop("__n", "__id")
 
 
-def contained(docs: DataFrame, needles: DataFrame, doc_id: str, doc_words: Column, needle_id: str, needle_words: Column, anchor: int = 4) -> DataFrame:
-    """(doc_id, needle_id) where the needle's words occur in a row in the document. The first `anchor`
-    words are an equi-join key and only ids and hashes go through that join; candidates are then verified on
-    the texts, joined back by id: no nested loop over all pairs. Needles of fewer words have all their words as key."""
-    keyed = needles.withColumn("__nw", needle_words).filter(F.size("__nw") > 0).withColumn("__s", F.least(F.lit(anchor), F.size("__nw")))
-    sizes = sorted(r[0] for r in keyed.select("__s").distinct().collect())
-    gram = lambda k, size: F.xxhash64(F.array_join(F.slice("__w", k, size), " "))
-    of_size = lambda size: F.when(F.size("__w") >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__w") - size + 1)), lambda k: gram(k, size))).otherwise(F.array().cast("array<bigint>"))
-    grams = docs.withColumn("__w", doc_words).select(doc_id, F.explode(F.array_distinct(F.flatten(F.array(*[of_size(size) for size in sizes or [anchor]])))).alias("__g"))
-    ends = keyed.select(needle_id, F.array_join("__nw", " ").alias("__n"), F.xxhash64(F.array_join(F.slice("__nw", 1, anchor), " ")).alias("__g"))
-    candidates = grams.join(small(ends, ["__n"]), "__g").select(doc_id, needle_id, "__n").distinct()
-    spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    texts = docs.select(doc_id, spaced(doc_words).alias("__t"))
-    return texts.join(candidates, doc_id).filter(F.contains("__t", F.concat(F.lit(" "), F.col("__n"), F.lit(" ")))).select(doc_id, needle_id).distinct()
-
-
 def windows(rows: DataFrame, group: Sequence[str], order: str, text: str, most: int, between: str = "") -> DataFrame:
     """All runs of 1 to `most` consecutive rows: first order, number of rows, joined text; cut tails are left out."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(0, most - 1)
@@ -89,18 +73,6 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def ratio_bound(a: Column, b: Column) -> Column:
-    """No sequence ratio of two texts is above this: a filter to put before the UDF."""
-    return 2 * F.least(F.length(a), F.length(b)) / F.greatest(F.lit(1), F.length(a) + F.length(b))
-
-
-def best_fuzzy(pairs: DataFrame, left: str, right: str, keys: Sequence[str], tie: str, least: float = 0.82, top: int = 5) -> DataFrame:
-    """The `top` pairs of each key with a ratio of `least` or more; the length bound prunes first."""
-    scored = pairs.filter(ratio_bound(F.col(left), F.col(right)) >= least).withColumn("ratio", F.round(sequence_ratio(left, right), 6)).filter(F.col("ratio") >= least)
-    w = Window.partitionBy(*keys).orderBy(F.desc("ratio"), tie)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-
-
 def bbox_union(rows: DataFrame, keys: Sequence[str], box: str) -> DataFrame:
     valid = rows.filter(F.size(box) == 4)
     at = lambda f, k: f(F.get(F.col(box), F.lit(k)))

@@ -19,6 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows as a table in a new shared folder: what reads them again doesn't make them again."""
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def with_refs(rows: DataFrame, bucket: str, object_: str, columns: list[str]) -> DataFrame:
     """(bucket, object, body, sha256, size): each row's columns as one JSON object with its reference."""
     body = F.to_json(F.struct(*sorted(columns)))

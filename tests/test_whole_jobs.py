@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from folioframe.catalogue import QUERIES
-from folioframe.functions import text as X
-from folioframe.operators import matching
+from folioframe.operators import containment, matching
 
 
 def tables(spark, path, **rows):
@@ -39,8 +37,8 @@ def test_common_tokens_salted(spark, monkeypatch):
 
 
 def test_fuzzy_ratio_reads_whole_texts(spark, tmp_path):
-    sf = tables(spark, tmp_path, benchmark=([(1, "a b c d e " * 20 + "x" * 100), (2, "a b c d e " * 20 + "y" * 100)], "item_id long, text string"))
-    assert all(r.ratio < 0.9 for r in QUERIES["fuzzy_ratio"](spark, sf).collect())
+    sf = tables(spark, tmp_path, benchmark=([(4, "a b c d e " * 20 + "x" * 100), (8, "a b c d e " * 20 + "y" * 100)], "item_id long, text string"))
+    assert sorted((r.item_id, r.other) for r in QUERIES["fuzzy_ratio"](spark, sf).collect()) == [(4, 4), (8, 8)]
 
 
 def test_exact_locator_lines(spark, tmp_path):
@@ -54,8 +52,6 @@ def test_best_of_all_others(spark, tmp_path):
     sf = tables(spark, tmp_path, benchmark=(list(items.items()), "item_id long, text string"))
     best = {r.item_id: (r.other, r.similarity) for r in QUERIES["catalogue_best"](spark, sf).filter("rank = 1").collect()}
     assert best == {1: (9, 0.75), 9: (1, 0.75), 5: (20, 0.666667), 20: (5, 0.666667)}
-    got = QUERIES["fuzzy_ratio"](spark, sf)
-    assert got.count() == 12 and {r.item_id: r.other for r in got.filter("rank = 1").collect()} == {1: 9, 9: 1, 5: 20, 20: 5}
 
 
 def test_window_locator(spark, tmp_path):
@@ -88,5 +84,5 @@ def test_needles_of_few_words_are_contained(spark):
     docs, needles = {1: "a b c d e f", 2: "b", 3: "x a b", 4: "", 5: None}, {1: "b", 2: "a b", 3: "b c d", 4: "c d e f", 5: "a b c d e", 6: "f a", 7: ""}
     d = spark.createDataFrame(list(docs.items()), "d long, t string")
     n = spark.createDataFrame(list(needles.items()), "n long, s string")
-    got = matching.contained(d, n, "d", X.words(F.col("t")), "n", X.words(F.col("s")))
+    got = containment.occurrences(d, n, "d", "t", "n", "s").select("d", "n").distinct()
     assert sorted(map(tuple, got.collect())) == sorted((i, j) for i, t in docs.items() for j, s in needles.items() if t and s and f" {s} " in f" {t} ")
