@@ -29,13 +29,27 @@ class Registry:
 
         return add
 
-    def inline(self, name: str, values: dict[str, str], sql: str | None = None) -> Callable:
-        """Registers a function of small inline tables; {table} in the SQL stands for each."""
+    def derived(self, name: str, tables: str, views: dict[str, str], sql: str | None = None) -> Callable:
+        """Registers a function of rows that both engines derive from the named tables (parted by spaces) by the same SQL:
+        {table} stands for a table, {view} for a view before. `sql` goes on after the views."""
+        named = tables.split()
 
         def add(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-            self.queries[name] = lambda spark, sf_dir: function(*(spark.sql(f"SELECT * FROM {v}") for v in values.values()))
+            def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+                frames = {t: table(spark, sf_dir, t) for t in named}
+                for view, text in views.items():
+                    frames[view] = spark.sql(text, **{n: f for n, f in frames.items() if f"{{{n}}}" in text})
+                return function(*(frames[v] for v in views))
+
+            self.queries[name] = query
             if sql:
-                self.oracle[name] = f"WITH {', '.join(f'{k} AS (SELECT * FROM {v})' for k, v in values.items())} {sql}"
+                parts = [f"{view} AS ({text.format(**{n: n for n in [*named, *views]})})" for view, text in views.items()]
+                self.oracle[name] = f"WITH {', '.join(parts)} {sql}"
             return function
 
         return add
+
+
+def pick(key: str, *values: str) -> str:
+    """SQL for one of the values by the remainder of a whole number."""
+    return f"CASE CAST(({key}) % {len(values)} AS INT) {' '.join(f'WHEN {k} THEN {v}' for k, v in enumerate(values))} END"

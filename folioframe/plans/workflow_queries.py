@@ -306,6 +306,11 @@ def _(events: DataFrame) -> DataFrame:
     return events.select("event_id", merged["k"].alias("k"), merged["db.name"].alias("patched"))
 
 
-@R.inline("split_runs", {"t": "(VALUES (1, 'Who is it? Why?'), (2, 'Only one?'), (3, 'Yes, I am. No, I am not.'), (4, 'And then? so on'), (5, 'yes, it is.')) AS t(i, v)"}, sql="SELECT i, CASE i WHEN 1 THEN 'Who is it?|Why?' ELSE '' END AS questions, CASE i WHEN 3 THEN 'Yes, I am.|No, I am not.' ELSE '' END AS answers FROM t")
+@R.derived("split_runs", "lineitem", {
+    "t": """SELECT l_orderkey * 8 + l_linenumber AS i, concat(CASE CAST((l_partkey) % 4 AS INT) WHEN 0 THEN 'Who is it? ' WHEN 1 THEN 'Only one? ' WHEN 2 THEN 'Yes, I am. ' WHEN 3 THEN '' END, CASE CAST((l_suppkey) % 3 AS INT) WHEN 0 THEN 'Why? ' WHEN 1 THEN 'No, I am not. ' WHEN 2 THEN '' END, CASE CAST((CAST(l_quantity AS INT)) % 3 AS INT) WHEN 0 THEN '' WHEN 1 THEN 'so on' WHEN 2 THEN 'How? ' END) AS v FROM {lineitem}""",
+}, sql="""
+, p AS (SELECT l_orderkey * 8 + l_linenumber AS i, ['Who is it?', 'Only one?', 'Yes, I am.', ''][1 + l_partkey % 4] AS a, ['Why?', 'No, I am not.', ''][1 + l_suppkey % 3] AS b, ['', 'so on', 'How?'][1 + CAST(l_quantity AS INT) % 3] AS c FROM lineitem),
+l AS (SELECT *, array_to_string(list_filter([a, b, c], lambda x: x <> ''), ' ') AS v FROM p)
+SELECT i, CASE WHEN ends_with(v, '?') AND len(string_split(v, '?')) > 2 THEN array_to_string(list_transform(string_split(v, '?')[:-2], lambda y: trim(y) || '?'), '|') ELSE '' END AS questions, CASE WHEN a = 'Yes, I am.' AND b = 'No, I am not.' THEN a || '|' || b || CASE WHEN c <> '' THEN ' ' || c ELSE '' END ELSE '' END AS answers FROM l""")
 def _(t: DataFrame) -> DataFrame:
     return t.select("i", F.array_join(W.question_run(F.col("v")), "|").alias("questions"), F.array_join(W.answer_run(F.col("v")), "|").alias("answers"))
