@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.operators import blocks as B
 from folioframe.operators import compiler as C
+from folioframe.operators import grouping as G
 from folioframe.plans.registry import Registry
 
 R = Registry()
@@ -20,11 +21,11 @@ MARKS = [
 _ALONE = 4
 
 
-def marked(docs: DataFrame) -> DataFrame:
+def marked(docs: DataFrame, marks: list[str] = MARKS, alone: int = _ALONE) -> DataFrame:
     lines = B.lines(docs, "doc_id", "text")
-    place = ((F.col("doc_id") * 7 + F.col("line_no") * 5 + F.length("line")) % len(MARKS)).cast("int")
-    mark = F.get(F.array(*(F.lit(m) for m in MARKS)), place)
-    return lines.select("doc_id", "line_no", F.when(place >= len(MARKS) - _ALONE, mark).otherwise(F.concat(mark, "line")).alias("line"))
+    place = ((F.col("doc_id") * 7 + F.col("line_no") * 5 + F.length("line")) % len(marks)).cast("int")
+    mark = F.get(F.array(*(F.lit(m) for m in marks)), place)
+    return lines.select("doc_id", "line_no", F.when(place >= len(marks) - alone, mark).otherwise(F.concat(mark, "line")).alias("line"))
 
 
 def _q(value: str) -> str:
@@ -54,13 +55,13 @@ def _class_sql(workbook: bool, inside: bool) -> str:
  WHEN {" OR ".join(f"starts_with(lower(md), {_q(s)})" for s in C.MARKER_STARTS)} THEN '{"reading_passage/reading_marker" if inside else "note/exercise_marker"}' {rest} ELSE 'paragraph/' END"""
 
 
-def _blocks_sql(workbook: bool) -> str:
+def _blocks_sql(workbook: bool, marks: list[str] = MARKS, alone: int = _ALONE) -> str:
     """Common tables up to `b`: a fold over the blocks of each document that carries the heading stack, the open passage, group and question."""
-    alone, n = len(MARKS) - _ALONE, len(MARKS)
+    alone, n = len(marks) - alone, len(marks)
     end = "split_part(kind, '/', 1)"
     return f"""WITH RECURSIVE l AS (SELECT doc_id, i AS line_no, l[i] AS raw FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM documents WHERE text <> ''))),
 k AS (SELECT *, (doc_id * 7 + line_no * 5 + length(raw)) % {n} AS k FROM l),
-m AS (SELECT doc_id, line_no, regexp_replace(CASE WHEN k >= {alone} THEN mark ELSE mark || raw END, '^\\s+|\\s+$', '', 'g') AS md FROM (SELECT *, ([{", ".join(_q(x) for x in MARKS)}])[k + 1] AS mark FROM k)),
+m AS (SELECT doc_id, line_no, regexp_replace(CASE WHEN k >= {alone} THEN mark ELSE mark || raw END, '^\\s+|\\s+$', '', 'g') AS md FROM (SELECT *, ([{", ".join(_q(x) for x in marks)}])[k + 1] AS mark FROM k)),
 h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n, nullif(length(regexp_extract(md, {_q(C.HEADING)}, 1)), 0) AS level, trim(regexp_replace(regexp_extract(md, {_q(C.HEADING)}, 2), '\\s+', ' ', 'g')) AS title FROM m WHERE md <> '' AND NOT {_has(C.COMMENT)}),
 c AS (SELECT *, {_class_sql(workbook, True)} AS within, {_class_sql(workbook, False)} AS without FROM h),
 f AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS path, false AS inside, CAST(0 AS BIGINT) AS g, CAST(0 AS BIGINT) AS q, '' AS kind, CAST(NULL AS BIGINT) AS parent_no FROM c
@@ -150,3 +151,48 @@ def _(docs: DataFrame) -> DataFrame:
     context = F.concat_ws("\n", F.coalesce("previous_markdown", F.lit("")), F.coalesce("next_markdown", F.lit("")))
     role = C.figure_role(size(100, 640), size(90, 480), context, F.lit(None).cast("string"), F.col("path"))
     return C.relation_audit(_workbook(docs), role).select("doc_id", "block_id", F.split_part("finding", F.lit("/"), F.lit(2)).alias("reason"))
+
+
+#: Marks of the lines that the grouping policies read; the last three stand alone.
+GROUP_MARKS = ["# Unit ", "", "<table><tr><td>", "1. ", "", "2. We use ", "3 word ", "", "4 ____ ", "Circle the answer. ", "", "<table><tr><th>Examples and explanation: ", "", "Act 1", "**Practice**", "Word list:"]
+_STARTS = "(?i)^(?:Choose|Complete|Write|Look|Read|Find|Correct|Fill|Circle|Answer|Ask|Tell|Work|Determine|Classify|Evaluate|Simplify|Solve|Graph|Use|Draw|Estimate|Compare|Order|Match|Name|Identify|Explain|Describe|Select|Calculate|Convert|Round|Model|Represent|Make|Copy|Connect|Decide|Show)\\b"
+#: A fold over the blocks of each document: the open group and question of both policies (p, g: persistent, guarded) as block numbers.
+_GROUPS = f"""{_blocks_sql(True, GROUP_MARKS, 3)},
+t AS (SELECT *, regexp_replace(md, '\\s+', ' ', 'g') AS said FROM b),
+u AS (SELECT *, CASE WHEN type IN ('unit_opener', 'section', 'reading_passage') THEN NULL WHEN lower(trim(said, '* ')) IN ('assessment practice', 'do you know how?', 'do you understand?', 'practice', 'practice & problem solving', 'leveled practice', 'reflect', 'act 1', 'act 2', 'act 3', 'sequel') THEN 'section_label'
+ WHEN {_has(_STARTS, "said")} THEN 'instruction_paragraph' WHEN ends_with(said, ':') AND length(said) <= 120 THEN 'colon_label' END AS starter,
+ parent_no IS NULL AND ((type = 'question' AND NOT {_has(C.NUMBERED_EXPLANATION)}) OR (type = 'table' AND subtype = 'table_question')) AS gap FROM t),
+v AS (SELECT *, CASE WHEN type IN ('unit_opener', 'section', 'reading_passage') THEN 'reset' WHEN starter IS NOT NULL THEN 'starter' WHEN type = 'paragraph' AND length(said) > 180 THEN 'long' END AS step FROM u),
+s AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS pg, CAST(NULL AS BIGINT) AS pq, CAST(NULL AS BIGINT) AS gg, CAST(NULL AS BIGINT) AS gq FROM v
+ UNION ALL SELECT v.doc_id, v.n, CASE WHEN step = 'reset' THEN NULL WHEN step = 'starter' THEN v.n ELSE pg END, CASE WHEN step IN ('reset', 'starter') THEN NULL WHEN type = 'question' THEN v.n ELSE pq END,
+ CASE WHEN step IN ('reset', 'long') THEN NULL WHEN step = 'starter' THEN v.n ELSE gg END, CASE WHEN step IN ('reset', 'starter', 'long') THEN NULL WHEN type = 'question' THEN v.n ELSE gq END FROM s JOIN v ON v.doc_id = s.doc_id AND v.n = s.n + 1),
+x AS (SELECT v.*, pg, pq, gg, gq, gap AND step IS NULL AND CASE type WHEN 'question' THEN pg IS NOT NULL ELSE pg IS NOT NULL OR pq IS NOT NULL END AS pc, gap AND step IS NULL AND CASE type WHEN 'question' THEN gg IS NOT NULL ELSE gq IS NOT NULL END AS gc FROM v JOIN s ON v.doc_id = s.doc_id AND v.n = s.n)"""
+
+
+def _simulated(docs: DataFrame) -> DataFrame:
+    rows = C.with_relations(C.standard_blocks(marked(docs, GROUP_MARKS, 3), "doc_id", "line_no", "line", workbook=True), "doc_id")
+    found = C.relation_audit(rows, F.lit("helper_icon")).filter(F.startswith("finding", F.lit("real_profile_gap/"))).select("doc_id", "block_no", F.lit(True).alias("gap"))
+    rows = rows.join(found, ["doc_id", "block_no"], "left").withColumn("gap", F.coalesce("gap", F.lit(False)))
+    return G.simulate(rows, "doc_id", order="block_no", id_="block_id", type_="type", markdown="markdown", gap="gap", size=16)
+
+
+_ID = "CASE WHEN {0} IS NOT NULL THEN printf('b-%05d', {0}) END AS {1}"
+
+
+@R.over("grouping_members", "documents", sql=f"""{_GROUPS}
+SELECT doc_id, block_id, starter, {_ID.format("pg", "persistent_group")}, {_ID.format("pq", "persistent_question")}, {_ID.format("gg", "guarded_group")}, {_ID.format("gq", "guarded_question")}, pc AS persistent_covered, gc AS guarded_covered FROM x""")
+def _(docs: DataFrame) -> DataFrame:
+    """The open group and question at every block under both policies."""
+    return _simulated(docs).select("doc_id", "block_id", "starter", "persistent_group", "persistent_question", "guarded_group", "guarded_question", "persistent_covered", "guarded_covered")
+
+
+_OF = ", ".join(f"count(*) FILTER (gap AND type = '{kind}' AND {c}) AS {policy}_covered_{kind}s, count(*) FILTER (gap AND type = '{kind}' AND NOT {c}) AS {policy}_remaining_{kind}s" for policy, c in (("persistent", "pc"), ("guarded", "gc")) for kind in ("question", "table"))
+
+
+@R.over("grouping_policies", "documents", sql=f"""{_GROUPS}
+SELECT doc_id, count(*) FILTER (step = 'starter') AS virtual_groups, count(*) FILTER (starter = 'section_label') AS section_label_starters, count(*) FILTER (starter = 'instruction_paragraph') AS instruction_paragraph_starters, count(*) FILTER (starter = 'colon_label') AS colon_label_starters,
+ count(*) FILTER (step = 'reset') AS hard_section_resets, count(*) FILTER (step = 'long') AS long_paragraph_resets, {_OF},
+ count(*) FILTER (type = 'table' AND pc AND pq IS NOT NULL) AS tables_in_open_questions, count(*) FILTER (type = 'table' AND pc AND pq IS NULL) AS tables_in_groups_only FROM x GROUP BY doc_id""")
+def _(docs: DataFrame) -> DataFrame:
+    """What each policy would cover, by document."""
+    return G.policy_counts(_simulated(docs), ["doc_id"], type_="type", gap="gap")
