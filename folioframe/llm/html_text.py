@@ -5,8 +5,9 @@ class or id (menus, headers, footers, sidebars, notices, adverts, forms, scripts
 comments) is no line. Each line has a weight: its text's length without links, raised where the page
 marks an article (an article or main element that is no teaser), lowered outside it. Weights are summed over a sliding window of
 lines; text surges where the sum reaches SURGE and dives where it falls below a fraction of it.
-Of the stretches between surge and dive the heaviest is kept, and those that have a fair share of its weight; headings and up to
-WINDOW short lines of the same element right before a stretch belong to it, and short lines between two kept ones within one element.
+Of the stretches between surge and dive the heaviest is kept, those in the element or the marked articles around it, and others that have a fair share of its weight; headings and up to
+WINDOW short lines of the same element right before a stretch belong to it, and short lines between two kept ones within one element. Marked articles that hold the heaviest stretch
+are kept whole, whatever the sums within them.
 
 Nulls and edges: null or empty html, and pages without text outside what is stripped, give the empty
 text; markup that is cut off or never closed ends with the page; a page without a surge keeps all lines that are not links; a null url or page_id is kept;
@@ -181,19 +182,28 @@ def _articles(lines: list[Line]) -> set[int]:
 SURGE, DIVE, WINDOW, FAIR, MARKED = 120, 12, 3, 0.2, 4
 
 
-def weights(lines: list[Line]) -> list[int]:
-    """A line's length without its links, at twice. If the page marks articles that hold no less text than the rest, their lines
-    weigh MARKED times as much and enough for a surge each, all others a quarter."""
-    plain = [max(0, len(x.text) - 2 * x.linked) for x in lines]
+def marked_articles(lines: list[Line]) -> set[int]:
+    """The articles that the page marks, if they hold no less text than the rest; else none."""
     kept = _articles(lines)
-    if not kept or sum(len(x.text) for x in lines if x.article in kept) < sum(n for x, n in zip(lines, plain, strict=True) if x.article not in kept):
+    outside = sum(max(0, len(x.text) - 2 * x.linked) for x in lines if x.article not in kept)
+    return kept if sum(len(x.text) for x in lines if x.article in kept) >= outside else set()
+
+
+def weights(lines: list[Line], marked: set[int]) -> list[int]:
+    """A line's length without its links, at twice; lines of marked articles weigh MARKED times their length, all others of such a page a quarter."""
+    plain = [max(0, len(x.text) - 2 * x.linked) for x in lines]
+    if not marked:
         return plain
-    return [MARKED * len(x.text) + SURGE if x.article in kept else n // MARKED for x, n in zip(lines, plain, strict=True)]
+    return [MARKED * len(x.text) if x.article in marked else n // MARKED for x, n in zip(lines, plain, strict=True)]
 
 
 def main_lines(lines: list[Line]) -> list[Line]:
-    """The lines between surge and dive. The window's sum at a line counts it and the WINDOW - 1 lines after it."""
-    weight = weights(lines)
+    """The lines between surge and dive. The window's sum at a line counts it and the WINDOW - 1 lines after it.
+
+    The heaviest stretch names the holder: the marked articles if it lies in one, else the element around it. All stretches of
+    the holder are kept, others from FAIR of the heaviest on; marked articles that hold it are kept whole."""
+    marked = marked_articles(lines)
+    weight = weights(lines, marked)
     n, sums = len(lines), [sum(weight[k : k + WINDOW]) for k in range(len(weight))]
     stretches, k = [], 0
     while k < n:
@@ -207,13 +217,14 @@ def main_lines(lines: list[Line]) -> list[Line]:
         while weight[last - 1] < DIVE and not (last < n and lines[last - 1].parent == lines[first].parent and weight[last - 1]):
             last -= 1
         stretches.append((sum(weight[first:last]), first, last))
-    if not stretches:  # nowhere enough text for a surge: all lines that are not links
-        return [x for x, w in zip(lines, weight, strict=True) if w]
-    most = max(stretches)[0]
+    if not stretches:  # nowhere enough text for a surge: the marked articles, else all lines that are not links
+        return [x for x, w in zip(lines, weight, strict=True) if w and (x.article in marked or not marked)]
+    most, heaviest, _ = max(stretches)
+    held = lambda x: x.article in marked if lines[heaviest].article in marked else x.parent == lines[heaviest].parent
     keep: set[int] = set()
     before = None
     for total, first, last in stretches:
-        if total < FAIR * most:
+        if total < FAIR * most and not held(lines[first]):
             continue
         surge = first
         while first and weight[first - 1] and (lines[first - 1].heading or surge - first < WINDOW and lines[first - 1].parent == lines[surge].parent):
@@ -222,6 +233,8 @@ def main_lines(lines: list[Line]) -> list[Line]:
         if before is not None and len({lines[k].parent for k in range(before - 1, first + 1)}) == 1:
             keep.update(k for k in range(before, first) if weight[k])
         before = last
+    if lines[heaviest].article in marked:
+        keep.update(k for k, x in enumerate(lines) if x.article in marked)
     return [lines[k] for k in sorted(keep)]
 
 

@@ -487,6 +487,17 @@ def test_op10_names_say_what_they_say():
     assert html_text.main_text(f'<article>{body}</article><div class="x"><article><p>And another one.</p></article></div>') == "The text of it.\nAnd another one."
 
 
+def test_op10_small_stretches_of_the_article_stay():
+    """A long block, four of one letter, and a short block, in one element or side by side in the body; menus before and after do not stay."""
+    long, short = "The long block of it. " * 130, "And the short block that ends the article, of some hundred and thirty characters, which no share of the first may drop from it."
+    blocks = f"<p>{long}</p><p>a</p><p>b</p><p>c</p><p>d</p><p>{short}</p>"
+    want = "\n".join([long.strip(), "a", "b", "c", "d", short])
+    menu = "<div><ul>" + "".join(f'<li><a href="/{k}">Link {k}</a></li>' for k in range(20)) + "</ul></div>"
+    for page in (f"<body>{blocks}</body>", f"<body><div>{blocks}</div></body>", f"<body>{menu}<div>{blocks}</div>{menu}</body>"):
+        assert html_text.main_text(page) == want
+    assert html_text.main_text(f"<article><p>a</p>{blocks}<p>z</p></article>") == f"a\n{want}\nz"
+
+
 def test_op10_surge_and_dive_choose(spark):
     """Without any mark the weights alone find the body: pages keep their text when the article tags go."""
     pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
