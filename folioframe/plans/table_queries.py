@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.operators import coverage
-from folioframe.plans.registry import Registry
-from folioframe.sources import layout
+from folioframe.operators import coverage, gates, grids
+from folioframe.plans.registry import Registry, pick
+from folioframe.sources import layout, publish
+from folioframe.sources.sinks import shared_folder
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -70,3 +71,81 @@ def _(items: DataFrame) -> DataFrame:
     json = F.concat(F.lit('{"pdf_info": [{"page_idx": 7, "para_blocks": ['), "a", F.lit(']}, {"para_blocks": ['), "b", F.when(F.col("order_id") % 11 == 0, "").otherwise("]}]}"))
     found = layout.layout_nodes(lists.select("order_id", json.alias("j")), "order_id", "j")
     return found.withColumn("bbox", F.array_join(F.transform("bbox", lambda x: x.cast("string")), ","))
+
+
+#: Two cells for each line of an order, with spans by part and supplier; an order is a table, its lines are rows.
+_SPANS = """SELECT l_orderkey AS tab, CAST(l_linenumber - 1 AS INT) AS row, CAST(k AS INT) AS place, concat('c', CAST(k AS VARCHAR(9)), '-', CAST(min(l_partkey) AS VARCHAR(9))) AS text,
+ CAST(min(l_partkey * (k + 1)) % 4 AS INT) AS rowspan, CASE WHEN k = 1 AND min(l_suppkey) % 5 = 0 THEN NULL ELSE CAST(min(l_suppkey + k) % 3 AS INT) END AS colspan
+ FROM (SELECT *, 0 AS k FROM {lineitem} UNION ALL SELECT *, 1 FROM {lineitem}) AS x GROUP BY l_orderkey, l_linenumber, k"""
+
+
+@R.derived("table_grid", "lineitem", {"cells": _SPANS}, sql="""
+, n AS (SELECT *, greatest(1, rowspan) AS h, greatest(1, coalesce(colspan, 1)) AS w, row_number() OVER (PARTITION BY tab ORDER BY "row", place) AS k, max("row") OVER (PARTITION BY tab) AS lastrow FROM cells),
+f AS (SELECT DISTINCT tab, CAST(0 AS BIGINT) AS k, CAST([] AS INT[]) AS taken, CAST(NULL AS BIGINT) AS x FROM n
+ UNION ALL SELECT tab, k, list_transform(range(0, greatest(len(taken), spot + w)), lambda j: CASE WHEN j >= spot AND j < spot + w THEN "row" + h - 1 ELSE coalesce(taken[j + 1], -1) END), spot
+ FROM (SELECT n.tab, n.k, n."row", n.h, n.w, f.taken, list_filter(range(0, len(f.taken) + 1), lambda c: len(list_filter(range(c, c + n.w), lambda j: coalesce(f.taken[j + 1], -1) >= n."row")) = 0)[1] AS spot FROM f JOIN n ON n.tab = f.tab AND n.k = f.k + 1)),
+p AS (SELECT n.*, f.x FROM n JOIN f ON n.tab = f.tab AND n.k = f.k)
+SELECT tab, y::INT AS y, (x + j)::INT AS x, text, y = "row" AND j = 0 AS origin FROM (SELECT *, unnest(range(0, w)) AS j FROM (SELECT *, unnest(range("row", least("row" + h - 1, lastrow) + 1)) AS y FROM p))""".replace("WITH ", ""))
+def _(cells: DataFrame) -> DataFrame:
+    """Every square of the tables, spans laid out."""
+    return grids.laid_out(cells, "tab")
+
+
+ORACLE["table_grid"] = ORACLE["table_grid"].replace("WITH cells", "WITH RECURSIVE cells", 1)
+#: A table of two rows for each order: a paradigm's header but for one in seven, and a body of runs, as many as the order has lines; one column in some is a run short.
+_PARADIGM = """SELECT l_orderkey AS tab, l_linenumber AS line, min(l_partkey) AS part FROM {lineitem} GROUP BY l_orderkey, l_linenumber"""
+
+
+@R.derived("table_reflow", "lineitem", {"p": _PARADIGM}, sql="""
+, c AS (SELECT tab, count(*) AS n, list('I say ' || line ORDER BY line) AS a, list('I say not ' || line ORDER BY line) AS b, list('Do I say ' || line || '?' ORDER BY line) AS q, list(CASE WHEN part % 2 = 0 THEN 'Yes, I do.' ELSE 'No, I do not.' END ORDER BY line) AS s FROM p GROUP BY tab),
+d AS (SELECT *, tab % 7 <> 0 AND n >= 3 AND tab % 5 <> 0 AS fits FROM c),
+h AS (SELECT tab, 0 AS y, unnest(range(0, 4)) AS x, unnest(['Affirmative', CASE WHEN tab % 7 = 0 THEN 'Other' ELSE 'Negative' END, 'Questions', 'Short answers']) AS text FROM d),
+r AS (SELECT tab, k AS y, unnest(range(0, 4)) AS x, unnest([a[k], b[k], q[k], s[k]]) AS text FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM d WHERE fits)),
+o AS (SELECT tab, 1 AS y, unnest(range(0, 4)) AS x, unnest([array_to_string(a, chr(10)), array_to_string(CASE WHEN tab % 5 = 0 THEN b[2:] ELSE b END, chr(10)), array_to_string(q, ' '), array_to_string(s, ' ')]) AS text FROM d WHERE NOT fits)
+SELECT tab, y::INT AS y, x::INT AS x, text FROM h UNION ALL SELECT tab, y::INT, x::INT, text FROM r UNION ALL SELECT tab, y::INT, x::INT, text FROM o""")
+def _(p: DataFrame) -> DataFrame:
+    """Grids of the tables, paradigms rebuilt from their runs."""
+    said = lambda *parts: F.transform(F.array_sort(F.collect_list(F.struct("line", F.concat(*parts).alias("t")))), lambda x: x["t"])
+    line = F.col("line").cast("string")
+    runs = p.groupBy("tab").agg(said(F.lit("I say "), line).alias("a"), said(F.lit("I say not "), line).alias("b"), said(F.lit("Do I say "), line, F.lit("?")).alias("q"), said(F.when(F.col("part") % 2 == 0, "Yes, I do.").otherwise("No, I do not.")).alias("s"))
+    short = F.when(F.col("tab") % 5 == 0, F.slice("b", 2, F.size("b"))).otherwise(F.col("b"))
+    header = F.array(F.lit("Affirmative"), F.when(F.col("tab") % 7 == 0, "Other").otherwise("Negative"), F.lit("Questions"), F.lit("Short answers"))
+    body = F.array(F.array_join("a", "\n"), F.array_join(short, "\n"), F.array_join("q", " "), F.array_join("s", " "))
+    rows = runs.select("tab", F.posexplode(F.array(header, body)).alias("row", "cells")).select("tab", "row", F.posexplode("cells").alias("place", "text"))
+    return grids.reflowed(rows.withColumn("rowspan", F.lit(1)).withColumn("colspan", F.lit(1)), "tab")
+
+
+#: Review outcomes of each order: packets of four kinds with decisions, and corrections with or without evidence; parts of some orders are closed later.
+_OUTCOMES = f"""SELECT l_orderkey AS doc, {pick("l_partkey", "'table'", "'formula'", "'image'", "'correction'", "'image'")} AS packet, {pick("l_suppkey", "'accepted'", "'needs_layout_review'", "'needs_source_bbox'", "CAST(NULL AS VARCHAR(9))")} AS decision,
+ l_suppkey % 4 IN (1, 2) AS open, CASE WHEN l_linenumber = 6 THEN NULL ELSE l_quantity > 10 END AS blocking, l_suppkey % 9 <> 0 AS evidence, l_orderkey % 6 = 0 AND l_quantity > 20 AS later FROM {{lineitem}}"""
+_SCORES = """SELECT o_orderkey AS doc, CAST(80 + o_custkey % 20 AS INT) AS score, 'review' AS quality_status, CASE WHEN o_custkey % 11 = 0 THEN 'review' ELSE 'pass' END AS table_status FROM {orders}"""
+
+
+@R.derived("gate_refresh", "lineitem orders", {"x": _OUTCOMES, "s": _SCORES}, sql="""
+, a AS (SELECT doc, packet, CASE WHEN later AND open THEN 'accepted' ELSE coalesce(decision, '') END AS decision, open AND NOT later AS open, coalesce(blocking, false) AS blocking, evidence FROM x),
+g AS (SELECT doc, count(*) FILTER (packet <> 'correction') AS outcome_count, count(*) FILTER (packet <> 'correction' AND NOT open) AS closed_count, count(*) FILTER (packet <> 'correction' AND open AND blocking) AS open_blocking_count,
+ count(*) FILTER (packet IN ('table', 'formula')) AS tables, count(*) FILTER (packet IN ('table', 'formula') AND open AND blocking) AS table_formula_open_blocking_count, count(*) FILTER (packet = 'correction') AS correction_count, count(*) FILTER (packet = 'correction' AND NOT evidence) AS corrections_without_evidence FROM a GROUP BY doc),
+k AS (SELECT doc, string_agg(decision || '=' || n, ',' ORDER BY decision || '=' || n) AS decision_counts FROM (SELECT doc, decision, count(*) AS n FROM a WHERE packet <> 'correction' GROUP BY doc, decision) GROUP BY doc),
+c AS (SELECT doc, bool_or(later AND open) AS refreshed FROM x GROUP BY doc),
+j AS (SELECT s.doc, score, s.quality_status AS was, coalesce(outcome_count, 0) AS outcome_count, coalesce(closed_count, 0) AS closed_count, coalesce(open_blocking_count, 0) AS open_blocking_count, coalesce(table_formula_open_blocking_count, 0) AS table_formula_open_blocking_count, coalesce(correction_count, 0) AS correction_count, coalesce(corrections_without_evidence, 0) AS corrections_without_evidence,
+ CASE WHEN open_blocking_count > 0 THEN 'review' ELSE 'pass' END AS review_outcomes, CASE WHEN tables > 0 THEN CASE WHEN table_formula_open_blocking_count > 0 THEN 'review' ELSE 'pass' END ELSE table_status END AS formula_table_integrity, CASE WHEN corrections_without_evidence > 0 THEN 'fail' ELSE 'pass' END AS correction_evidence,
+ coalesce(decision_counts, '') AS decision_counts, coalesce(refreshed, false) AS refreshed FROM s LEFT JOIN g USING (doc) LEFT JOIN k USING (doc) LEFT JOIN c USING (doc)),
+q AS (SELECT *, CASE WHEN correction_evidence = 'fail' THEN 'fail' WHEN review_outcomes = 'review' OR formula_table_integrity = 'review' THEN 'review' ELSE 'pass' END AS acceptance FROM j)
+SELECT * EXCLUDE (score, was), CASE WHEN acceptance = 'pass' AND score >= 90 THEN 'pass' ELSE was END AS quality_status FROM q""")
+def _(x: DataFrame, s: DataFrame) -> DataFrame:
+    """Gates of all orders after closures, of which only the orders with a closure were aggregated again."""
+    before = x.select("doc", "packet", "decision", "open", "blocking", "evidence")
+    after = gates.closed(x, F.col("later")).select(*before.columns)
+    changed = gates.changed_documents(gates.state_of(before, "doc"), after, "doc")
+    return gates.refresh(gates.gates(before, s, "doc"), changed, after, s, "doc")
+
+
+@R.derived("published_mirror", "orders", {"o": "SELECT concat('clean/', CAST(o_custkey AS VARCHAR(9)), '/', CAST(o_orderkey AS VARCHAR(9)), '.json') AS key, o_orderstatus AS status, o_totalprice AS price FROM {orders}"}, sql="""
+SELECT key, status, price FROM o WHERE status <> 'P' AND NOT starts_with(key, 'clean/7/')""")
+def _(o: DataFrame) -> DataFrame:
+    """What is left after two publishes, the second with fewer keys, and the deletion of a prefix."""
+    spark, root = o.sparkSession, shared_folder(o.sparkSession)
+    publish.publish(o, root, ["status"])
+    publish.publish(o.filter("status <> 'P'"), root, ["status"])
+    publish.delete_prefix(spark, root, "key", "clean/7/", "clean", ["status"])
+    return publish.published(spark, root).select("key", "status", "price")
