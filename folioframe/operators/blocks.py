@@ -85,6 +85,14 @@ def islands(rows: DataFrame, group: Sequence[str], order: str, step: Column) ->
     return rows.withColumn("__new", step).withColumn("run", F.sum(F.col("__new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
+def runs_of_ids(rows: DataFrame, group: Sequence[str], id_: str) -> DataFrame:
+    """(group, run, first, n): runs of consecutive whole ids, numbered in each group; an id occurs once in its group. Within a run the id
+    less its place is one number, and places come from ranges (`ranked_by_ranges`), so that no window holds a group."""
+    placed = ranked_by_ranges(rows.select(*group, id_), group, [], id_, "__place").withColumn("__run", F.col(id_) - F.col("__place"))
+    runs = placed.groupBy(*group, "__run").agg(F.min(id_).alias("first"), F.count("*").alias("n")).drop("__run")
+    return ranked_by_ranges(runs, group, [], "first", "run").select(*group, "run", "first", "n")
+
+
 def next_known(rows: DataFrame, group: Sequence[str], order: str, value: str) -> Column:
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
     return F.first(value, ignorenulls=True).over(w)

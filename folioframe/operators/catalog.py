@@ -99,8 +99,12 @@ def run_delta(before: DataFrame, after: DataFrame, keys: Sequence[str], value: s
 
 
 def title_patterns(rows: DataFrame, series: str, title: str, limit: int = 10) -> DataFrame:
-    """Titles by series and their last word: counts and the first three examples."""
+    """Titles by series and their last word: counts and the first three examples.
+
+    Groups are counted before they are shuffled, and of each only its first three titles leave a task."""
     keyed = rows.withColumn("suffix", F.lower(F.element_at(F.split(F.trim(F.col(title)), " +"), -1)))
     w = Window.partitionBy(series, "suffix").orderBy(title)
-    seen = keyed.withColumn("__rn", F.row_number().over(w))
-    return seen.groupBy(series, "suffix").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("__rn") <= 3, F.col(title)))), " / ").alias("examples")).orderBy(F.desc("n"), series, "suffix").limit(limit)
+    most = keyed.groupBy(series, "suffix").agg(F.count("*").alias("n")).orderBy(F.desc("n"), series, "suffix").limit(limit)
+    first = keyed.select(F.col(series).alias("__series"), F.col("suffix").alias("__suffix"), title, F.row_number().over(w).alias("__rn")).filter("__rn <= 3")
+    found = most.join(first, F.col(series).eqNullSafe(F.col("__series")) & F.col("suffix").eqNullSafe(F.col("__suffix")), "left")
+    return found.groupBy(series, "suffix", "n").agg(F.array_join(F.array_sort(F.collect_list(title)), " / ").alias("examples")).orderBy(F.desc("n"), series, "suffix")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import insort
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A side of a join is broadcast up to this many bytes by its own count, beyond it both sides are shuffled.
 BROADCAST_BYTES = 8 << 20
@@ -90,6 +94,51 @@ def common_tokens(left: DataFrame, right: DataFrame, l_id: str, r_id: str, token
     return l.join(hinted, on).groupBy(r_id, l_id).agg(F.count("*").alias("n"))
 
 
+def best_common(left: DataFrame, right: DataFrame, l_id: str, r_id: str, tokens: str, *, top: int = 5, of_larger: bool = False, others_only: bool = False) -> DataFrame:
+    """(r_id, l_id, score, rank): for each right row the `top` left rows by how many distinct `tokens` (array) they share, ties to the smaller l_id. `of_larger`:
+    the score is that number as millionths of the larger token set, rounded half up. `others_only` leaves out equal ids. Rows that share nothing are in no ranking; null ids are left out.
+
+    A small right side is broadcast as an index, each task counts its left rows against it and keeps `top` an item, so what is shuffled does
+    not grow with the pairs that share a word. A larger one is joined by salted tokens (`common_tokens`)."""
+    l, r = (rows.filter(F.col(i).isNotNull() & F.col(tokens).isNotNull()).select(F.col(i).alias(s), F.array_distinct(tokens).alias("k")) for rows, i, s in ((left, l_id, "l"), (right, r_id, "r")))
+    rank = Window.partitionBy("r").orderBy(F.desc("score"), "l")
+    size = r.agg(F.sum(F.aggregate("k", F.lit(0), lambda a, t: a + F.octet_length(t) + 8))).first()[0] or 0
+    if size > BROADCAST_BYTES:
+        pairs = common_tokens(l, r, "l", "r", "k").join(l.select("l", F.size("k").alias("a")), "l").join(r.select("r", F.size("k").alias("b")), "r")
+        larger = F.greatest("a", "b")
+        scored = pairs.select("r", "l", (F.expr("(n * 2000000 + greatest(a, b)) div (2 * greatest(a, b))") if of_larger else F.col("n")).alias("score")).filter(larger > 0)
+        scored = scored.filter("r <> l") if others_only else scored
+    else:
+        listed = r.collect()
+        items = [(x.r, len(x.k)) for x in listed]
+        index: dict[str, list[int]] = {}
+        for at, x in enumerate(listed):
+            for t in x.k:
+                index.setdefault(t, []).append(at)
+        held = left.sparkSession.sparkContext.broadcast((items, index))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items, index = held.value
+            best: list[list[tuple]] = [[] for _ in items]
+            for batch in batches:
+                for own, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    words = words.as_py()
+                    for at, n in Counter(at for t in words for at in index.get(t, ())).items():
+                        other, size = items[at]
+                        if others_only and other == own:
+                            continue
+                        larger = max(len(words), size)
+                        insort(best[at], (-((n * 2_000_000 + larger) // (2 * larger) if of_larger else n), own))
+                        del best[at][top:]
+            found = [(items[at][0], own, -score) for at, own_best in enumerate(best) for score, own in own_best]
+            columns = list(zip(*found, strict=True)) if found else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], kinds[0]), pa.array(columns[1], kinds[1]), pa.array(columns[2], pa.int64())], ["r", "l", "score"])
+
+        kinds = [to_arrow_type(x.dataType) for x in (r.schema["r"], l.schema["l"])]
+        scored = l.mapInArrow(run, f"r {r.schema['r'].dataType.simpleString()}, l {l.schema['l'].dataType.simpleString()}, score long")
+    return scored.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top).select(F.col("r").alias(r_id), F.col("l").alias(l_id), "score", "rank")
+
+
 def nearest(rows: DataFrame, id_: str, vector: str, top: int = 5, block: int = 1000) -> DataFrame:
     """(id_, other, similarity, rank): the `top` other rows of each by cosine, all against all in blocks of about `block` rows."""
     n = max(1, -(-rows.count() // block))

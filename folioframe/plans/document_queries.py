@@ -55,11 +55,8 @@ SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, othe
 def _(items: DataFrame) -> DataFrame:
     """The five most similar of all other items."""
     tokens = items.select("item_id", X.catalogue_tokens(F.col("text")).alias("k"))
-    sizes = tokens.select("item_id", F.size("k").alias("size"))
-    pairs = M.common_tokens(tokens.withColumnRenamed("item_id", "other"), tokens, "other", "item_id", "k").filter("item_id <> other")
-    scored = pairs.join(sizes, "item_id").join(sizes.select(F.col("item_id").alias("other"), F.col("size").alias("size2")), "other")
-    best = scored.select("item_id", "other", F.round(F.col("n") / F.greatest("size", "size2"), 6).alias("similarity"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("similarity"), "other"))).filter("rank <= 5")
+    best = M.best_common(tokens.withColumnRenamed("item_id", "other"), tokens, "other", "item_id", "k", of_larger=True, others_only=True)
+    return best.select("item_id", "other", (F.col("score") / 1_000_000).alias("similarity"), "rank")
 
 
 @R.over("link_refs", "pages", sql="""
@@ -157,8 +154,7 @@ def _(turns: DataFrame) -> DataFrame:
 WITH g AS (SELECT doc_id, quality, coalesce(doc_id <> lag(doc_id) OVER (PARTITION BY quality ORDER BY doc_id) + 1, true) AS fresh FROM labels), s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY quality ORDER BY doc_id) AS run FROM g)
 SELECT quality, run, min(doc_id) AS first, count(*) AS n FROM s GROUP BY quality, run""")
 def _(labels: DataFrame) -> DataFrame:
-    step = F.coalesce(F.col("doc_id") != F.lag("doc_id").over(Window.partitionBy("quality").orderBy("doc_id")) + 1, F.lit(True))
-    return B.islands(labels, ["quality"], "doc_id", step).groupBy("quality", "run").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    return B.runs_of_ids(labels, ["quality"], "doc_id")
 
 
 @R.over("next_page_range", "conversations", sql="""
@@ -235,8 +231,7 @@ def _(turns: DataFrame) -> DataFrame:
 def _(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The five documents with the most words in common with each item, by all words of two characters or more of any script: no SQL; the tests hold it against brute force."""
     tokens = lambda rows, id_: rows.select(id_, F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}]{2,}"), F.lit(0)).alias("k"))
-    pairs = M.common_tokens(tokens(docs, "doc_id"), tokens(items, "item_id"), "doc_id", "item_id", "k")
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id"))).filter("rank <= 5")
+    return M.best_common(tokens(docs, "doc_id"), tokens(items, "item_id"), "doc_id", "item_id", "k").select("item_id", "doc_id", F.col("score").alias("n"), "rank")
 
 
 @R.over("fuzzy_ratio", "benchmark")

@@ -20,11 +20,11 @@ def _(part: DataFrame) -> DataFrame:
 
 @R.over("metadata_filter", "documents", "labels", sql="""
 SELECT doc_id FROM documents LEFT JOIN (SELECT doc_id AS k, CASE WHEN toxic = 1 THEN 'missing' ELSE 'ready' END AS status FROM labels) l ON k = doc_id
-WHERE (k IS NULL OR status = 'missing') AND contains(source, 'e') AND n_chars >= 100 AND n_chars <= 5000""")
+WHERE (k IS NULL OR status = 'missing') AND contains(source, '1') AND n_chars >= 100 AND n_chars <= 5000""")
 def _(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select(F.col("doc_id").alias("k"), F.when(F.col("toxic") == 1, "missing").otherwise("ready").alias("status"))
     rows = W.metadata_status(docs.join(known, F.col("k") == F.col("doc_id"), "left"), "k", "status", "missing")
-    return rows.filter(W.contains_if(F.col("source"), "e") & W.between_if(F.col("n_chars"), 100, 5000)).select("doc_id")
+    return rows.filter(W.contains_if(F.col("source"), "1") & W.between_if(F.col("n_chars"), 100, 5000)).select("doc_id")
 
 
 @R.over("review_views", "orders", sql="""

@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from folioframe.catalogue import QUERIES
-from folioframe.operators import containment, matching, similar
+from folioframe.operators import blocks, containment, matching, similar
 
 
 def ratios(left, right, least):
@@ -142,3 +142,36 @@ def test_needles_with_text_ids_in_repeated_rows(spark):
     docs, needles = [(1, "x y x"), (1, "x y x"), (2, None)], [("p", "x"), ("q", "y x")]
     got = containment.occurrences(spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(needles, "n string, w string"), "d", "t", "n", "w")
     assert sorted(map(tuple, got.collect())) == sorted([(1, "p", 0, 1), (1, "p", 4, 5), (1, "q", 2, 5)] * 2)
+
+
+@pytest.mark.parametrize("of_larger", [False, True])
+def test_best_common_by_index_and_by_join(spark, monkeypatch, of_larger):
+    gen = random.Random(8)
+    rows = [(k, [f"w{gen.randrange(20)}" for _ in range(gen.randint(0, 9))]) for k in range(60)] + [(99, None), (None, ["w1"])]
+    want = []
+    for i, a in rows:
+        scored = []
+        for j, b in rows:
+            if None not in (i, j, a, b) and i != j and (n := len(set(a) & set(b))):
+                larger = max(len(set(a)), len(set(b)))
+                scored.append((-((2_000_000 * n + larger) // (2 * larger) if of_larger else n), j))
+        want += [(i, j, -s, k) for k, (s, j) in enumerate(sorted(scored)[:5], 1)]
+    own = spark.createDataFrame(rows, "i long, k array<string>").repartition(4)
+    got = lambda: sorted(map(tuple, matching.best_common(own.withColumnRenamed("i", "j"), own, "j", "i", "k", of_larger=of_larger, others_only=True).collect()))
+    assert got() == sorted(want)
+    monkeypatch.setattr(matching, "BROADCAST_BYTES", -1)
+    assert got() == sorted(want)
+
+
+def test_runs_of_ids(spark):
+    gen = random.Random(9)
+    rows = [(g, i) for g in (0, 1, None) for i in sorted(gen.sample(range(200), 120))]
+    want, before = [], None
+    for g, i in rows:
+        if before == (g, i - 1):
+            want[-1][3] += 1
+        else:
+            want.append([g, 1 + (want[-1][1] if want and want[-1][0] == g else 0), i, 1])
+        before = g, i
+    got = blocks.runs_of_ids(spark.createDataFrame(rows, "g int, i long").repartition(3), ["g"], "i")
+    assert sorted(map(list, got.collect()), key=str) == sorted(want, key=str)
