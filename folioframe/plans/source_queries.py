@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.plans.registry import Registry, table
 from folioframe.sources import readers, sinks
-from folioframe.streaming import queue
+from folioframe.streaming import queue, waits
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -147,3 +147,24 @@ def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_queue"] = _queue
 ORACLE["stream_queue"] = "SELECT event_id AS file_id, CASE event_type WHEN 'error' THEN 'a field is missing' WHEN 'signup' THEN 'no parser' ELSE '' END AS error FROM events"
+
+
+def _waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three days of a user are a run that ends with a purchase within a day of its first event; the stream is read in two
+    parts, the second by a new query from the checkpoint of the first."""
+    folder = sinks.shared_folder(spark)
+    events = table(spark, sf_dir, "events").select((F.col("user_id") * 100 + F.floor((F.dayofmonth("ts") - 1) / 3)).cast("long").alias("run"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("at"))
+    middle = F.lit("2024-01-15").cast("timestamp")
+    for part, rows in enumerate((events.filter(F.col("at") < middle), events.filter(F.col("at") >= middle))):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        told = waits.stage_waits(spark.readStream.schema(events.schema).parquet(f"{folder}/in"), "run", "status", "at", ends=["purchase"], seconds=86_400, keep_seconds=4 * 86_400)
+        told.writeStream.format("parquet").option("path", f"{folder}/told").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("run long, wait_status string, at timestamp").parquet(f"{folder}/told")
+    return waits.with_waiting(found, events, "run").select("run", "wait_status", F.unix_millis("at").alias("ms"))
+
+
+QUERIES["stage_waits"] = _waits
+ORACLE["stage_waits"] = """
+WITH e AS (SELECT CAST(user_id * 100 + (day(ts) - 1) // 3 AS BIGINT) AS run, event_type, epoch_us(ts) // 1000 AS ms FROM events), w AS (SELECT max(ms) - 10000 AS w FROM e),
+r AS (SELECT run, min(ms) + 86400000 AS deadline, max(ms) AS last, min(ms) FILTER (event_type = 'purchase') AS ended FROM e GROUP BY run)
+SELECT run, CASE WHEN ended <= deadline THEN 'terminal' WHEN last > deadline OR w >= deadline THEN 'timed_out' ELSE 'waiting' END AS wait_status, CASE WHEN ended <= deadline THEN ended WHEN last > deadline OR w >= deadline THEN deadline END AS ms FROM r, w"""
