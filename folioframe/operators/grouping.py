@@ -74,3 +74,65 @@ def policy_counts(rows: DataFrame, keys: list[str], *, type_: str, gap: str) ->
             counts |= {f"{policy}_covered_{kind}s": which & F.col(f"{policy}_covered"), f"{policy}_remaining_{kind}s": which & ~F.col(f"{policy}_covered")}
     counts |= {"tables_in_open_questions": gaps["table"] & F.col("persistent_covered") & F.col("persistent_question").isNotNull(), "tables_in_groups_only": gaps["table"] & F.col("persistent_covered") & F.col("persistent_question").isNull()}
     return rows.groupBy(*keys).agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in counts.items()))
+
+
+#: Patterns of questions that nothing groups, and words of tables that may explain.
+NUMBER_DOT, NUMBER_SPACE, MATHS = r"^[0-9]{1,3}\.\s+", r"^[0-9]{1,3}\s+\S+", r"\$.*\$|\\frac|\\begin"
+PART_LETTER, LONG_TEXT = "^[A-Z]$", 240
+EXPLAINING = ("answer", "definition", "example")
+
+
+def _labelled(text: Column) -> Column:
+    return F.lower(F.trim(text, F.lit("* "))).isin(*SECTION_LABELS)
+
+
+def question_shape(text: Column) -> Column:
+    """What a question's text looks like; the first rule that holds."""
+    has = lambda p: F.rlike(text, F.lit(p))
+    return X.ladder((has(NUMBER_DOT), "number_dot_question"), (has(NUMBER_SPACE), "number_space_fragment_or_question"), (has(MATHS), "math_text"), (F.contains(text, F.lit("?")), "question_mark_text"), (F.length(text) > LONG_TEXT, "long_text"), default="other_question_like_text")
+
+
+def run_starter(before: Column, before_type: Column, first: Column) -> Column:
+    """Why a run of questions that nothing groups begins where it does: by the block before it ('' and null if there is none) and its first text."""
+    has = lambda c, p: F.rlike(c, F.lit(p))
+    return X.ladder(
+        ((before == "") & has(first, NUMBER_DOT), "missing_front_context"),
+        (before == "TOPICS", "front_matter_topic_list_artifact"),
+        (_labelled(before), "section_label_should_start_group"),
+        (has(before, INSTRUCTION_START), "instruction_paragraph_should_start_group"),
+        (before_type.eqNullSafe("question"), "continues_existing_ungrouped_question_run"),
+        (has(before, PART_LETTER), "part_letter_should_start_group"),
+        (F.endswith(before, F.lit(":")), "colon_label_should_start_group"),
+        default="unknown_or_manual_group_boundary",
+    )
+
+
+def table_gap(table: Column, before: Column, before_type: Column, after_type: Column) -> Column:
+    """What a table that nothing groups may belong to."""
+    beside = F.coalesce(before_type == "question", F.lit(False)) | F.coalesce(after_type == "question", F.lit(False))
+    explains = F.exists(F.array(*(F.lit(w) for w in EXPLAINING)), lambda w: F.contains(F.lower(table), w))
+    return X.ladder(
+        (beside, "table_adjacent_to_question_should_attach"),
+        (F.rlike(before, F.lit(INSTRUCTION_START)), "table_after_instruction_should_attach"),
+        (_labelled(before), "table_after_section_label_should_attach"),
+        (explains, "table_may_be_exercise_or_explanation_needs_visual_review"),
+        default="table_manual_group_boundary",
+    )
+
+
+def gap_runs(rows: DataFrame, doc: str, *, gap: str = "gap") -> DataFrame:
+    """(doc, first_no, last_no, run_length, starter, shapes): runs of neighbouring questions that nothing groups, from rows of `with_relations` with a flag `gap`.
+
+    Within a run the block number less the number of such questions so far is one number. Shapes are shape=count, by name."""
+    own = rows.filter((F.col("type") == "question") & F.col(gap))
+    text, before = X.whitespace(F.col("markdown")), X.whitespace(F.coalesce("previous_markdown", F.lit("")))
+    keyed = own.withColumn("__run", F.col("block_no") - F.row_number().over(Window.partitionBy(doc).orderBy("block_no"))).withColumn("__shape", question_shape(text)).withColumn("__starter", run_starter(before, F.col("previous_type"), text))
+    by_shape = keyed.groupBy(doc, "__run", "__shape").agg(F.count("*").alias("n"), F.min(F.struct("block_no", "__starter")).alias("first"), F.max("block_no").alias("last_no"))
+    runs = by_shape.groupBy(doc, "__run").agg(F.min("first").alias("first"), F.max("last_no").alias("last_no"), F.sum("n").alias("run_length"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "__shape", F.col("n").cast("string")))), ",").alias("shapes"))
+    return runs.select(doc, F.col("first.block_no").alias("first_no"), "last_no", "run_length", F.col("first.__starter").alias("starter"), "shapes")
+
+
+def gap_tables(rows: DataFrame, doc: str, *, gap: str = "gap") -> DataFrame:
+    """(doc, block_no, bucket) of each table that nothing groups."""
+    before = X.whitespace(F.coalesce("previous_markdown", F.lit("")))
+    return rows.filter((F.col("type") == "table") & F.col(gap)).select(doc, "block_no", table_gap(X.whitespace(F.col("markdown")), before, F.col("previous_type"), F.col("next_type")).alias("bucket"))

@@ -196,3 +196,27 @@ SELECT doc_id, count(*) FILTER (step = 'starter') AS virtual_groups, count(*) FI
 def _(docs: DataFrame) -> DataFrame:
     """What each policy would cover, by document."""
     return G.policy_counts(_simulated(docs), ["doc_id"], type_="type", gap="gap")
+
+
+_BEFORE = "regexp_replace(coalesce(pm, ''), '\\s+', ' ', 'g')"
+_LABELS_IN = "lower(trim({0}, '* ')) IN ('assessment practice', 'do you know how?', 'do you understand?', 'practice', 'practice & problem solving', 'leveled practice', 'reflect', 'act 1', 'act 2', 'act 3', 'sequel')"
+
+
+@R.over("gap_runs", "documents", sql=f"""{_GROUPS},
+gq AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS g, {_BEFORE} AS before, CASE WHEN regexp_matches(said, '^[0-9]{{1,3}}\\.\\s+') THEN 'number_dot_question' WHEN regexp_matches(said, '^[0-9]{{1,3}}\\s+\\S+') THEN 'number_space_fragment_or_question' WHEN regexp_matches(said, '\\$.*\\$|\\\\frac|\\\\begin') THEN 'math_text'
+  WHEN contains(said, '?') THEN 'question_mark_text' WHEN length(said) > 240 THEN 'long_text' ELSE 'other_question_like_text' END AS shape FROM v WHERE gap AND type = 'question'),
+gr AS (SELECT *, CASE WHEN before = '' AND shape = 'number_dot_question' THEN 'missing_front_context' WHEN before = 'TOPICS' THEN 'front_matter_topic_list_artifact' WHEN {_LABELS_IN.format("before")} THEN 'section_label_should_start_group' WHEN {_has(_STARTS, "before")} THEN 'instruction_paragraph_should_start_group'
+  WHEN pt = 'question' THEN 'continues_existing_ungrouped_question_run' WHEN regexp_matches(before, '^[A-Z]$') THEN 'part_letter_should_start_group' WHEN ends_with(before, ':') THEN 'colon_label_should_start_group' ELSE 'unknown_or_manual_group_boundary' END AS starter_of FROM gq),
+gc AS (SELECT doc_id, g, string_agg(shape || '=' || k, ',' ORDER BY shape || '=' || k) AS shapes FROM (SELECT doc_id, g, shape, count(*) AS k FROM gr GROUP BY doc_id, g, shape) GROUP BY doc_id, g)
+SELECT doc_id, min(n) AS first_no, max(n) AS last_no, count(*) AS run_length, arg_min(starter_of, n) AS starter, any_value(shapes) AS shapes FROM gr JOIN gc USING (doc_id, g) GROUP BY doc_id, g""")
+def _(docs: DataFrame) -> DataFrame:
+    """Runs of questions that nothing groups, with why they begin and what they look like."""
+    return G.gap_runs(_simulated(docs), "doc_id")
+
+
+@R.over("gap_tables", "documents", sql=f"""{_GROUPS}
+SELECT doc_id, n AS block_no, CASE WHEN pt = 'question' OR nt = 'question' THEN 'table_adjacent_to_question_should_attach' WHEN {_has(_STARTS, "before")} THEN 'table_after_instruction_should_attach' WHEN {_LABELS_IN.format("before")} THEN 'table_after_section_label_should_attach'
+ WHEN regexp_matches(lower(said), 'answer|definition|example') THEN 'table_may_be_exercise_or_explanation_needs_visual_review' ELSE 'table_manual_group_boundary' END AS bucket FROM (SELECT *, {_BEFORE} AS before FROM v WHERE gap AND type = 'table')""")
+def _(docs: DataFrame) -> DataFrame:
+    """What each table that nothing groups may belong to."""
+    return G.gap_tables(_simulated(docs), "doc_id")
