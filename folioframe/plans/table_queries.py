@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.operators import coverage, gates, grids
+from folioframe.operators import closures, coverage, gates, grids
 from folioframe.plans.registry import Registry, pick
 from folioframe.sources import layout, publish
 from folioframe.sources.sinks import shared_folder
@@ -149,3 +149,46 @@ def _(o: DataFrame) -> DataFrame:
     publish.publish(o.filter("status <> 'P'"), root, ["status"])
     publish.delete_prefix(spark, root, "key", "clean/7/", "clean", ["status"])
     return publish.published(spark, root).select("key", "status", "price")
+
+
+#: Outcomes, audits, packets and blocks of each order: a line is an outcome, two lines share a block.
+_BASE = "SELECT l_orderkey AS doc, l_linenumber AS line, min(l_partkey) AS p, min(l_suppkey) AS s, min(CAST(l_quantity AS INT)) AS q FROM {lineitem} GROUP BY l_orderkey, l_linenumber"
+_BLOCK = pick("line", "'b-0'", "'b-1'", "'b-1'", "'b-2'", "'b-2'", "'b-3'", "'b-3'")
+_NAME = "concat('o-', CAST(line AS VARCHAR(9)))"
+_CLOSING = {
+    "base": _BASE,
+    "o": f"SELECT doc, {_NAME} AS outcome_id, {_BLOCK} AS block_id, {pick('p', "'formula_visual_review'", "'image_source_visual_confirmation'", "'formula_visual_review'", "'table_visual_review'")} AS packet_type, {pick('s', "'open'", "'closed'", "'open'")} AS status, {pick('q', "'needs_layout_review'", "'accepted_by_rule'", "'accepted_by_rule'", "CAST(NULL AS VARCHAR(9))")} AS decision, CASE WHEN q % 5 = 0 THEN NULL ELSE p % 7 <> 0 END AS blocking, {pick('s', "'crop.png'", "'crop.png'", "''")} AS crop, {pick('q', "'created'", "'reused'", "'missing'")} AS crop_status FROM {{base}}",
+    "b": f"SELECT DISTINCT doc, {_BLOCK} AS block_id, {pick('doc', "'![a](b.png)'", "'x ![a](b.png)'", "' <img src=c.png> '", "'<img src=\"c.png\"> ![](d.png)'")} AS markdown, {pick('doc + 1', "''", "' '", "'said'", "CAST(NULL AS VARCHAR(9))", "''")} AS text FROM {{base}}",
+    "a": f"SELECT doc, {_NAME} AS outcome_id, {pick('p + s', "'deterministic_closure_candidate_exact_match'", "'deterministic_formula_semantic_equivalent'", "'other'")} AS bucket, {pick('q', "'a.png'", "'b.png'", "'c.png'", "''")} AS crop, {pick('s', "'created'", "'reused'", "''")} AS crop_status, CASE WHEN q % 6 = 0 THEN 0 ELSE line END AS page_number, p % 8 <> 0 AS boxed, q % 3 <> 1 AS semantic_key_equal, {pick('p', "'raw_content_list.formula_semantic_key_match'", "'raw_context_window.high_confidence_for_manual_review'", "'odd'")} AS match_rule FROM {{base}} WHERE (doc + line) % 5 <> 0",
+    "k": f"SELECT doc, {_NAME} AS outcome_id, {pick('q', "''", "'raw_context_window.high_confidence_for_manual_review'", "CAST(NULL AS VARCHAR(9))", "''")} AS match_rule, {pick('s', "'text'", "'equation'", "'table'", "'image'")} AS raw_type, {pick('p', "'created'", "'no'")} AS packet_crop_status FROM {{base}} WHERE line <> 5",
+}
+_VERDICTS = """,
+i AS (SELECT f.doc, f.outcome_id, 'image_only_formula' AS rule, CASE WHEN trim(coalesce(b.text, '')) <> '' THEN 'block_text_not_empty' WHEN v.evidence IS NULL THEN 'closed_image_outcome_missing' ELSE 'image_only_formula_covered_by_image' END AS reason, v.evidence
+ FROM o f JOIN b USING (doc, block_id) LEFT JOIN (SELECT doc, block_id, min(outcome_id) AS evidence FROM o WHERE packet_type = 'image_source_visual_confirmation' AND status = 'closed' AND decision = 'accepted_by_rule' AND crop_status IN ('created', 'reused') AND crop <> '' GROUP BY doc, block_id) v USING (doc, block_id)
+ WHERE f.packet_type = 'formula_visual_review' AND f.status = 'open' AND f.blocking AND b.markdown IN ('![a](b.png)', '<img src="c.png"> ![](d.png)')),
+e AS (SELECT a.doc, a.outcome_id, 'native_exact' AS rule, CASE WHEN coalesce(k.match_rule, '') <> '' THEN 'source_match_rule_not_native_raw_content' WHEN coalesce(raw_type, '') NOT IN ('text', 'equation', 'table') THEN 'source_raw_type_not_allowed' WHEN coalesce(nullif(crop_status, ''), packet_crop_status, '') NOT IN ('created', 'reused') THEN 'source_crop_not_ready'
+ WHEN page_number = 0 OR NOT boxed THEN 'source_page_bbox_missing' WHEN crop = '' THEN 'source_crop_missing' ELSE 'native_raw_content_exact_match_with_crop' END AS reason, crop AS evidence FROM a LEFT JOIN k USING (doc, outcome_id) WHERE bucket = 'deterministic_closure_candidate_exact_match'),
+m AS (SELECT doc, outcome_id, 'semantic_equivalent' AS rule, CASE WHEN semantic_key_equal AND match_rule <> 'odd' AND page_number <> 0 AND boxed AND crop <> '' AND crop_status <> '' THEN 'formula_semantic_key_equal' ELSE 'evidence_incomplete' END AS reason, crop AS evidence FROM a WHERE bucket = 'deterministic_formula_semantic_equivalent'),
+w AS (SELECT *, reason IN ('image_only_formula_covered_by_image', 'native_raw_content_exact_match_with_crop', 'formula_semantic_key_equal') AS closes FROM (SELECT * FROM i UNION ALL SELECT * FROM e UNION ALL SELECT * FROM m))"""
+
+
+def _judged(o: DataFrame, b: DataFrame, a: DataFrame, k: DataFrame) -> DataFrame:
+    audits = a.withColumn("bbox", F.when(F.col("boxed"), F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4))).otherwise(F.array().cast("array<int>"))).drop("boxed")
+    return closures.image_only_formulas(o, b, "doc").unionByName(closures.exact_matches(o, audits, k, "doc")).unionByName(closures.semantic_matches(o, audits, "doc"))
+
+
+@R.derived("closure_verdicts", "lineitem", _CLOSING, sql=f"{_VERDICTS} SELECT doc, outcome_id, rule, reason, closes, CASE WHEN closes THEN evidence END AS evidence FROM w")
+def _(base: DataFrame, o: DataFrame, b: DataFrame, a: DataFrame, k: DataFrame) -> DataFrame:
+    """What each rule says of the outcomes it looks at."""
+    return _judged(o, b, a, k)
+
+
+@R.derived("closure_reports", "lineitem", _CLOSING, sql=f"""{_VERDICTS},
+t AS (SELECT o.*, r.rule, CASE WHEN r.rule IS NULL THEN NULL WHEN status = 'closed' AND coalesce(decision IN ('accepted_by_rule', 'non_blocking'), false) THEN 'already_closed' ELSE 'newly_closed' END AS closing FROM o LEFT JOIN (SELECT doc, outcome_id, min(rule) AS rule FROM w WHERE closes GROUP BY doc, outcome_id) r USING (doc, outcome_id)),
+n AS (SELECT doc, CASE WHEN closing = 'newly_closed' THEN 'closed' ELSE status END AS status, coalesce(CASE WHEN closing = 'newly_closed' THEN CASE rule WHEN 'image_only_formula' THEN 'non_blocking' ELSE 'accepted_by_rule' END ELSE decision END, '') AS decision, CASE WHEN closing = 'newly_closed' THEN false ELSE blocking END AS blocking, closing FROM t)
+SELECT doc, count(*) AS n_outcomes, count(*) FILTER (status = 'closed') AS closed_count, count(*) FILTER (status = 'open' AND blocking) AS open_blocking_count, count(*) FILTER (closing = 'newly_closed') AS newly_closed, count(*) FILTER (closing = 'already_closed') AS already_closed, any_value(d.decisions) AS decisions, coalesce(any_value(s.skipped), '') AS skipped
+FROM n JOIN (SELECT doc, string_agg(x, ',' ORDER BY x) AS decisions FROM (SELECT doc, decision || '=' || count(*) AS x FROM n GROUP BY doc, decision) GROUP BY doc) d USING (doc) LEFT JOIN (SELECT doc, string_agg(x, ',' ORDER BY x) AS skipped FROM (SELECT doc, rule || '/' || reason || '=' || count(*) AS x FROM w WHERE NOT closes GROUP BY doc, rule, reason) GROUP BY doc) s USING (doc) GROUP BY doc""")
+def _(base: DataFrame, o: DataFrame, b: DataFrame, a: DataFrame, k: DataFrame) -> DataFrame:
+    """Counts of each order's outcomes after the three rules have closed what they can."""
+    verdicts = _judged(o, b, a, k)
+    return closures.closure_report(closures.closed_by_rule(o, verdicts, "doc"), verdicts, "doc")

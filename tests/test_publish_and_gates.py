@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from folioframe.operators import gates, grids
+from folioframe.operators import closures, gates, grids
 from folioframe.sources import publish
 
 # -- publishing
@@ -140,3 +140,30 @@ def test_paradigms_are_rebuilt(spark):
     assert got[1] == {(y, x): c for y, row in enumerate(want) for x, c in enumerate(row)}
     for t in range(2, 8):
         assert got[t] == {(y, x): c for y, row in enumerate(tables[t]) for x, c in enumerate(row)}
+
+
+# -- closures
+
+
+def test_image_only_texts(spark):
+    texts = {"![a](b.png)": True, " ![](x.png) <img alt=q src=\"y.png\" width=3>\n![c](d.png)": True, "![a](b.png) x": False, "": False, "x": False, "<img src=c.png>": False, "![a](http://far/b.png)": False}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", closures.image_only(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in rows} == texts
+
+
+def test_closures_are_made_once(spark):
+    schema = "doc int, outcome_id string, block_id string, packet_type string, status string, decision string, blocking boolean, crop string, crop_status string"
+    rows = [(1, "i", "b", closures.IMAGE, "closed", "accepted_by_rule", False, "c.png", "created"), (1, "f", "b", closures.FORMULA, "open", None, True, None, None), (1, "g", "z", closures.FORMULA, "open", "", True, "", ""), (2, "f", "b", closures.FORMULA, "open", None, True, None, None), (2, "t", None, "table", "open", None, None, None, None)]
+    outcomes = spark.createDataFrame(rows, schema)
+    blocks = spark.createDataFrame([(d, b, "![a](b.png)", None) for d in (1, 2) for b in ("b", "z")], "doc int, block_id string, markdown string, text string")
+    verdicts = closures.image_only_formulas(outcomes, blocks, "doc")
+    assert {(r.doc, r.outcome_id, r.reason, r.evidence) for r in verdicts.collect()} == {(1, "f", "image_only_formula_covered_by_image", "i"), (1, "g", "closed_image_outcome_missing", None), (2, "f", "closed_image_outcome_missing", None)}
+    once = closures.closed_by_rule(outcomes, verdicts, "doc")
+    assert {(r.doc, r.outcome_id): r.closing for r in once.collect()} == {(1, "i"): None, (1, "f"): "newly_closed", (1, "g"): None, (2, "f"): None, (2, "t"): None}
+    again = closures.closed_by_rule(once.drop("closing"), verdicts, "doc")
+    assert again.filter("closing = 'newly_closed'").count() == 0 and again.filter("closing = 'already_closed'").count() == 1
+    told = once.filter("doc = 1 and outcome_id = 'f'").first()
+    assert (told.status, told.decision, told.blocking, told.crop_status) == ("closed", "non_blocking", False, closures.RECLASSIFIED)
+    report = {r.doc: r for r in closures.closure_report(once, verdicts, "doc").collect()}
+    assert (report[1].closed_count, report[1].open_blocking_count, report[1].newly_closed, report[1].skipped) == (2, 1, 1, "image_only_formula/closed_image_outcome_missing=1")
+    assert report[2].decisions == "=2" and closures.closure_report(once.filter("false"), verdicts, "doc").count() == 0
