@@ -72,6 +72,10 @@ def compare_text(c: Column) -> Column:
 _ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
+#: Looked up before the table of all names, which is searched from its start.
+COMMON_NAMES = ("amp", "lt", "gt", "quot", "nbsp", "apos")
+
+
 def _entity(found: Column) -> Column:
     """One reference decoded: by number (those of the range 128 to 159 are of Windows-1252, impossible ones a replacement
     character), or by name from the standard table; an unknown name stays."""
@@ -82,7 +86,8 @@ def _entity(found: Column) -> Column:
     controls = "".join(map(chr, range(128, 160)))
     windows = "".join(bytes([ord(x)]).decode("cp1252", "ignore") or x for x in controls)
     by_number = F.translate(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), controls, windows)
-    return F.when(F.substring(found, 2, 1) == "#", by_number).otherwise(F.coalesce(names[found], found))
+    common = reduce(lambda chain, k: chain.when(found == f"&{k};", html5[f"{k};"]), COMMON_NAMES, F.when(F.substring(found, 2, 1) == "#", by_number))
+    return common.otherwise(F.coalesce(names[found], found))
 
 
 def decode_entities(c: Column) -> Column:
