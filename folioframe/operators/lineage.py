@@ -76,3 +76,29 @@ def result_counts(status: Column, total: Column, success: Column, failed: Column
     good = F.when((status == "DONE") & (success == 0) & (failed == 0), total).otherwise(F.least(success, total))
     bad = F.when((status == "PARTIAL") & (success + failed < total), total - success).otherwise(F.least(failed, total - good))
     return good, bad
+
+
+def object_of_url(url: Column, bucket: str) -> Column:
+    """The object of a URL whose path begins with the bucket, decoded; '' for any other, and for null."""
+    path = F.regexp_replace(F.try_url_decode(F.replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1), F.lit("+"), F.lit("%2B"))), "^/+", "")
+    return F.coalesce(F.when(F.startswith(path, F.lit(bucket + "/")), F.substring(path, len(bucket) + 2, 1 << 30)), F.lit(""))
+
+
+def resolved_inputs(asked: DataFrame, listed: DataFrame, id_: str) -> DataFrame:
+    """(id_, key, sha256, size, matched_by) of each row of `asked` (id_, names: array, declared_sha, declared_size): the listed PDF (key, size, sha256) that it means.
+
+    Its names are tried in order: the first that is listed, with the declared size and digest where these are declared, is it (matched_by name). Else the first key, by name, with the declared
+    digest and size (sha). Else all is null. Blank names are left out; a listed size that is null agrees with any. Ids and keys are unique."""
+    pdfs = listed.filter(F.endswith(F.lower("key"), F.lit(".pdf")))
+    sized = F.col("declared_size").isNull() | F.col("size").isNull() | (F.col("declared_size") == F.col("size"))
+    sha = F.nullif("declared_sha", F.lit(""))
+    names = asked.select(id_, sha.alias("__sha"), "declared_size", F.posexplode("names").alias("__at", "key")).withColumn("key", F.trim("key")).filter("key <> ''")
+    found = lambda rows, how, order: rows.groupBy(id_).agg(F.min(F.struct(order, "key", "sha256", "size")).alias(how))
+    by_name = found(names.join(pdfs, "key").filter(sized & (F.col("__sha").isNull() | (F.col("__sha") == F.col("sha256")))), "name", "__at")
+    left = asked.join(by_name, id_, "left_anti").select(id_, sha.alias("sha256"), "declared_size").filter("sha256 is not null")
+    # One digest may have many keys and be asked for often: the first key of each (digest, size) goes into the join, not every copy.
+    first = pdfs.groupBy("sha256", "size").agg(F.min("key").alias("key"))
+    by_sha = found(left.join(first, "sha256").filter(sized).withColumn("__k", F.col("key")), "sha", "__k")
+    rows = asked.select(id_).join(by_name, id_, "left").join(by_sha, id_, "left")
+    best = lambda c: F.coalesce(f"name.{c}", f"sha.{c}").alias(c)
+    return rows.select(id_, *map(best, ("key", "sha256", "size")), F.when(F.col("name").isNotNull(), "name").when(F.col("sha").isNotNull(), "sha").alias("matched_by"))

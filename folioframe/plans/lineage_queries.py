@@ -175,3 +175,25 @@ SELECT o_orderpriority, count(DISTINCT o_orderkey) AS n_materials, coalesce(sum(
 def _(orders: DataFrame, items: DataFrame) -> DataFrame:
     links = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_returnflag") == "R").alias("linked"))
     return orders.join(links, "o_orderkey", "left").groupBy("o_orderpriority").agg(F.count("*").alias("n_materials"), F.coalesce(F.sum("linked"), F.lit(0)).alias("n_linked"))
+
+
+_KEYS = "concat('in/', CAST(doc_id AS VARCHAR(9)), CASE CAST(doc_id % 7 AS INT) WHEN 1 THEN '.PDF' WHEN 2 THEN '.txt' ELSE ' a+b.pdf' END)"
+
+
+@R.over("resolved_inputs", "documents", sql=f"""
+WITH l AS (SELECT {_KEYS} AS key, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE n_chars END AS size, sha256(text) AS sha FROM documents), p AS (SELECT * FROM l WHERE ends_with(lower(key), '.pdf')),
+a AS (SELECT doc_id, [CASE WHEN doc_id % 5 = 0 THEN 'in/none.pdf' ELSE '' END, CASE doc_id % 3 WHEN 0 THEN {_KEYS} WHEN 1 THEN 'in/0 a+b.pdf' ELSE '' END] AS names, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE sha256(text) END AS declared_sha, CASE doc_id % 13 WHEN 1 THEN NULL WHEN 2 THEN n_chars + 1 ELSE n_chars END AS declared_size FROM documents),
+n AS (SELECT doc_id, declared_sha, declared_size, unnest(names) AS name, generate_subscripts(names, 1) AS at_ FROM a),
+b AS (SELECT n.doc_id, arg_min({{'key': p.key, 'sha': p.sha, 'size': p.size}}, at_) AS f FROM n JOIN p ON p.key = n.name WHERE (declared_size IS NULL OR p.size IS NULL OR declared_size = p.size) AND (declared_sha IS NULL OR declared_sha = p.sha) GROUP BY n.doc_id),
+s AS (SELECT a.doc_id, arg_min({{'key': p.key, 'sha': p.sha, 'size': p.size}}, p.key) AS f FROM a JOIN p ON a.declared_sha = p.sha WHERE (declared_size IS NULL OR p.size IS NULL OR declared_size = p.size) AND a.doc_id NOT IN (SELECT doc_id FROM b) GROUP BY a.doc_id)
+SELECT a.doc_id, coalesce(b.f, s.f).key AS key, coalesce(b.f, s.f).sha AS sha256, coalesce(b.f, s.f).size AS size, CASE WHEN b.f IS NOT NULL THEN 'name' WHEN s.f IS NOT NULL THEN 'sha' END AS matched_by FROM a LEFT JOIN b USING (doc_id) LEFT JOIN s USING (doc_id)""")
+def _(docs: DataFrame) -> DataFrame:
+    """What each document declares of its input, by a name or a URL, its size and digest, against the listing."""
+    i = F.col("doc_id")
+    key = F.concat(F.lit("in/"), i.cast("string"), F.when(i % 7 == 1, ".PDF").when(i % 7 == 2, ".txt").otherwise(" a+b.pdf"))
+    listed = docs.select(key.alias("key"), F.when(i % 11 != 0, F.col("n_chars")).alias("size"), F.sha2("text", 256).alias("sha256"))
+    url = F.when(i % 3 == 0, F.concat(F.lit("http://store:9000/inputs/"), F.replace(F.replace(key, F.lit(" "), F.lit("%20")), F.lit("+"), F.lit("%2B")), F.lit("?sign=1"))).when(i % 3 == 1, "https://store//inputs/in/0%20a+b.pdf#x").otherwise("http://store/other/in/0.pdf")
+    names = F.array(F.when(i % 5 == 0, " in/none.pdf ").otherwise(""), L.object_of_url(url, "inputs"))
+    size = F.when(i % 13 == 2, F.col("n_chars") + 1).when(i % 13 != 1, F.col("n_chars"))
+    asked = docs.select("doc_id", names.alias("names"), F.when(i % 4 != 3, F.sha2("text", 256)).alias("declared_sha"), size.alias("declared_size"))
+    return L.resolved_inputs(asked, listed, "doc_id")
