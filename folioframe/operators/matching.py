@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from bisect import insort
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
@@ -119,17 +118,25 @@ def best_common(left: DataFrame, right: DataFrame, l_id: str, r_id: str, tokens:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items, index = held.value
+            sizes, places = np.array([size for _, size in items], np.int64), {t: np.array(at) for t, at in index.items()}
             best: list[list[tuple]] = [[] for _ in items]
+            reach = np.ones(len(items), np.int64)  # the score that a row needs to be among the best so far
             for batch in batches:
                 for own, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     words = words.as_py()
-                    for at, n in Counter(at for t in words for at in index.get(t, ())).items():
-                        other, size = items[at]
-                        if others_only and other == own:
+                    shared = [places[t] for t in words if t in places]
+                    if not shared:
+                        continue
+                    n = np.bincount(np.concatenate(shared), minlength=len(items))
+                    larger = np.maximum(sizes, len(words))
+                    score = (n * 2_000_000 + larger) // (2 * larger) if of_larger else n
+                    for at in np.flatnonzero((n > 0) & (score >= reach)).tolist():
+                        if others_only and items[at][0] == own:
                             continue
-                        larger = max(len(words), size)
-                        insort(best[at], (-((n * 2_000_000 + larger) // (2 * larger) if of_larger else n), own))
-                        del best[at][top:]
+                        insort(best[at], (-int(score[at]), own))
+                        if len(best[at]) >= top:
+                            del best[at][top:]
+                            reach[at] = max(1, -best[at][-1][0])
             found = [(items[at][0], own, -score) for at, own_best in enumerate(best) for score, own in own_best]
             columns = list(zip(*found, strict=True)) if found else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], kinds[0]), pa.array(columns[1], kinds[1]), pa.array(columns[2], pa.int64())], ["r", "l", "score"])
