@@ -66,8 +66,7 @@ TABLE_SIGNALS = (
 _EDGES = "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$"
 
 
-def _is(c: Column, pattern: str) -> Column:
-    return F.rlike(c, F.lit(pattern))
+_is = X.matches
 
 
 def _kind(type_: str, subtype: str = "", *, keep: bool = False, page: bool = False, columns: bool = False, intent: str = "") -> Column:
@@ -213,12 +212,16 @@ def figure_role(width: Column, height: Column, context: Column, parent_type: Col
     )
 
 
-def relation_audit(rows: DataFrame, role: Column) -> DataFrame:
-    """Questions, table questions and figures without parent, with `finding` as class/reason; `role` is the figure's."""
-    kind, none = F.col("type"), F.isnull("parent_no")
+def _audited() -> Column:
+    """What a row without parent is to the audit, null if nothing."""
+    kind = F.col("type")
     figure = (kind == "captioned_figure") & (F.col("layout.profile_intent") == "figure_relation_candidate")
-    what = X.ladder((kind == "question", "ungrouped_question"), ((kind == "table") & (F.col("subtype") == "table_question"), "orphan_table_question"), ((kind == "table") & (F.col("subtype") == "explanation_table"), "unparented_explanation_table"), (figure, "orphan_figure_relation_candidate"), default=None)
-    rows = rows.filter(none).withColumn("kind", what).filter(F.col("kind").isNotNull())
+    return F.when(F.isnull("parent_no"), X.ladder((kind == "question", "ungrouped_question"), ((kind == "table") & (F.col("subtype") == "table_question"), "orphan_table_question"), ((kind == "table") & (F.col("subtype") == "explanation_table"), "unparented_explanation_table"), (figure, "orphan_figure_relation_candidate"), default=None))
+
+
+def audit_finding(role: Column) -> Column:
+    """The audit's class/reason of a row of `with_relations`, null where it looks at none; `role` is the figure's."""
+    kind, what = F.col("type"), _audited()
     said, prior = X.whitespace(F.col("markdown")), X.whitespace(F.coalesce("previous_markdown", F.lit("")))
     context = F.concat_ws("\n", prior, said, X.whitespace(F.coalesce("next_markdown", F.lit(""))))
     top = F.size("path") == 0
@@ -242,4 +245,9 @@ def relation_audit(rows: DataFrame, role: Column) -> DataFrame:
         (role == "exercise_key_figure", "real_profile_gap/content_figure_without_exercise_or_explanation_parent"),
         default="needs_review/unclassified_orphan_figure",
     )
-    return rows.withColumn("finding", F.when(F.col("kind") == "ungrouped_question", question).when(kind == "table", table).otherwise(shown))
+    return F.when(what == "ungrouped_question", question).when(what.isNotNull() & (kind == "table"), table).when(what.isNotNull(), shown)
+
+
+def relation_audit(rows: DataFrame, role: Column) -> DataFrame:
+    """Questions, table questions and figures without parent, with `finding` as class/reason; `role` is the figure's."""
+    return rows.withColumn("kind", _audited()).filter(F.col("kind").isNotNull()).withColumn("finding", audit_finding(role))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as X
+from folioframe.sources.sinks import stored
 
 #: Labels and beginnings of lines that open a virtual group, and types that close it.
 SECTION_LABELS = ("assessment practice", "do you know how?", "do you understand?", "practice", "practice & problem solving", "leveled practice", "reflect", "act 1", "act 2", "act 3", "sequel")
@@ -26,8 +27,9 @@ RANGE = 100_000
 def carried(rows: DataFrame, doc: str, order: str, states: dict[str, Column], *, size: int = RANGE) -> DataFrame:
     """`rows` with each state as the last row at or before it in its document left it; `order` is a whole number that no two rows of a document share.
 
-    A state is struct<v> where a row sets it (v null: to nothing) and null where it leaves it. Ranges are of `size` orders."""
-    keyed = rows.select("*", F.floor(F.col(order) / size).alias("__range"), *(c.alias(f"__set_{n}") for n, c in states.items()))
+    A state is struct<v> where a row sets it (v null: to nothing) and null where it leaves it. Ranges are of `size` orders. Rows are
+    made once and written to the shared folder, as they are read for the sums and for themselves."""
+    keyed = stored(rows.select("*", F.floor(F.col(order) / size).alias("__range"), *(c.alias(f"__set_{n}") for n, c in states.items())))
     within = Window.partitionBy(doc, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     sums = keyed.groupBy(doc, "__range").agg(*(F.max(F.when(F.col(f"__set_{n}").isNotNull(), F.struct(F.col(order).alias("o"), F.col(f"__set_{n}").alias("s")))).alias(f"__sum_{n}") for n in states))
     before = Window.partitionBy(doc).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -39,7 +41,7 @@ def carried(rows: DataFrame, doc: str, order: str, states: dict[str, Column], *,
 
 def starter(text: Column) -> Column:
     """What makes a block open a virtual group, null if nothing does."""
-    return X.ladder((F.lower(F.trim(text, F.lit("* "))).isin(*SECTION_LABELS), "section_label"), (F.rlike(text, F.lit(INSTRUCTION_START)), "instruction_paragraph"), (F.endswith(text, F.lit(":")) & (F.length(text) <= COLON_MOST), "colon_label"), default=None)
+    return X.ladder((F.lower(F.trim(text, F.lit("* "))).isin(*SECTION_LABELS), "section_label"), (X.matches(text, INSTRUCTION_START), "instruction_paragraph"), (F.endswith(text, F.lit(":")) & (F.length(text) <= COLON_MOST), "colon_label"), default=None)
 
 
 def simulate(blocks: DataFrame, doc: str, *, order: str, id_: str, type_: str, markdown: str, gap: str, size: int = RANGE) -> DataFrame:
@@ -88,13 +90,13 @@ def _labelled(text: Column) -> Column:
 
 def question_shape(text: Column) -> Column:
     """What a question's text looks like; the first rule that holds."""
-    has = lambda p: F.rlike(text, F.lit(p))
+    has = lambda p: X.matches(text, p)
     return X.ladder((has(NUMBER_DOT), "number_dot_question"), (has(NUMBER_SPACE), "number_space_fragment_or_question"), (has(MATHS), "math_text"), (F.contains(text, F.lit("?")), "question_mark_text"), (F.length(text) > LONG_TEXT, "long_text"), default="other_question_like_text")
 
 
 def run_starter(before: Column, before_type: Column, first: Column) -> Column:
     """Why a run of questions that nothing groups begins where it does: by the block before it ('' and null if there is none) and its first text."""
-    has = lambda c, p: F.rlike(c, F.lit(p))
+    has = X.matches
     return X.ladder(
         ((before == "") & has(first, NUMBER_DOT), "missing_front_context"),
         (before == "TOPICS", "front_matter_topic_list_artifact"),
@@ -113,7 +115,7 @@ def table_gap(table: Column, before: Column, before_type: Column, after_type: Co
     explains = F.exists(F.array(*(F.lit(w) for w in EXPLAINING)), lambda w: F.contains(F.lower(table), w))
     return X.ladder(
         (beside, "table_adjacent_to_question_should_attach"),
-        (F.rlike(before, F.lit(INSTRUCTION_START)), "table_after_instruction_should_attach"),
+        (X.matches(before, INSTRUCTION_START), "table_after_instruction_should_attach"),
         (_labelled(before), "table_after_section_label_should_attach"),
         (explains, "table_may_be_exercise_or_explanation_needs_visual_review"),
         default="table_manual_group_boundary",

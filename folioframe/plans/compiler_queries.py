@@ -169,10 +169,15 @@ s AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS pg
 x AS (SELECT v.*, pg, pq, gg, gq, gap AND step IS NULL AND CASE type WHEN 'question' THEN pg IS NOT NULL ELSE pg IS NOT NULL OR pq IS NOT NULL END AS pc, gap AND step IS NULL AND CASE type WHEN 'question' THEN gg IS NOT NULL ELSE gq IS NOT NULL END AS gc FROM v JOIN s ON v.doc_id = s.doc_id AND v.n = s.n)"""
 
 
-def _simulated(docs: DataFrame) -> DataFrame:
+def _gapped(docs: DataFrame) -> DataFrame:
+    """The blocks with a flag of those that the audit calls a gap of the profile; the text before is kept for these only."""
     rows = C.with_relations(C.standard_blocks(marked(docs, GROUP_MARKS, 3), "doc_id", "line_no", "line", workbook=True), "doc_id")
-    found = C.relation_audit(rows, F.lit("helper_icon")).filter(F.startswith("finding", F.lit("real_profile_gap/"))).select("doc_id", "block_no", F.lit(True).alias("gap"))
-    rows = rows.join(found, ["doc_id", "block_no"], "left").withColumn("gap", F.coalesce("gap", F.lit(False)))
+    rows = rows.withColumn("gap", F.coalesce(F.startswith(C.audit_finding(F.lit("helper_icon")), F.lit("real_profile_gap/")), F.lit(False)))
+    return rows.select("doc_id", "block_no", "block_id", "type", "markdown", "gap", *(F.when(F.col("gap"), F.col(c)).alias(c) for c in ("previous_markdown", "previous_type", "next_type")))
+
+
+def _simulated(docs: DataFrame) -> DataFrame:
+    rows = _gapped(docs).drop("previous_markdown", "previous_type", "next_type")
     return G.simulate(rows, "doc_id", order="block_no", id_="block_id", type_="type", markdown="markdown", gap="gap", size=16)
 
 
@@ -211,7 +216,7 @@ gc AS (SELECT doc_id, g, string_agg(shape || '=' || k, ',' ORDER BY shape || '='
 SELECT doc_id, min(n) AS first_no, max(n) AS last_no, count(*) AS run_length, arg_min(starter_of, n) AS starter, any_value(shapes) AS shapes FROM gr JOIN gc USING (doc_id, g) GROUP BY doc_id, g""")
 def _(docs: DataFrame) -> DataFrame:
     """Runs of questions that nothing groups, with why they begin and what they look like."""
-    return G.gap_runs(_simulated(docs), "doc_id")
+    return G.gap_runs(_gapped(docs), "doc_id")
 
 
 @R.over("gap_tables", "documents", sql=f"""{_GROUPS}
@@ -219,4 +224,4 @@ SELECT doc_id, n AS block_no, CASE WHEN pt = 'question' OR nt = 'question' THEN
  WHEN regexp_matches(lower(said), 'answer|definition|example') THEN 'table_may_be_exercise_or_explanation_needs_visual_review' ELSE 'table_manual_group_boundary' END AS bucket FROM (SELECT *, {_BEFORE} AS before FROM v WHERE gap AND type = 'table')""")
 def _(docs: DataFrame) -> DataFrame:
     """What each table that nothing groups may belong to."""
-    return G.gap_tables(_simulated(docs), "doc_id")
+    return G.gap_tables(_gapped(docs), "doc_id")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from folioframe.catalogue import ORACLE, QUERIES
 from folioframe.operators import blocks as B
 from folioframe.operators import compiler as C
 
@@ -35,3 +38,16 @@ def test_attachment_families_and_figures(spark):
     sizes = spark.createDataFrame([(None, 5, "", None), (100, 200, "", None), (900, 900, "____", None), (900, 900, "", "question"), (900, 900, "We use it", None), (900, 900, "", None)], "w int, h int, c string, p string")
     roles = sizes.select(C.figure_role(F.col("w"), F.col("h"), F.col("c"), F.col("p"), F.array().cast("array<string>")).alias("r")).collect()
     assert [r.r for r in roles] == ["needs_dimension_review", "helper_icon", "exercise_key_figure", "exercise_key_figure", "explanation_key_figure", "decorative"]
+
+
+@pytest.mark.parametrize("name", ["relation_audit", "gap_runs", "gap_tables", "grouping_members", "grouping_policies"])
+def test_word_boundaries_beside_other_letters_are_those_of_the_sql(spark, tmp_path, name):
+    """Lines that begin with a signal word and go on in letters beyond ASCII, at all places of a document."""
+    said = ["Inöver von", "Wörter äpast", "Theä über Useß", "Chooseö passiveé", "öwe useä past"]
+    docs = [(k, "\n".join(f"{said[(k + n) % 5]}{'x' * (k // 5 % 7)}" for n in range(40))) for k in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE[name]})").fetchall()
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
