@@ -81,13 +81,18 @@ def paradigm_rows(header: Column, body: Column) -> Column:
 
 
 def reflowed(cells: DataFrame, table: str) -> DataFrame:
-    """(table, y, x, text): the grid of each table, rebuilt where it is a paradigm of two rows. Cells are as for `laid_out`."""
-    squares = laid_out(cells, table)
-    height = squares.groupBy(table).agg((F.max("y") + 1).alias("height"))
-    two = squares.join(height.filter("height = 2"), table, "left_semi").groupBy(table).agg(*(F.transform(F.array_sort(F.collect_list(F.when(F.col("y") == k, F.struct("x", "text")))), lambda c: c["text"]).alias(name) for k, name in ((0, "header"), (1, "body"))))
-    rebuilt = two.withColumn("made", paradigm_rows(F.col("header"), F.col("body"))).filter("made is not null").select(table, F.concat(F.array("header"), F.col("made")).alias("grid"))
-    rows = rebuilt.select(table, F.posexplode("grid").alias("y", "line")).select(table, "y", F.posexplode("line").alias("x", "text"))
-    return squares.join(rebuilt, table, "left_anti").select(table, "y", "x", "text").unionByName(rows)
+    """(table, y, x, text): the grid of each table, rebuilt where it is a paradigm of two rows. Cells are as for `laid_out`.
+
+    The squares of a table, which `laid_out` makes in one group, are gathered where they are; nothing is made twice or joined."""
+    square = F.struct("y", "x", "text")
+    whole = laid_out(cells, table).groupBy(table).agg(F.array_sort(F.collect_list(square)).alias("squares"))
+    line = lambda y: F.transform(F.filter("squares", lambda s: s["y"] == y), lambda s: s["text"])
+    made = F.when(F.array_max(F.transform("squares", lambda s: s["y"])) == 1, paradigm_rows(F.col("header"), F.col("body")))
+    two = whole.select(table, "squares", line(0).alias("header"), line(1).alias("body")).select(table, "squares", "header", made.alias("made"))
+    cell = lambda y, x, t: F.struct(y.cast("int").alias("y"), x.cast("int").alias("x"), t.alias("text"))
+    grid = F.flatten(F.transform(F.concat(F.array("header"), F.col("made")), lambda row, y: F.transform(row, lambda t, x: cell(y, x, t))))
+    own = F.transform("squares", lambda s: cell(s["y"], s["x"], s["text"]))
+    return two.select(table, F.explode(F.when(F.col("made").isNull(), own).otherwise(grid)).alias("s")).select(table, "s.y", "s.x", "s.text")
 
 
 def ragged(squares: DataFrame, table: str) -> DataFrame:
