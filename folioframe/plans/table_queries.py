@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioframe.operators import closures, coverage, gates, grids
 from folioframe.plans.registry import Registry, pick
 from folioframe.sources import layout, publish
-from folioframe.sources.sinks import shared_folder
+from folioframe.sources.sinks import shared_folder, stored
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -190,5 +190,5 @@ SELECT doc, count(*) AS n_outcomes, count(*) FILTER (status = 'closed') AS close
 FROM n JOIN (SELECT doc, string_agg(x, ',' ORDER BY x) AS decisions FROM (SELECT doc, decision || '=' || count(*) AS x FROM n GROUP BY doc, decision) GROUP BY doc) d USING (doc) LEFT JOIN (SELECT doc, string_agg(x, ',' ORDER BY x) AS skipped FROM (SELECT doc, rule || '/' || reason || '=' || count(*) AS x FROM w WHERE NOT closes GROUP BY doc, rule, reason) GROUP BY doc) s USING (doc) GROUP BY doc""")
 def _(base: DataFrame, o: DataFrame, b: DataFrame, a: DataFrame, k: DataFrame) -> DataFrame:
     """Counts of each order's outcomes after the three rules have closed what they can."""
-    verdicts = _judged(o, b, a, k)
-    return closures.closure_report(closures.closed_by_rule(o, verdicts, "doc"), verdicts, "doc")
+    verdicts = stored(_judged(o, b, a, k))
+    return closures.closure_report(stored(closures.closed_by_rule(o, verdicts, "doc")), verdicts, "doc")
