@@ -79,21 +79,31 @@ def context_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(words(context_text(text)), lambda w: F.length(w) > 1))
 
 
-def fuzzy_windows(clean: DataFrame, rows: DataFrame, unit: Sequence[str], page: str, order: str, *, id_: str, text: str, raw: str, most: int = 6, top: int = 5, least: float = 0.82) -> DataFrame:
+def fuzzy_windows(clean: DataFrame, rows: DataFrame, unit: Sequence[str], page: str, order: str, *, id_: str, text: str, raw: str, most: int = 6, top: int = 5, least: float = 0.82, block: int = 1024) -> DataFrame:
     """The `top` windows of each clean text within its unit, by the larger of sequence ratio and token overlap, from `least` on.
 
-    Windows are not compared with all texts of the unit: the filters of `similar` leave those that may reach `least` by either
-    measure and lose none. Ids of clean texts are unique."""
-    wanted = stored(clean.select(id_, *unit, context_key(F.col(text)).alias("__key"), context_tokens(F.col(text)).alias("__tokens")))
-    windows = page_windows(rows, [*unit, page], order, raw, most).withColumn("__w", F.concat_ws(":", *unit, page, "first", "n_rows"))
-    held = stored(windows.select("*", context_key(F.col("window")).alias("__wkey"), context_tokens(F.col("window")).alias("__tokens")).drop("window"))
-    by_text = similar.similar_pairs(wanted, held, id_, "__key", "__w", "__wkey", least=least, on=unit)
-    by_words = similar.overlapping(wanted, held, id_, "__w", "__tokens", least=least, on=unit).drop("overlap")
-    pairs = by_text.unionByName(by_words).distinct().join(wanted.withColumnRenamed("__tokens", "__want"), [*unit, id_]).join(held, [*unit, "__w"])
-    overlap = F.when(F.size("__want") > 0, F.round(F.size(F.array_intersect("__want", "__tokens")) / F.size("__want"), 6)).otherwise(0.0)
-    near = pairs.withColumn("token_overlap", overlap).withColumn("__r", similar.ratio_from(least)("__key", "__wkey")).filter((F.col("token_overlap") >= least) | F.col("__r").isNotNull())
+    Only rows and clean texts are moved, both to the task of their unit; windows are made there, meet the texts of the unit row by row and are
+    never written. Lengths and common tokens leave out most pairs, the subsequence bound of `similar` most of the others, and none is lost.
+    The pages of a unit of more than `block` rows are dealt to blocks, each with all clean texts of the unit. Ids of clean texts are unique."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed: little text, much work
+    counts = rows.groupBy(*unit).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > block)
+    blocks = stored(counts.select(*unit, F.ceil(F.col("__rows") / block).cast("int").alias("__blocks")))
+    dealt = lambda side, at: side.join(matching.small(blocks, [*unit, "__blocks"]), [*unit], "left").withColumn("__block", at(F.coalesce("__blocks", F.lit(1)))).drop("__blocks").repartition(parts, *unit, "__block")
+    wanted = dealt(clean.filter(F.col(id_).isNotNull()).select(id_, *unit, F.col(text).alias("__text")), lambda n: F.explode(F.sequence(F.lit(0), n - 1)))
+    wanted = wanted.select(id_, *unit, "__block", context_key(F.col("__text")).alias("__key"), context_tokens(F.col("__text")).alias("__want")).filter("__key IS NOT NULL")
+    placed = dealt(rows.select(*unit, page, order, raw), lambda n: F.pmod(F.xxhash64(page), n).cast("int"))
+    windows = page_windows(placed, [*unit, "__block", page], order, raw, most).withColumn("__said", context_text(F.col("window")))
+    held = windows.select(*unit, "__block", page, "first", "n_rows", F.replace("__said", F.lit(" "), F.lit("")).alias("__wkey"), F.array_distinct(F.filter(words(F.col("__said")), lambda w: F.length(w) > 1)).alias("__tokens"))
+    a, b, n = F.length("__key"), F.length("__wkey"), F.size("__want")
+    near = F.least(a, b) >= F.ceil(least * (a + b) / 2 - 1e-9)
+    enough = F.ceil(least * n - 1e-9)
+    covered = (n > 0) & (F.size("__tokens") >= enough) & (F.size(F.array_intersect("__want", "__tokens")) >= enough)
+    pairs = held.join(wanted.hint("merge"), [*unit, "__block"]).filter(near | covered)
+    overlap = F.when(n > 0, F.round(F.size(F.array_intersect("__want", "__tokens")) / n, 6)).otherwise(0.0)
+    texts = pairs.select(id_, page, "first", "n_rows", "__key", "__wkey", overlap.alias("token_overlap"))
+    scored = texts.withColumn("__r", similar.ratio_from(least)("__key", "__wkey")).filter((F.col("token_overlap") >= least) | F.col("__r").isNotNull())
     ratio = F.coalesce("__r", matching.sequence_ratio(F.when(F.col("__r").isNull(), F.col("__key")), F.col("__wkey")))
-    scored = near.withColumn("sequence_ratio", F.round(ratio, 6)).withColumn("score", F.greatest("sequence_ratio", "token_overlap"))
+    scored = scored.withColumn("sequence_ratio", F.round(ratio, 6)).withColumn("score", F.greatest("sequence_ratio", "token_overlap")).drop("__key", "__wkey", "__r")
     rank = Window.partitionBy(id_).orderBy(F.desc("score"), F.desc("token_overlap"), "n_rows", page, "first")
     return scored.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top).select(id_, page, "first", "n_rows", "sequence_ratio", "token_overlap", "score", "rank")
 

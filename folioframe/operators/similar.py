@@ -26,16 +26,19 @@ from pyspark.sql import types as T
 from folioframe.operators.matching import small
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """The length of the longest common subsequence, a column of bits for each character of b."""
+def common_subsequence(a: str, b: str, least: int = 0) -> int:
+    """The length of the longest common subsequence, a column of bits for each character of b; of one shorter than `least` any lower bound."""
     at: dict[str, int] = {}
     for k, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << k
     full = (1 << len(a)) - 1
     row = full
-    for c in b:
-        own = row & at.get(c, 0)
-        row = (row + own | row - own) & full
+    for start in range(0, len(b), 16):
+        for c in b[start : start + 16]:
+            own = row & at.get(c, 0)
+            row = (row + own | row - own) & full
+        if (found := len(a) - row.bit_count()) + len(b) - start - 16 < least:
+            return found
     return len(a) - row.bit_count()
 
 
@@ -56,7 +59,7 @@ def ratio_from(least: float) -> Column:
                 need = least_matched(least, len(x) + len(y))
                 if x == y:
                     r = 1.0
-                elif min(len(x), len(y)) >= need and common_subsequence(x, y) >= need:
+                elif min(len(x), len(y)) >= need and common_subsequence(x, y, need) >= need:
                     r = SequenceMatcher(None, x, y).ratio()
             out.append(r if r is not None and r >= least - 1e-12 else None)
         return pd.Series(out, dtype="float64")

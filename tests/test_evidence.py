@@ -65,6 +65,20 @@ def test_fuzzy_windows(spark):
         assert sorted((-r.score, -r.token_overlap, r.n_rows, r.page, r["first"]) for r in got if r.id == id_) == want[id_]
 
 
+def test_windows_of_large_units_are_dealt_and_not_moved(spark, capsys):
+    gen = random.Random(8)
+    says = lambda n: " ".join(gen.choice("red fox runs over lazy dogs today".split()) for _ in range(n))
+    raw = [(u, p, k, says(3)) for u, pages in (("u", 9), ("v", 2)) for p in range(pages) for k in range(4)] + [("w", None, 0, "red fox")] * 3 + [(None, 0, 0, "red fox")]
+    clean = [(k, "uvw"[k % 3], says(6)) for k in range(12)] + [(20, "w", "red fox"), (21, "w", None), (22, None, "red fox"), (None, "w", "red fox")]
+    tables = spark.createDataFrame(clean, "id int, unit string, text string"), spark.createDataFrame(raw, "unit string, page int, n int, raw string")
+    run = lambda **how: E.fuzzy_windows(*tables, ["unit"], "page", "n", id_="id", text="text", raw="raw", **how)
+    take = lambda frame: sorted(map(str, frame.collect()))
+    assert len(take(run())) > 10 and take(run(block=5)) == take(run())
+    run().explain()
+    moved = [x.split("hashpartitioning(")[1] for x in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning(" in x]
+    assert len(moved) == 3 and sum("__block" in x for x in moved) == 2  # rows, clean texts, and what is found by id
+
+
 def test_empty_tables(spark):
     rows = spark.createDataFrame([], "doc string, page int, n int, text string")
     assert E.short_matches(rows.withColumnRenamed("n", "id"), rows, "doc", "page", "n", id_="id", text="text", raw="text").count() == 0
