@@ -46,3 +46,31 @@ def test_waits_over_restarts(spark, tmp_path):
     got = sorted((r.run, r.wait_status, None if r.at is None else round((r.at - START).total_seconds())) for r in found.selectExpr("run", "wait_status", "cast(at AS timestamp_ntz) AS at").collect())
     want = told_by_hand(events, 100, 20)
     assert got == want and {w[1] for w in want} == {"terminal", "timed_out", "waiting"}
+
+
+def test_runs_of_one_bucket_are_told_together(spark, tmp_path):
+    """Text ids, more events than one frame holds, and fewer calls of Python than runs."""
+    events = [(f"r{k:04d}", "done" if k % 3 == 0 and n == 4 else "running", k + 30 * n) for k in range(500) for n in range(5)] + [("last", "running", 5000)]
+    schema, calls = "run string, status string, at timestamp", spark.sparkContext.accumulator(0)
+    spark.createDataFrame([(r, s, START + timedelta(seconds=t)) for r, s, t in events], schema).write.parquet(str(tmp_path / "in"))
+
+    def counted(function):
+        def step(*given):
+            calls.add(1)
+            yield from function(*given)
+
+        return step
+
+    read = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    grouped = type(read.groupBy("run"))
+    apply = grouped.applyInPandasWithState
+    try:
+        grouped.applyInPandasWithState = lambda self, f, *how: apply(self, counted(f), *how)
+        stream = waits.stage_waits(read, "run", "status", "at", ends=["done"], seconds=125, buckets=3)
+    finally:
+        grouped.applyInPandasWithState = apply
+    told = str(tmp_path / "told")
+    stream.writeStream.format("parquet").option("path", told).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.run, r.wait_status, round((r.at - START).total_seconds())) for r in spark.read.schema("run string, wait_status string, at timestamp").parquet(told).selectExpr("run", "wait_status", "cast(at AS timestamp_ntz) AS at").collect())
+    assert got == [x for x in told_by_hand([(r, s, t) for r, s, t in events], 125, 10) if x[1] != "waiting"] and len(got) == 500
+    assert calls.value <= 12
