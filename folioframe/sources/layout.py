@@ -24,18 +24,22 @@ def layout_nodes(docs: DataFrame, id_: str, json: str) -> DataFrame:
     pages = spark.sql(f"SELECT `{id_}` AS id, coalesce(try_variant_get(p.value, '$.page_idx', 'int'), p.pos) AS page_idx, concat('[', p.pos, ']') AS path, p.value AS v FROM {{t}}, LATERAL variant_explode(try_variant_get(try_parse_json(`{json}`), '$.pdf_info', 'variant')) AS p", t=docs)
     found, open_ = None, pages
     while True:
-        # One pass a level: each open node is found, or gives the nodes below it.
+        # One pass a level, written once: each open node is found, or gives the nodes below it.
         key = lambda k: F.expr(f"try_variant_get(v, '$.{k}', 'variant')")  # noqa: E731  null where v is no object
         level = open_.select("id", "page_idx", "path", "v", F.expr(_TEXT).alias("text"), F.expr(f"transform({_RAW}, x -> if(schema_of_variant(x) RLIKE '{_NUMBER}', try_variant_get(x, '$', 'double'), NULL))").alias("n"))
         level = level.withColumn("n", F.when(~F.exists("n", lambda x: x.isNull()), F.col("n")))
         at = lambda k: F.filter("n", lambda _, i: i % 2 == k)
         level = level.withColumn("bbox", F.when(F.size("n") == 4, F.col("n")).when((F.size("n") >= 8) & (F.size("n") % 2 == 0), F.array(F.array_min(at(0)), F.array_min(at(1)), F.array_max(at(0)), F.array_max(at(1)))))
         whole = F.coalesce((F.col("text") != "") & F.col("bbox").isNotNull(), F.lit(False))
-        own = level.filter(whole).select("id", "page_idx", "path", F.expr("coalesce(try_variant_get(v, '$.type', 'string'), try_variant_get(v, '$.category_type', 'string'))").alias("type"), "text", "bbox")
-        found = own if found is None else found.unionByName(own)
         named = F.array(*(F.struct(F.concat("path", F.lit(f".{k}")).alias("path"), key(k).alias("v")) for k in BELOW))
         listed = F.expr("transform(try_variant_get(v, '$', 'array<variant>'), (x, i) -> struct(concat(path, '[', i, ']') AS path, x AS v))")
-        below = level.filter(~whole).select("id", "page_idx", F.explode(F.coalesce(listed, named)).alias("c")).select("id", "page_idx", "c.path", "c.v").filter("v IS NOT NULL")
-        open_ = stored(below)
+        kind = F.expr("coalesce(try_variant_get(v, '$.type', 'string'), try_variant_get(v, '$.category_type', 'string'))")
+        own = F.array(F.struct("path", F.lit(None).cast("variant").alias("v"), kind.alias("type"), "text", "bbox"))
+        below = F.transform(F.filter(F.coalesce(listed, named), lambda c: c["v"].isNotNull()), lambda c: F.struct(c["path"].alias("path"), c["v"].alias("v"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<double>").alias("bbox")))
+        told = level.withColumn("whole", whole).select("id", "page_idx", "whole", F.explode(F.when(F.col("whole"), own).otherwise(below)).alias("c"))
+        done = stored(told.select("id", "page_idx", "whole", "c.*"))
+        own = done.filter("whole").select("id", "page_idx", "path", "type", "text", "bbox")
+        found = own if found is None else found.unionByName(own)
+        open_ = done.filter("NOT whole").select("id", "page_idx", "path", "v")
         if open_.isEmpty():
             return found.withColumnRenamed("id", id_)

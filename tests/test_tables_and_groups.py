@@ -176,3 +176,11 @@ def test_layout_nodes_equal_the_recursive_walk(spark):
     want = [(i, *n) for i, d in enumerate(docs) for n in nodes_by_hand(d)]
     assert len(want) > 40 and Counter((r.i, r.page_idx, r.path, r.type, r.text, tuple(r.bbox)) for r in got) == Counter((*w[:5], tuple(w[5])) for w in want)
     assert "Python" not in layout.layout_nodes(frame, "i", "j")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_level_of_a_layout_is_read_from_json_again(spark):
+    frame = spark.createDataFrame([(1, '{"pdf_info": [{"bbox": [1, 2, 3, 4], "text": "a"}, {"blocks": [{"bbox": [1, 2, 3, 4], "text": "b"}]}]}')], "i int, j string")
+    got = layout.layout_nodes(frame, "i", "j")
+    assert sorted((r.page_idx, r.path, r.text) for r in got.collect()) == [(0, "[0]", "a"), (1, "[1].blocks[0]", "b")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in ("LogicalRDD", "LocalRelation", "variant_get", "Generate") if x in plan]
