@@ -24,15 +24,14 @@ def cell_windows(tables: DataFrame, rows: DataFrame, doc: str, table: str, cells
     wanted = asked.select(doc, table, F.explode("__cells").alias(text)).groupBy(doc, table, text).agg(F.count("*").alias("__limit"))
     usable = rows.filter((F.trim(F.col(text)) != "") & F.col(page).isNotNull() & (F.size(box) == 4)).select(doc, page, order, text, box)
     placed = usable.withColumn("__at", F.row_number().over(Window.partitionBy(doc, page).orderBy(order)))
-    row = F.struct("__at", F.col(text).alias("t"), "__limit", F.col(box).alias("b"), F.col(order).alias("o"))
+    row = F.struct("__at", F.col(text).alias("t"), "__full", F.col(box).alias("b"), F.col(order).alias("o"))
     ahead = Window.partitionBy(doc, table, page).orderBy("__at").rangeBetween(0, reach - 1)
-    windows = placed.join(wanted, [doc, text]).withColumn("__rows", F.collect_list(row).over(ahead)).join(sums, [doc, table])
+    # With a window that begins at or before `__full`, the rows of a text before this one cover all its cells.
+    before = F.collect_list("__at").over(Window.partitionBy(doc, table, page, text).orderBy("__at").rowsBetween(1 - reach, -1))
+    met = placed.join(wanted, [doc, text]).withColumn("__same", before).withColumn("__full", F.when(F.size("__same") >= F.col("__limit"), F.element_at("__same", -F.col("__limit").cast("int")))).drop("__same")
+    windows = met.withColumn("__rows", F.collect_list(row).over(ahead)).join(sums, [doc, table])
 
-    def used(x: Column, k: Column) -> Column:
-        """Whether the row covers a cell: fewer rows of its text than cells came before."""
-        return F.size(F.filter(F.slice("__rows", 1, k + 1), lambda y: y["t"] == x["t"])) <= x["__limit"]
-
-    covering = F.filter("__rows", used)
+    covering = F.filter("__rows", lambda x: x["__full"].isNull() | (x["__full"] < F.col("__at")))
     none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.array(*(F.lit(None).cast("double") for _ in range(4))).alias("box"), F.lit(None).cast("struct<score:double,last:long,n:int,chars:int,box:array<double>,end:long>").alias("best"))
 
     def step(acc: Column, x: Column) -> Column:

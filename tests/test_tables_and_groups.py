@@ -184,3 +184,10 @@ def test_no_level_of_a_layout_is_read_from_json_again(spark):
     assert sorted((r.page_idx, r.path, r.text) for r in got.collect()) == [(0, "[0]", "a"), (1, "[1].blocks[0]", "b")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in ("LogicalRDD", "LocalRelation", "variant_get", "Generate") if x in plan]
+
+
+def test_cells_of_orders_are_made_once(spark):
+    from folioframe.plans.table_queries import QUERIES
+
+    plan = QUERIES["cell_coverage"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan and "__full" in plan
