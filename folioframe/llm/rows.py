@@ -6,6 +6,7 @@ arrays stay small whatever the batch or the text. A null text is an empty text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,6 +43,14 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         low = min(high, n)
 
 
+def give_back() -> None:
+    """Memory that a task no longer needs goes back to the system: Python workers stay for the next tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
     """A table of 256 flags, true for the bytes in the inclusive ranges."""
     table = np.zeros(256, bool)
