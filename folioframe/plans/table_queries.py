@@ -68,8 +68,10 @@ FROM o WHERE json_type(v) = 'OBJECT' AND (json_type(v, '$.bbox[0]') <> 'BOOLEAN'
 def _(items: DataFrame) -> DataFrame:
     """All nodes of the layouts with a box and a text."""
     spark = items.sparkSession
-    nodes = spark.sql(f"SELECT l_orderkey, l_linenumber, {_NODE.replace('VARCHAR(9)', 'STRING').replace('{', '{{').replace('}', '}}')} AS node FROM {{l}}", l=items)
-    lists = nodes.groupBy(F.col("l_orderkey").alias("order_id")).agg(*(F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("node")))), ", ").alias(n) for n, c in (("a", F.col("l_linenumber") <= 3), ("b", F.col("l_linenumber") > 3))))
+    # Columns of a line are moved to its order, and its JSON is made there.
+    dealt = items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").repartition("l_orderkey")
+    nodes = spark.sql(f"SELECT l_orderkey AS order_id, l_linenumber, {_NODE.replace('VARCHAR(9)', 'STRING').replace('{', '{{').replace('}', '}}')} AS node FROM {{l}}", l=dealt)
+    lists = nodes.groupBy("order_id").agg(*(F.array_join(F.sort_array(F.collect_list(F.when(c, F.col("node")))), ", ").alias(n) for n, c in (("a", F.col("l_linenumber") <= 3), ("b", F.col("l_linenumber") > 3))))
     json = F.concat(F.lit('{"pdf_info": [{"page_idx": 7, "para_blocks": ['), "a", F.lit(']}, {"para_blocks": ['), "b", F.when(F.col("order_id") % 11 == 0, "").otherwise("]}]}"))
     found = layout.layout_nodes(lists.select("order_id", json.alias("j")), "order_id", "j")
     return found.withColumn("bbox", F.array_join(F.transform("bbox", lambda x: x.cast("string")), ","))

@@ -191,3 +191,19 @@ def test_cells_of_orders_are_made_once(spark):
 
     plan = QUERIES["cell_coverage"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_partkey" not in plan and "__full" in plan
+
+
+def test_levels_of_a_layout_are_written_together(spark, monkeypatch):
+    """Six levels in two writes, an object's keys looked up once a level; numbers of several kinds make one box."""
+    text = '{"pdf_info": [{"para_blocks": [{"blocks": [[{"blocks": {"blocks": [{"bbox": [1, 2.5, 1e3, 4], "text": "deep", "type": "t"}, 5, null]}}]]}, {"poly": [1, null, 3, 4], "text": "no box"}]}]}'
+    writes, plans, write = [], [], layout.stored
+
+    def counted(rows):
+        writes.append(rows.columns)
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return write(rows)
+
+    monkeypatch.setattr(layout, "stored", counted)
+    got = layout.layout_nodes(spark.createDataFrame([(1, text)], "i int, j string"), "i", "j")
+    assert [(r.page_idx, r.path, r.type, r.text, r.bbox) for r in got.collect()] == [(0, "[0].para_blocks[0].blocks[0][0].blocks.blocks[0]", "t", "deep", [1.0, 2.5, 1000.0, 4.0])]
+    assert len(writes) == 2 and plans[0].count("para_blocks: variant") + plans[0].count("para_blocks:variant") <= 2 * layout.AT_ONCE
