@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FEWEST, REACH, SHARE = 6, 18, 0.9
+#: Rows of a page in a group.
+BLOCK = 1024
 
 
 def cell_windows(tables: DataFrame, rows: DataFrame, doc: str, table: str, cells: str, page: str, order: str, text: str, box: str, *, fewest: int = FEWEST, reach: int = REACH, share: float = SHARE) -> DataFrame:
@@ -17,21 +19,37 @@ def cell_windows(tables: DataFrame, rows: DataFrame, doc: str, table: str, cells
     1e-8 for each unit of the area around the rows that cover; ties go to the first page, first row and last row. Blank cells and rows,
     rows without page or box, and tables without text are left out; a table id is unique within its document.
 
-    Rows meet cells in a join on (doc, text), so that only rows that can cover something go on; of each of these as a first row at most `reach`
-    are looked at, in one array. A best window begins and ends with a row that covers, so no others are needed."""
-    asked = tables.select(doc, table, F.filter(cells, lambda c: F.trim(c) != "").alias("__cells")).filter(F.size("__cells") >= fewest)
-    sums = asked.select(doc, table, F.size("__cells").alias("__n"), F.aggregate("__cells", F.lit(0), lambda a, c: a + F.length(c)).alias("__chars"))
-    wanted = asked.select(doc, table, F.explode("__cells").alias(text)).groupBy(doc, table, text).agg(F.count("*").alias("__limit"))
+    Rows and tables are dealt once, by document, and what follows stays there: `rows` and `tables` that lie so already are not moved again. Rows meet the
+    texts of their document's tables; a table of more than reach / share cells can't be covered and is left out. Of the rows that can cover
+    something, those that have enough others within `reach` begin a window. Rows of a page go in stretches of BLOCK, with the rows that windows of
+    the stretch reach after it, so that no group grows with a page. A best window begins and ends with a row that covers, so no others are needed."""
+    n = F.count("*").over(Window.partitionBy(doc, table))
+    chars = F.sum(F.length(text)).over(Window.partitionBy(doc, table))
+    asked = tables.select(doc, table, F.filter(cells, lambda c: F.trim(c) != "").alias("__cells")).filter((F.size("__cells") >= fewest) & (F.size("__cells") * share - 1e-9 <= reach))
+    each = asked.select(doc, table, F.explode("__cells").alias(text)).select(doc, table, text, n.alias("__n"), chars.alias("__chars"))
+    limits = each.groupBy(doc, table, "__n", "__chars", text).agg(F.count("*").cast("int").alias("__limit"))
+    wanted = limits.groupBy(doc, table, "__n", "__chars").agg(F.map_from_entries(F.collect_list(F.struct(text, "__limit"))).alias("__limits"))
     usable = rows.filter((F.trim(F.col(text)) != "") & F.col(page).isNotNull() & (F.size(box) == 4)).select(doc, page, order, text, box)
     placed = usable.withColumn("__at", F.row_number().over(Window.partitionBy(doc, page).orderBy(order)))
-    row = F.struct("__at", F.col(text).alias("t"), "__full", F.col(box).alias("b"), F.col(order).alias("o"))
-    ahead = Window.partitionBy(doc, table, page).orderBy("__at").rangeBetween(0, reach - 1)
+    met = placed.join(wanted, doc).withColumn("__limit", F.col("__limits")[F.col(text)]).filter("__limit IS NOT NULL").drop("__limits")
+    # Only pages that have enough rows, and of these the rows that have enough within reach, begin a window.
+    least = F.ceil(F.col("__n") * share - 1e-9)
+    on_page, ahead = Window.partitionBy(doc, table, page), Window.partitionBy(doc, table, page).orderBy("__at")
+    met = met.withColumn("__all", F.count("*").over(on_page)).filter(F.col("__all") >= least)
+    met = met.withColumn("__begins", F.col("__all") - F.row_number().over(ahead) + 1 >= least).drop("__all")
     # With a window that begins at or before `__full`, the rows of a text before this one cover all its cells.
     before = F.collect_list("__at").over(Window.partitionBy(doc, table, page, text).orderBy("__at").rowsBetween(1 - reach, -1))
-    met = placed.join(wanted, [doc, text]).withColumn("__same", before).withColumn("__full", F.when(F.size("__same") >= F.col("__limit"), F.element_at("__same", -F.col("__limit").cast("int")))).drop("__same")
-    windows = met.withColumn("__rows", F.collect_list(row).over(ahead)).join(sums, [doc, table])
+    met = met.withColumn("__same", before).withColumn("__full", F.when(F.size("__same") >= F.col("__limit"), F.element_at("__same", -F.col("__limit")))).drop("__same")
+    row = F.struct("__at", F.col(text).alias("t"), "__full", F.col(box).alias("b"), F.col(order).alias("o"), "__begins")
+    size = max(BLOCK, reach)
+    block, within = F.floor(F.col("__at") / size), F.col("__at") % size
+    dealt = met.withColumn("__block", F.explode(F.when((within < reach - 1) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))))
+    stretch = dealt.groupBy(doc, table, page, "__n", "__chars", "__block").agg(F.sort_array(F.collect_list(row)).alias("__found"))
+    starts = F.filter(F.transform("__found", lambda x, i: F.struct(x["__at"].alias("at"), (i + 1).alias("i"), x["__begins"].alias("b"), x["o"].alias("o"))), lambda x: x["b"] & (F.floor(x["at"] / size) == F.col("__block")))
+    begun = stretch.withColumn("__start", F.explode(starts)).withColumn("__rows", F.slice("__found", F.col("__start.i"), reach)).drop("__found")
+    windows = begun.withColumn("__at", F.col("__start.at")).withColumn(order, F.col("__start.o")).drop("__start", "__block")
 
-    covering = F.filter("__rows", lambda x: x["__full"].isNull() | (x["__full"] < F.col("__at")))
+    covering = F.filter("__rows", lambda x: (x["__at"] < F.col("__at") + reach) & (x["__full"].isNull() | (x["__full"] < F.col("__at"))))
     none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.array(*(F.lit(None).cast("double") for _ in range(4))).alias("box"), F.lit(None).cast("struct<score:double,last:long,n:int,chars:int,box:array<double>,end:long>").alias("best"))
 
     def step(acc: Column, x: Column) -> Column:

@@ -35,13 +35,18 @@ p AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY round((a + b) / 2 -
 SELECT doc, page, head::BIGINT AS first, o::BIGINT AS last, n::INT AS n_matched, round(a, 6) AS cell_coverage, round(b, 6) AS char_coverage, round((a + b) / 2, 4) AS match_score, concat_ws(',', x0::INT, y0::INT, x1::INT, y1::INT) AS box FROM p WHERE place = 1""")
 def _(items: DataFrame) -> DataFrame:
     """The rows that cover the table of each order."""
-    spark = items.sparkSession
-    once = items.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_returnflag", "l_linestatus")).alias("l")).select("l_orderkey", "l_linenumber", "l.*")
-    # The three cells of a line in one pass, written once: rows and tables are made from them several times.
+    # The cells of an order are made once and written as one row; rows and tables are made of it where it lies.
+    named = ("l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_returnflag", "l_linestatus")
+    once = items.select("l_orderkey", "l_linenumber", *named).repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line")).agg(F.min(F.struct(*named)).alias("l")).select("doc", "line", "l.*")
     said = F.array(F.concat(F.lit("P"), (F.col("l_partkey") % 50).cast("string")), F.concat(F.lit("Qty "), (F.col("l_quantity").cast("int") % 5).cast("string")), F.concat("l_returnflag", "l_linestatus"))
-    cells = stored(once.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").alias("shipped"), F.col("l_partkey").alias("part"), F.posexplode(said).alias("k", "t")))
-    rows = spark.sql(_ROWS.replace("FROM c", "FROM {c}"), c=cells).select("doc", "page", "o", "t", F.array("x", "y", F.col("x") + 40, F.col("y") + 10).alias("box"))
-    tables = cells.groupBy("doc").agg(F.collect_list("t").alias("cells")).withColumn("n", F.lit(1))
+    dealt = stored(once.select("doc", "line", said.alias("said")).groupBy("doc").agg(F.collect_list(F.struct("line", "said")).alias("lines"))).repartition("doc")
+    line, row = F.col("l.line"), lambda page, o, t, x, y: F.struct(F.lit(page).alias("page"), o.alias("o"), t.alias("t"), F.array(x, y, x + 40, y + 10).alias("box"))
+    cell = [F.col("l.said")[k] for k in range(3)]
+    on = [F.when((F.col("doc") + line * 3 + k) % 23 != 0, row(0, line * 10 + k * 2, t, F.lit(k * 100), line * 20)) for k, t in enumerate(cell)]
+    on += [F.when(F.col("doc") % 5 == 0, row(0, line * 10 + 1, F.lit("between"), F.lit(0), F.lit(0)))]
+    on += [F.when(line <= 2 + F.col("doc") % 3, row(1, line * 10 + k * 2, t, F.lit(k * 50), line * 9)) for k, t in enumerate(cell)]
+    rows = dealt.select("doc", F.explode("lines").alias("l")).select("doc", F.explode(F.array(*on)).alias("r")).filter("r IS NOT NULL").select("doc", "r.*")
+    tables = dealt.select("doc", F.flatten("lines.said").alias("cells"), F.lit(1).alias("n"))
     found = coverage.cell_windows(tables, rows, "doc", "n", "cells", "page", "o", "t", "box")
     return found.drop("n").withColumn("box", F.array_join(F.transform("box", lambda x: x.cast("int").cast("string")), ","))
 

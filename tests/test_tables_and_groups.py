@@ -207,3 +207,34 @@ def test_levels_of_a_layout_are_written_together(spark, monkeypatch):
     got = layout.layout_nodes(spark.createDataFrame([(1, text)], "i int, j string"), "i", "j")
     assert [(r.page_idx, r.path, r.type, r.text, r.bbox) for r in got.collect()] == [(0, "[0].para_blocks[0].blocks[0][0].blocks.blocks[0]", "t", "deep", [1.0, 2.5, 1000.0, 4.0])]
     assert len(writes) == 2 and plans[0].count("para_blocks: variant") + plans[0].count("para_blocks:variant") <= 2 * layout.AT_ONCE
+
+
+def test_rows_and_tables_are_moved_once_and_windows_never(spark):
+    """With no side small enough to send to all: one move of rows, one of tables, none of windows."""
+    from folioframe.operators import coverage
+
+    rows = spark.createDataFrame([(1, 0, k, "abc"[k % 3], [0, k, 5, k + 1]) for k in range(9)], "doc int, page int, o int, t string, box array<int>")
+    tables = spark.createDataFrame([(1, 1, list("abcabc"))], "doc int, n int, cells array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = coverage.cell_windows(tables.repartition("doc"), rows.repartition("doc"), "doc", "n", "cells", "page", "o", "t", "box")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert [(r.doc, r.page, r["first"], r["last"], r.n_matched) for r in got.collect()] == [(1, 0, 0, 5, 6)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_windows_across_stretches_of_a_page(spark, monkeypatch):
+    from folioframe.operators import coverage
+
+    gen = random.Random(3)
+    text = [gen.choice("abcdefgh") for _ in range(300)]
+    rows = spark.createDataFrame([(1, 0, k, t, [0, k, 5, k + 1]) for k, t in enumerate(text)], "doc int, page int, o int, t string, box array<int>")
+    tables = spark.createDataFrame([(1, n, text[a : a + 7]) for n, a in enumerate(range(0, 280, 3))], "doc int, n int, cells array<string>")
+    found = []
+    for block in (1024, 18, 19):
+        monkeypatch.setattr(coverage, "BLOCK", block)
+        got = coverage.cell_windows(tables, rows, "doc", "n", "cells", "page", "o", "t", "box")
+        found.append(sorted(map(str, got.collect())))
+    assert len(found[0]) == 94 and found[0] == found[1] == found[2]
